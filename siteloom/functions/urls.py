@@ -59,8 +59,21 @@ def url_parts(url) -> Column:
     )
 
 
-def _or_empty(prefix: str, value: Column, suffix: str = "") -> Column:
-    return F.when(value != "", F.concat(F.lit(prefix), value, F.lit(suffix))).otherwise("")
+# Parts with their delimiters: '' when the part is missing or blank.
+def _scheme_part(u) -> Column:
+    return F.lower(F.regexp_extract(_plain(u), f"^({_SCHEME})", 1))
+
+
+def _netloc_part(u) -> Column:
+    return F.regexp_extract(_plain(u), f"^(?:{_SCHEME})?(//[^/?#]+)", 1)
+
+
+def _query_part(u) -> Column:
+    return F.regexp_extract(_plain(u), r"^[^?#]*(\?[^#]+)", 1)
+
+
+def _fragment_part(u) -> Column:
+    return F.regexp_extract(_plain(u), r"(?s)^[^#]*(#.+)$", 1)
 
 
 def _trim_slashes(value: Column) -> Column:
@@ -75,27 +88,15 @@ def loose_form(url) -> Column:
 def strict_form(url) -> Column:
     """Scheme and host lower-cased, root path '/', no trailing slash, no fragment; '' for null."""
     u = F.trim(_col(url))
-    raw = full_path(u)
-    p = F.when(raw == "", "/").when(F.length(raw) > 1, _trim_slashes(raw)).otherwise(raw)
-    authority = host(u)
-    rooted = F.when(
-        authority != "",
-        F.concat(F.lit("//"), authority, F.when((p == "") | p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))),
-    ).otherwise(p)
-    return F.when(_col(url).isNull() | (_col(url) == ""), "").otherwise(
-        F.concat(_or_empty("", scheme(u), ":"), rooted, _or_empty("?", query(u)))
-    )
+    rooted = F.regexp_replace(full_path(u), "^$", "/")
+    trimmed = F.regexp_replace(rooted, r"(?<=.)/+$|^//+$", "")
+    whole = F.concat(_scheme_part(u), F.lower(_netloc_part(u)), trimmed, _query_part(u))
+    return F.coalesce(F.when(_col(url) == "", "").otherwise(whole), F.lit(""))
 
 
 def without_query(url) -> Column:
     """The URL with its query removed and its fragment kept."""
-    authority = netloc(url)
-    p = full_path(url)
-    rooted = F.when(
-        authority != "",
-        F.concat(F.lit("//"), authority, F.when((p == "") | p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))),
-    ).otherwise(p)
-    return F.concat(_or_empty("", scheme(url), ":"), rooted, _or_empty("#", fragment(url)))
+    return F.concat(_scheme_part(url), _netloc_part(url), full_path(url), _fragment_part(url))
 
 
 def param_names_raw(url) -> Column:
@@ -121,44 +122,52 @@ def has_param(url, family) -> Column:
     return F.coalesce(F.arrays_overlap(param_names(url), literals(family)), F.lit(False))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _merge_paths(base_path: Column, ref_path: Column) -> Column:
+    """Path of a relative reference: folder of the base, dot segments walked."""
+    def folder(segments):
+        return F.when(F.element_at(segments, -1) != "", F.slice(segments, F.lit(1), F.size(segments) - 1)).otherwise(
+            segments)
+
+    def without_blanks(parts):
+        n = F.size(parts)
+        return F.when(n <= 2, parts).otherwise(F.concat(
+            F.slice(parts, 1, 1), F.filter(F.slice(parts, F.lit(2), n - 2), lambda s: s != ""),
+            F.slice(parts, n, F.lit(1))))
+
+    def walk(parts):
+        return F.aggregate(
+            parts, F.array().cast("array<string>"),
+            lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(s == ".", done).otherwise(F.array_append(done, s)))
+
+    def closed(parts):
+        # A final dot segment names a folder, so the path ends with a slash.
+        return F.array_join(F.concat(walk(parts), F.when(
+            F.element_at(parts, -1).isin("..", "."), literals([""])).otherwise(F.array().cast("array<string>"))), "/")
+
+    joined = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(
+        F.concat(_let(F.split(base_path, "/"), folder), F.split(ref_path, "/")))
+    return F.regexp_replace(_let(_let(joined, without_blanks), closed), "^$", "/")
+
+
 def resolve(base, reference) -> Column:
     """``reference`` made absolute against ``base``, dot segments included."""
     base, ref = _col(base), _col(reference)
-    ref_path, base_path = full_path(ref), full_path(base)
-    segments = F.split(base_path, "/")
-    folder = F.when(
-        F.element_at(segments, -1) != "", F.slice(segments, F.lit(1), F.size(segments) - 1)
-    ).otherwise(segments)
-    joined = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(
-        F.concat(folder, F.split(ref_path, "/")))
-    n = F.size(joined)
-    cleaned = F.when(n <= 2, joined).otherwise(F.concat(
-        F.slice(joined, 1, 1),
-        F.filter(F.slice(joined, F.lit(2), n - 2), lambda s: s != ""),
-        F.slice(joined, n, F.lit(1)),
-    ))
-    walked = F.aggregate(
-        cleaned, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc).otherwise(F.array_append(acc, s)),
-    )
-    dotted = F.element_at(cleaned, -1).isin("..", ".")
-    merged = F.array_join(F.when(dotted, F.array_append(walked, F.lit(""))).otherwise(walked), "/")
-    merged = F.when(merged == "", "/").otherwise(merged)
-    rooted = F.when((netloc(base) != "") & ~merged.startswith("/"), F.concat(F.lit("/"), merged)).otherwise(merged)
-    site = F.concat(_or_empty("", scheme(base), ":"), _or_empty("//", netloc(base)))
-    tail = F.concat(_or_empty("?", query(ref)), _or_empty("#", fragment(ref)))
-    same_page = F.concat(
-        site, base_path,
-        F.when(query(ref) != "", F.concat(F.lit("?"), query(ref))).otherwise(_or_empty("?", query(base))),
-        _or_empty("#", fragment(ref)),
-    )
+    site = F.concat(_scheme_part(base), _netloc_part(base))
+    query_part = F.when(_query_part(ref) != "", _query_part(ref)).otherwise(_query_part(base))
+    merged = _let(_merge_paths(full_path(base), full_path(ref)), lambda p: F.when(
+        p.startswith("/") | (_netloc_part(base) == ""), p).otherwise(F.concat(F.lit("/"), p)))
     return (
         F.when(ref == "", base)
         .when(has_scheme(ref), ref)
-        .when(netloc(ref) != "", F.concat(_or_empty("", scheme(base), ":"), ref))
-        .when(ref_path == "", same_page)
-        .otherwise(F.concat(site, rooted, tail))
+        .when(netloc(ref) != "", F.concat(_scheme_part(base), ref))
+        .when(full_path(ref) == "", F.concat(site, full_path(base), query_part, _fragment_part(ref)))
+        .otherwise(F.concat(site, merged, _query_part(ref), _fragment_part(ref)))
     )
 
 

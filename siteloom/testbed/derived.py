@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siteloom import schema
+from siteloom.session import new_path
+from siteloom.sources.crawl import read_crawl, write_crawl
 
 SHOP = "https://shop.example.com"
 
@@ -123,7 +125,7 @@ HREFLANG = [(0, "seq % 6 = 0", "'en'", "url"), (1, "seq % 6 = 0", "'fr'", "url")
 SIGNALS_B = "title,meta_desc,h1,meta_robots,canonical,redirect,content_encoding,body_text,multiples,links,scripts,images,resource_hints"
 ROBOTS_A = "\n".join([
     "User-agent: *", "Disallow: /img", "Disallow: /assets/*.js", "not a directive",
-    f"Sitemap: {SHOP}/sitemap.xml",
+    f"Sitemap: {SHOP}/sitemap.xml", f"Sitemap: {SHOP}/news2/sitemap.xml",
 ])
 
 
@@ -184,6 +186,19 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.conform(df)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived crawl as a table, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = new_path(spark, "crawl")
+        write_crawl(crawl(spark, sf_dir), path)
+        _STORED[key] = path
+    return read_crawl(spark, _STORED[key])
+
+
 def crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per crawl: mode, available signals, robots address."""
     ids = read(spark, sf_dir, "pages").selectExpr(f"{BASE['crawl_id']} AS crawl_id").distinct()
@@ -223,13 +238,15 @@ ASSET_BODY = "CASE length(url) % 3 WHEN 0 THEN 'a' || chr(10) || '@import url(x)
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (crawl_id, url) of images, scripts, styles and host variants."""
-    c = crawl(spark, sf_dir)
+    """Distinct (crawl_id, url) of images, scripts, styles, host variants and sitemap addresses."""
+    c = stored(spark, sf_dir)
     srcs = F.concat("script_src", "stylesheet_href", F.transform("images", lambda i: i["src"]))
     variant = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
     variants = F.when(variant != "", F.array(
         F.concat(F.lit("http://"), variant, F.lit("/")),
-        F.concat(F.lit("https://www."), variant, F.lit("/")))).otherwise(F.array().cast("array<string>"))
+        F.concat(F.lit("https://www."), variant, F.lit("/")),
+        F.concat(F.lit("https://"), variant, F.lit("/sitemap.xml")),
+        F.concat(F.lit("https://"), variant, F.lit("/news2/sitemap.xml")))).otherwise(F.array().cast("array<string>"))
     return c.select("crawl_id", F.explode(F.concat(srcs, variants)).alias("url")).distinct()
 
 
@@ -324,7 +341,9 @@ def ctes() -> dict[str, str]:
             SELECT crawl_id, src AS url FROM images UNION SELECT crawl_id, src FROM scripts
             UNION SELECT crawl_id, href FROM styles
             UNION SELECT crawl_id, 'http://' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' FROM crawl WHERE origin <> ''
-            UNION SELECT crawl_id, 'https://www.' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' FROM crawl WHERE origin <> '')""",
+            UNION SELECT crawl_id, 'https://www.' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' FROM crawl WHERE origin <> ''
+            UNION SELECT crawl_id, 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/sitemap.xml' FROM crawl WHERE origin <> ''
+            UNION SELECT crawl_id, 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/news2/sitemap.xml' FROM crawl WHERE origin <> '')""",
         "asset_status": f"SELECT crawl_id, url, {ASSET_STATUS} AS status FROM assets WHERE length(url) % 11 <> 0",
         "asset_body": f"SELECT crawl_id, url, {ASSET_BODY} AS body FROM assets WHERE url LIKE '%.js%' OR url LIKE '%.css%'",
         "psi": psi_rows,

@@ -1 +1,111 @@
+"""Queries on HTML extraction over whole pages."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siteloom.sources import html as X
+from siteloom.testbed import derived as D, duck as Q
+from siteloom.testbed.registry import query
+
+# The pages' own markup is regular; metadata they lack is prepended as an extra
+# head built from page_id, and the same text is parsed on both sides.
+RICH = """'<head><meta name="robots" content="index,' || CASE WHEN page_id % 3 = 0 THEN 'no' ELSE '' END || 'follow">'
+ || '<meta content="d' || CAST(page_id AS STRING) || '" name="description"><link rel="canonical" href="/c/' || CAST(page_id AS STRING) || '">'
+ || '<!-- <title>not me</title> --><link rel="alternate" hreflang="en" href="/en"><link rel="alternate" hreflang="fr" href="/fr">'
+ || '<script src="/a.js"></script><script src="/b' || CAST(page_id % 7 AS STRING) || '.js" async></script><link href="/m.css" rel="stylesheet">'
+ || '<link rel="preconnect" href="https://cdn.example.com"><link rel=next href="?page=2"></head>'
+ || '<body><img src="/i/' || CAST(page_id AS STRING) || '.png" alt="x>y"><img alt="none"><a rel="nofollow" href="b/../c">Go</a></body>'"""
+
+
+def _pages(spark, sf):
+    return D.read(spark, sf, "pages")
+
+
+def _rich(spark, sf):
+    return _pages(spark, sf).selectExpr("page_id", "url", f"{RICH} || html AS html")
+
+
+@query("html_core", """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+    regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang FROM pages""")
+def html_core(spark, sf):
+    p = X.extract(_pages(spark, sf), {"t": "title::text", "h": "h1::text", "html_lang": "html::attr(lang)"})
+    return p.select("page_id", F.col("t")[0].alias("title"), F.col("h")[0].alias("h1"),
+                    F.col("html_lang")[0].alias("html_lang"))
+
+
+
+@query("html_counts", """SELECT page_id, 1 AS head_count, len(regexp_extract_all(html, '<title>')) AS title_count,
+    len(regexp_extract_all(regexp_extract(html, '(?s)<head>(.*?)</head>', 1), '<title>')) AS title_in_head_count,
+    0 AS canonical_total_count, 0 AS canonical_in_head_count, 0 AS meta_desc_total_count, 0 AS meta_desc_in_head_count FROM pages""")
+def html_counts(spark, sf):
+    counts = X.structure_counts(F.col("_markup"), F.col("_head"))
+    return X._prepared(_pages(spark, sf)).select("page_id", *[c.alias(n) for n, c in counts.items()])
+
+
+@query("html_rich_counts", """SELECT page_id, 2 AS head_count, 1 + 0 AS title_count, 0 AS title_in_head_count, 1 AS canonical_total_count,
+    1 AS canonical_in_head_count, 1 AS meta_desc_total_count, 1 AS meta_desc_in_head_count FROM pages""")
+def html_rich_counts(spark, sf):
+    """With a commented-out title and a second head."""
+    counts = X.structure_counts(F.col("_markup"), F.col("_head"))
+    return X._prepared(_rich(spark, sf)).select("page_id", *[c.alias(n) for n, c in counts.items()])
+
+
+@query("html_links", f"""SELECT page_id, i AS pos, {Q.scheme('url')} || '://' || {Q.netloc('url')} || href AS link, txt AS text, false AS nofollow FROM (
+    SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
+    unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS txt,
+    generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS i FROM pages)""")
+def html_links(spark, sf):
+    p = X._prepared(_pages(spark, sf)).select("page_id", F.posexplode(X.links(F.col("_markup"), F.col("url"))).alias("pos", "l"))
+    return p.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("l.url").alias("link"),
+                    F.col("l.text").alias("text"), F.col("l.nofollow").alias("nofollow"))
+
+
+_ASSETS = ("script_src", "stylesheet_href", "head_script_src", "preconnect_href", "rel_next", "hreflang_hreflang",
+           "hreflang_href", "meta_robots", "canonical_all", "meta_desc_all")
+
+
+@query("html_assets", """SELECT page_id, '/a.js,/b' || CAST(page_id % 7 AS STRING) || '.js' AS script_src, '/m.css' AS stylesheet_href,
+    '/a.js,/b' || CAST(page_id % 7 AS STRING) || '.js' AS head_script_src, 'https://cdn.example.com' AS preconnect_href, '?page=2' AS rel_next,
+    'en,fr' AS hreflang_hreflang, '/en,/fr' AS hreflang_href,
+    'index,' || CASE WHEN page_id % 3 = 0 THEN 'no' ELSE '' END || 'follow' AS meta_robots, '/c/' || CAST(page_id AS STRING) AS canonical_all,
+    'd' || CAST(page_id AS STRING) AS meta_desc_all FROM pages""")
+def html_assets(spark, sf):
+    wanted = {n: s for n, s in X.merged_selectors().items() if n in _ASSETS}
+    p = X.extract(_rich(spark, sf), wanted)
+    return p.select("page_id", *[F.array_join(n, ",").alias(n) for n in _ASSETS])
+
+
+@query("html_custom", """SELECT page_id, 'https://cdn.example.com' AS hints, '' AS prev, len(regexp_extract_all(html, '<p>|<p ')) AS paragraphs,
+    regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset FROM pages""")
+def html_custom(spark, sf):
+    """A caller's own selectors."""
+    own = {"hints": "link[rel=preconnect]::attr(href)", "prev": "link[rel=prev]::attr(href)", "charset": "meta[charset]::attr(charset)"}
+    p = X._prepared(_rich(spark, sf))
+    cols = {n: X.Pick.of(s).values(F.col("_markup"), F.col("_head")) for n, s in own.items()}
+    return p.select(
+        "page_id", *[F.array_join(c, ",").alias(n) for n, c in cols.items()],
+        F.size(X.Pick("p").tags(F.col("_markup"), F.col("_head"))).cast("bigint").alias("paragraphs"))
+
+
+@query("html_body_text", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<script>.*?</script>|<!--.*?-->', '', 'g'), '(?s)</body>.*$', ''),
+    '<[^>]*>', ' ', 'g'), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS body_text FROM pages""")
+def html_body_text(spark, sf):
+    return X._prepared(_pages(spark, sf)).select("page_id", X.body_text("_markup").alias("body_text"))
+
+
+@query("html_crawl_columns", f"""SELECT page_id, octet_length(encode(html)) AS size, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+    len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_nav,
+    0 AS n_images, CAST(NULL AS STRING) AS canonical FROM pages""")
+def html_crawl_columns(spark, sf):
+    """All columns at once, as a crawl is built from stored pages."""
+    return X.crawl_columns(_pages(spark, sf)).select(
+        "page_id", "size", "title", F.size("links").cast("bigint").alias("n_links"),
+        F.size("nav_links_url").cast("bigint").alias("n_nav"), F.size("images").cast("bigint").alias("n_images"), "canonical")
+
+
+@query("html_images", f"""SELECT page_id, {Q.scheme('url')} || '://' || {Q.netloc('url')} || '/i/' || CAST(page_id AS STRING) || '.png' AS src, 'x>y' AS alt FROM pages""")
+def html_images(spark, sf):
+    p = X._prepared(_rich(spark, sf)).select("page_id", F.explode(X.images(F.col("_markup"), F.col("url"))).alias("i"))
+    return p.select("page_id", "i.src", "i.alt")

@@ -56,4 +56,5 @@ def write_side_table(df: DataFrame, path: str) -> str | None:
 
 def write_detail_csv(report: DataFrame, path: str) -> None:
     """The detail report as CSV files with a header."""
-    report.drop("crawl_id", "seq").write.option("header", True).option("escape", '"').csv(path)
+    report.drop("crawl_id", "seq").write.option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -1,0 +1,36 @@
+"""Sliding-window limiter over an event stream; state is the accepted times of a client."""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from siteloom.operators.pacing import replay
+
+_OUT = "client bigint, tie bigint, accepted boolean"
+
+
+def limited_stream(events: DataFrame, client: str, ts: str, tie: str, limit: int, window_sec: float) -> DataFrame:
+    """events to (client, tie, accepted) in arrival order of the micro-batches.
+
+    A micro-batch bounds what one client contributes to a task; the state of a
+    client is at most ``limit`` times, and expired ones are dropped.
+    """
+    window = int(window_sec * 1_000_000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        accepted = deque(state.get[0]) if state.exists else deque()
+        rows = pd.concat(list(batches)).sort_values(["at", "tie"])
+        flags = replay(rows["at"].tolist(), accepted, limit, window)
+        state.update((list(accepted),))
+        yield pd.DataFrame({"client": key[0], "tie": rows["tie"].to_numpy(), "accepted": flags})
+
+    rows = events.select(
+        F.col(client).cast("bigint").alias("client"), F.col(tie).cast("bigint").alias("tie"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    return rows.groupBy("client").applyInPandasWithState(
+        run, _OUT, "accepted array<bigint>", "append", GroupStateTimeout.NoTimeout)

@@ -150,9 +150,9 @@ def _merge_paths(base_path: Column, ref_path: Column) -> Column:
         return F.array_join(F.concat(walk(parts), F.when(
             F.element_at(parts, -1).isin("..", "."), literals([""])).otherwise(F.array().cast("array<string>"))), "/")
 
-    joined = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(
-        F.concat(_let(F.split(base_path, "/"), folder), F.split(ref_path, "/")))
-    return F.regexp_replace(_let(_let(joined, without_blanks), closed), "^$", "/")
+    relative = F.concat(_let(F.split(base_path, "/"), folder), F.split(ref_path, "/"))
+    parts = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(_let(relative, without_blanks))
+    return F.regexp_replace(_let(parts, closed), "^$", "/")
 
 
 def resolve(base, reference) -> Column:

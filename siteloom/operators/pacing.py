@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -54,17 +55,24 @@ def sessions(events: DataFrame, client: str, order: list[str], at: str, gap: int
         "session", F.coalesce("_start", "_carry")).drop("_block", "_prev", "_start", "_carry")
 
 
-def replay(times, accepted: deque, limit: int, window: int) -> list[bool]:
-    """Accept or refuse ordered times; ``accepted`` holds what still counts and is updated."""
-    out = []
-    for t in times:
-        while accepted and t - accepted[0] > window:
-            accepted.popleft()
-        ok = len(accepted) < limit
-        if ok:
-            accepted.append(t)
-        out.append(ok)
-    return out
+def replayer(limit: int, window: int):
+    """Function that accepts or refuses ordered times given those that still count.
+
+    Made per use: a nested function travels to the workers by value, so they
+    need no copy of this package.
+    """
+    def replay(times, accepted: deque) -> list[bool]:
+        out = []
+        for t in times:
+            while accepted and t - accepted[0] > window:
+                accepted.popleft()
+            ok = len(accepted) < limit
+            if ok:
+                accepted.append(t)
+            out.append(ok)
+        return out
+
+    return replay
 
 
 def limited(events: DataFrame, client: str, ts: str, tie: str, limit: int, window_sec: float,
@@ -77,24 +85,25 @@ def limited(events: DataFrame, client: str, ts: str, tie: str, limit: int, windo
     window = int(window_sec * 1_000_000)
     block = int((block_sec or 24 * window_sec) * 1_000_000)
     rows = events.select(F.col(client).alias("client"), F.col(tie).alias("tie"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    types = dict(rows.dtypes)
     parts = sessions(rows, "client", ["at", "tie"], "at", window, block)
     spread = parts.repartition("client", "session").sortWithinPartitions("client", "session", "at", "tie")
 
+    replay = replayer(limit, window)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = None, deque()
         for pdf in batches:
+            clients, starts, times = pdf["client"].to_numpy(), pdf["session"].to_numpy(), pdf["at"].to_numpy()
             flags: list[bool] = []
-            # Runs of equal keys: a batch holds whole pieces of sorted sessions.
-            key = list(zip(pdf["client"], pdf["session"]))
-            start = 0
-            for i in range(1, len(key) + 1):
-                if i == len(key) or key[i] != key[start]:
-                    if key[start] != current:
-                        current, accepted = key[start], deque()
-                    flags += replay(pdf["at"].iloc[start:i].tolist(), accepted, limit, window)
-                    start = i
-            yield pd.DataFrame({"client": pdf["client"], "tie": pdf["tie"], "accepted": flags})
+            # A batch holds whole pieces of sorted sessions; the first may go on from the batch before.
+            turns = np.flatnonzero((clients[1:] != clients[:-1]) | (starts[1:] != starts[:-1])) + 1
+            for piece in np.split(np.arange(len(pdf)), turns):
+                if len(piece) and current != (clients[piece[0]], starts[piece[0]]):
+                    current, accepted = (clients[piece[0]], starts[piece[0]]), deque()
+                flags += replay(times[piece].tolist(), accepted)
+            yield pd.DataFrame({"client": clients, "tie": pdf["tie"], "accepted": flags})
 
     out = spread.select("client", "session", "at", "tie").mapInPandas(
-        run, f"client {dict(rows.dtypes)['client']}, tie {dict(rows.dtypes)['tie']}, accepted boolean")
+        run, f"client {types['client']}, tie {types['tie']}, accepted boolean")
     return out.withColumnsRenamed({"client": client, "tie": tie})

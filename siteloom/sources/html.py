@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siteloom.functions import urls
 from siteloom.functions.constants import EXTRACTION_SELECTORS, LIST_DELIMITER
 
-# A tag may hold '>' inside quotes.
+# A tag may hold '>' inside quotes; a tag with an open quote ends at its first '>'.
 _TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_ANY_TAG = rf"<[/!?a-zA-Z](?:{_TAG_REST}|[^>]*>)"
 
 
 def _col(c) -> Column:
@@ -35,8 +36,8 @@ def head_of(source) -> Column:
     return F.regexp_extract(_col(source), r"(?is)<head\b[^>]*>(.*?)</head\s*>", 1)
 
 
-def opening_tags(source, name: str) -> Column:
-    return F.regexp_extract_all(_col(source), F.lit(rf"(?i)<{name}\b{_TAG_REST}"), F.lit(0))
+def opening_tags(source, *names: str) -> Column:
+    return F.regexp_extract_all(_col(source), F.lit(rf"(?i)<(?:{'|'.join(names)})\b{_TAG_REST}"), F.lit(0))
 
 
 def attribute(tag, name: str) -> Column:
@@ -54,7 +55,7 @@ def element_texts(source, name: str) -> Column:
 
 
 def without_tags(fragment) -> Column:
-    return F.regexp_replace(_col(fragment), r"<[^>]*>", "")
+    return F.regexp_replace(_col(fragment), _ANY_TAG, "")
 
 
 def _matcher(name: str, value: str | None):
@@ -90,25 +91,45 @@ class Pick:
         where = re.findall(r"\[([\w:-]+)(?:=\"?([^\]\"]+)\"?)?\]", m[3])
         return cls(m[2], tuple((a, v or None) for a, v in where), m[4], bool(m[1]))
 
-    def tags(self, source: Column, head: Column) -> Column:
-        tags = opening_tags(head if self.in_head else source, self.tag)
-        for name, value in self.where:
-            tags = F.filter(tags, _matcher(name, value))
-        return tags
+    def tags(self) -> Column:
+        """Matching opening tags of a prepared page."""
+        wanted = F.col("_head_tags" if self.in_head else "_tags")
+        tests = [_matcher(name, value) for name, value in self.where]
 
-    def values(self, source: Column, head: Column) -> Column:
+        def matches(tag: Column) -> Column:
+            found = tag.rlike(rf"(?i)^<{self.tag}\b")
+            for test in tests:
+                found = found & test(tag)
+            return found
+
+        return F.filter(wanted, matches)
+
+    def values(self) -> Column:
         if self.attr is None:
-            return element_texts(head if self.in_head else source, self.tag)
-        return F.filter(F.transform(self.tags(source, head), lambda t: attribute(t, self.attr)),
-                        lambda v: v.isNotNull())
+            return element_texts(F.col("_head" if self.in_head else "_markup"), self.tag)
+        return F.filter(F.transform(self.tags(), lambda t: attribute(t, self.attr)), lambda v: v.isNotNull())
+
+
+def prepared(pages: DataFrame, tags: set[str], html: str = "html") -> DataFrame:
+    """Adds what all columns of a page share, each computed once.
+
+    ``_markup`` and ``_head`` are the cleaned source; ``_tags`` and
+    ``_head_tags`` list the opening tags named, so that the columns read a
+    short list instead of scanning the page again.
+    """
+    cleaned = pages.withColumn("_markup", markup(html)).withColumn("_head", head_of("_markup"))
+    return cleaned.withColumns({
+        "_tags": opening_tags("_markup", *sorted(tags)), "_head_tags": opening_tags("_head", *sorted(tags))})
+
+
+_SHARED = ("_markup", "_head", "_tags", "_head_tags")
 
 
 def extract(pages: DataFrame, selectors: dict[str, str], html: str = "html") -> DataFrame:
     """Adds one list column per selector. Only the columns named are computed."""
-    source, head = F.col("_markup"), F.col("_head")
     picks = {n: Pick.of(s) for n, s in selectors.items()}
-    return _prepared(pages, html).withColumns(
-        {n: p.values(source, head) for n, p in picks.items()}).drop("_markup", "_head")
+    return prepared(pages, {p.tag for p in picks.values()}, html).withColumns(
+        {n: p.values() for n, p in picks.items()}).drop(*_SHARED)
 
 
 def merged_selectors(own: dict[str, str] | None = None) -> dict[str, str]:
@@ -116,32 +137,30 @@ def merged_selectors(own: dict[str, str] | None = None) -> dict[str, str]:
     return {**EXTRACTION_SELECTORS, **(own or {})}
 
 
-def _prepared(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``_markup`` and ``_head`` are computed once per page and shared by all columns."""
-    return pages.withColumn("_markup", markup(html)).withColumn("_head", head_of("_markup"))
+COUNTED_TAGS = {"head", "title", "link", "meta"}
 
 
-def structure_counts(source: Column, head: Column) -> dict[str, Column]:
+def structure_counts() -> dict[str, Column]:
     """How often head, title, canonical and description occur, and how often inside the head."""
-    def count(tag: str, where=(), within: Column = source):
-        return F.size(Pick(tag, where).tags(within, within)).cast("bigint")
+    def count(tag: str, where=(), in_head: bool = False):
+        return F.size(Pick(tag, where, None, in_head).tags()).cast("bigint")
 
     canonical, desc = (("rel", "canonical"),), (("name", "description"),)
     return {
         "head_count": count("head"),
         "title_count": count("title"),
-        "title_in_head_count": count("title", (), head),
+        "title_in_head_count": count("title", (), True),
         "canonical_total_count": count("link", canonical),
-        "canonical_in_head_count": count("link", canonical, head),
+        "canonical_in_head_count": count("link", canonical, True),
         "meta_desc_total_count": count("meta", desc),
-        "meta_desc_in_head_count": count("meta", desc, head),
+        "meta_desc_in_head_count": count("meta", desc, True),
     }
 
 
 def body_text(source) -> Column:
     """Visible text of the body, one blank between pieces."""
-    body = F.regexp_extract(_col(source), r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
-    blank = F.regexp_replace(F.regexp_replace(body, r"<[^>]*>", " "), r"(?U)\s+", " ")
+    body = F.regexp_extract(_col(source), rf"(?is)<body\b{_TAG_REST}(.*?)(?:</body\s*>|$)", 1)
+    blank = F.regexp_replace(F.regexp_replace(body, _ANY_TAG, " "), r"(?U)\s+", " ")
     return F.trim(blank)
 
 
@@ -168,12 +187,11 @@ def nav_links(source, page_url) -> Column:
     return F.transform(links(menus, page_url), lambda x: x["url"])
 
 
-def images(source, page_url) -> Column:
-    tags = opening_tags(source, "img")
-    return F.transform(
-        F.filter(tags, lambda t: attribute(t, "src").isNotNull()),
-        lambda t: F.struct(urls.resolve(page_url, F.trim(attribute(t, "src"))).alias("src"),
-                           attribute(t, "alt").alias("alt")))
+def images(page_url) -> Column:
+    """Image sources and alt texts of a prepared page."""
+    tags = F.filter("_tags", lambda t: t.rlike(r"(?i)^<img\b") & attribute(t, "src").isNotNull())
+    return F.transform(tags, lambda t: F.struct(
+        urls.resolve(page_url, F.trim(attribute(t, "src"))).alias("src"), attribute(t, "alt").alias("alt")))
 
 
 def jsonld(html) -> Column:
@@ -191,27 +209,28 @@ def _first(items: Column) -> Column:
 
 def crawl_columns(pages: DataFrame, own_selectors: dict[str, str] | None = None) -> DataFrame:
     """pages(…, url, html) with every extraction column of the crawl schema added."""
-    source, head = F.col("_markup"), F.col("_head")
-    lists = {n: Pick.of(s).values(source, head) for n, s in merged_selectors(own_selectors).items()}
+    picks = {n: Pick.of(s) for n, s in merged_selectors(own_selectors).items()}
+    lists = {n: p.values() for n, p in picks.items()}
     hreflang = F.arrays_zip(lists.pop("hreflang_hreflang").alias("lang"), lists.pop("hreflang_href").alias("href"))
     joined = {
         n: F.nullif(F.array_join(lists.pop(n), LIST_DELIMITER), F.lit(""))
         for n in ("meta_robots", "html_lang", "meta_keywords", "meta_refresh", "rel_next", "rel_prev", "amphtml")
     }
     single = {
-        "title": _first(element_texts(source, "title")),
-        "meta_desc": _first(Pick.of("meta[name=description]::attr(content)").values(source, head)),
-        "canonical": _first(Pick.of("link[rel=canonical]::attr(href)").values(source, head)),
-        "viewport": _first(Pick.of("meta[name=viewport]::attr(content)").values(source, head)),
-        "h1": element_texts(source, "h1"),
-        "h2": element_texts(source, "h2"),
-        "body_text": body_text(source),
-        "links": links(source, F.col("url")),
-        "nav_links_url": nav_links(source, F.col("url")),
-        "images": images(source, F.col("url")),
+        "title": _first(element_texts("_markup", "title")),
+        "meta_desc": _first(Pick.of("meta[name=description]::attr(content)").values()),
+        "canonical": _first(Pick.of("link[rel=canonical]::attr(href)").values()),
+        "viewport": _first(Pick.of("meta[name=viewport]::attr(content)").values()),
+        "h1": element_texts("_markup", "h1"),
+        "h2": element_texts("_markup", "h2"),
+        "body_text": body_text("_markup"),
+        "links": links("_markup", F.col("url")),
+        "nav_links_url": nav_links("_markup", F.col("url")),
+        "images": images(F.col("url")),
         "jsonld": jsonld("html"),
         "hreflang": hreflang,
         "size": F.octet_length("html").cast("bigint"),
     }
-    columns = {**lists, **joined, **single, **structure_counts(source, head)}
-    return _prepared(pages).withColumns(columns).drop("_markup", "_head")
+    columns = {**lists, **joined, **single, **structure_counts()}
+    tags = COUNTED_TAGS | {"img"} | {p.tag for p in picks.values()}
+    return prepared(pages, tags).withColumns(columns).drop(*_SHARED)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siteloom.operators.pacing import replay
+from siteloom.operators.pacing import replayer
 
 _OUT = "client bigint, tie bigint, accepted boolean"
 
@@ -20,12 +20,12 @@ def limited_stream(events: DataFrame, client: str, ts: str, tie: str, limit: int
     A micro-batch bounds what one client contributes to a task; the state of a
     client is at most ``limit`` times, and expired ones are dropped.
     """
-    window = int(window_sec * 1_000_000)
+    replay = replayer(limit, int(window_sec * 1_000_000))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         accepted = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(batches)).sort_values(["at", "tie"])
-        flags = replay(rows["at"].tolist(), accepted, limit, window)
+        flags = replay(rows["at"].tolist(), accepted)
         state.update((list(accepted),))
         yield pd.DataFrame({"client": key[0], "tie": rows["tie"].to_numpy(), "accepted": flags})
 

@@ -39,16 +39,16 @@ def html_core(spark, sf):
     len(regexp_extract_all(regexp_extract(html, '(?s)<head>(.*?)</head>', 1), '<title>')) AS title_in_head_count,
     0 AS canonical_total_count, 0 AS canonical_in_head_count, 0 AS meta_desc_total_count, 0 AS meta_desc_in_head_count FROM pages""")
 def html_counts(spark, sf):
-    counts = X.structure_counts(F.col("_markup"), F.col("_head"))
-    return X._prepared(_pages(spark, sf)).select("page_id", *[c.alias(n) for n, c in counts.items()])
+    counts = X.structure_counts()
+    return X.prepared(_pages(spark, sf), X.COUNTED_TAGS).select("page_id", *[c.alias(n) for n, c in counts.items()])
 
 
 @query("html_rich_counts", """SELECT page_id, 2 AS head_count, 1 + 0 AS title_count, 0 AS title_in_head_count, 1 AS canonical_total_count,
     1 AS canonical_in_head_count, 1 AS meta_desc_total_count, 1 AS meta_desc_in_head_count FROM pages""")
 def html_rich_counts(spark, sf):
     """With a commented-out title and a second head."""
-    counts = X.structure_counts(F.col("_markup"), F.col("_head"))
-    return X._prepared(_rich(spark, sf)).select("page_id", *[c.alias(n) for n, c in counts.items()])
+    counts = X.structure_counts()
+    return X.prepared(_rich(spark, sf), X.COUNTED_TAGS).select("page_id", *[c.alias(n) for n, c in counts.items()])
 
 
 @query("html_links", f"""SELECT page_id, i AS pos, {Q.scheme('url')} || '://' || {Q.netloc('url')} || href AS link, txt AS text, false AS nofollow FROM (
@@ -56,7 +56,7 @@ def html_rich_counts(spark, sf):
     unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS txt,
     generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS i FROM pages)""")
 def html_links(spark, sf):
-    p = X._prepared(_pages(spark, sf)).select("page_id", F.posexplode(X.links(F.col("_markup"), F.col("url"))).alias("pos", "l"))
+    p = _pages(spark, sf).select("page_id", F.posexplode(X.links(X.markup("html"), F.col("url"))).alias("pos", "l"))
     return p.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("l.url").alias("link"),
                     F.col("l.text").alias("text"), F.col("l.nofollow").alias("nofollow"))
 
@@ -81,18 +81,17 @@ def html_assets(spark, sf):
 def html_custom(spark, sf):
     """A caller's own selectors."""
     own = {"hints": "link[rel=preconnect]::attr(href)", "prev": "link[rel=prev]::attr(href)", "charset": "meta[charset]::attr(charset)"}
-    p = X._prepared(_rich(spark, sf))
-    cols = {n: X.Pick.of(s).values(F.col("_markup"), F.col("_head")) for n, s in own.items()}
-    return p.select(
+    cols = {n: X.Pick.of(s).values() for n, s in own.items()}
+    return X.prepared(_rich(spark, sf), {"link", "meta", "p"}).select(
         "page_id", *[F.array_join(c, ",").alias(n) for n, c in cols.items()],
-        F.size(X.Pick("p").tags(F.col("_markup"), F.col("_head"))).cast("bigint").alias("paragraphs"))
+        F.size(X.Pick("p").tags()).cast("bigint").alias("paragraphs"))
 
 
 @query("html_body_text", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<script>.*?</script>|<!--.*?-->', '', 'g'), '(?s)</body>.*$', ''),
     '<[^>]*>', ' ', 'g'), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS body_text FROM pages""")
 def html_body_text(spark, sf):
-    return X._prepared(_pages(spark, sf)).select("page_id", X.body_text("_markup").alias("body_text"))
+    return _pages(spark, sf).select("page_id", X.body_text(X.markup("html")).alias("body_text"))
 
 
 @query("html_crawl_columns", f"""SELECT page_id, octet_length(encode(html)) AS size, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
@@ -107,5 +106,5 @@ def html_crawl_columns(spark, sf):
 
 @query("html_images", f"""SELECT page_id, {Q.scheme('url')} || '://' || {Q.netloc('url')} || '/i/' || CAST(page_id AS STRING) || '.png' AS src, 'x>y' AS alt FROM pages""")
 def html_images(spark, sf):
-    p = X._prepared(_rich(spark, sf)).select("page_id", F.explode(X.images(F.col("_markup"), F.col("url"))).alias("i"))
+    p = X.prepared(_rich(spark, sf), {"img"}).select("page_id", F.explode(X.images(F.col("url"))).alias("i"))
     return p.select("page_id", "i.src", "i.alt")

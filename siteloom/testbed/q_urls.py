@@ -61,7 +61,7 @@ _RESOLVE = {"rooted": "'/a//b/../c'", "other": "'//cdn.example.com/x'", "absolut
             "query_only": "'?q=2'", "sibling": "'next.html'"}
 
 
-@query("url_resolve", f"""SELECT seq, url, {Q.scheme('url')} || '://' || {Q.netloc('url')} || '/a/c' AS rooted,
+@query("url_resolve", f"""SELECT seq, url, {Q.scheme('url')} || '://' || {Q.netloc('url')} || '/a//c' AS rooted,
     {Q.scheme('url')} || ':' || '//cdn.example.com/x' AS other, 'https://e.example.org/./a' AS absolute,
     regexp_replace(url, '[?#].*$', '') || '?q=2' AS query_only,
     {Q.scheme('url')} || '://' || {Q.netloc('url')} || CASE WHEN {Q.path('url')} = '' THEN '/' ELSE regexp_replace({Q.path('url')}, '[^/]*$', '') END || 'next.html' AS sibling

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions import urls
+from siteloom.session import materialise
 
 
 def crawl_hosts(crawl: DataFrame) -> DataFrame:
@@ -16,6 +17,11 @@ def crawl_hosts(crawl: DataFrame) -> DataFrame:
     )
 
 
+def hosts_table(crawl: DataFrame) -> DataFrame:
+    """``crawl_hosts`` written once: its size tells Spark whether link joins can broadcast it."""
+    return materialise(crawl_hosts(crawl), "hosts")
+
+
 def primary_hosts(hosts: DataFrame) -> DataFrame:
     """Most frequent host of every crawl, the first seen on ties."""
     best = F.max_by("host", F.struct(F.col("pages"), -F.col("first_seq")))

@@ -116,16 +116,18 @@ def status_findings(looked_up: DataFrame) -> DataFrame:
     return as_findings(looked_up.where(bad), F.col("num"), rank="rank", pos="pos")
 
 
-def onclick_sample(html: DataFrame, sample: int) -> DataFrame:
-    """81: the first distinct pages with their stored HTML tested.
+def onclick_tested(html: DataFrame) -> DataFrame:
+    """81 on every row of html(crawl_id, seq, url, html)."""
+    return html.select(
+        "crawl_id", "url", F.lit(81).alias("num"), "seq",
+        F.col("html").isNotNull().alias("resolved"), F.col("html").rlike(K.ONCLICK_ANCHOR).alias("bad"))
+
 
-    html(crawl_id, seq, url, html); the pattern runs on the chosen pages only.
-    """
+def onclick_sample(html: DataFrame, sample: int) -> DataFrame:
+    """81 on the first distinct pages of each crawl."""
     keys = html.groupBy("crawl_id", "url").agg(F.min("seq").alias("seq"))
     chosen = top_n(keys, ["crawl_id"], [F.col("seq")], sample)
-    return chosen.join(html.select("crawl_id", "url", "seq", "html"), ["crawl_id", "url", "seq"]).select(
-        "crawl_id", "url", F.lit(81).alias("num"), "seq",
-        F.col("html").isNotNull().alias("resolved"), F.col("html").rlike(K.ONCLICK_ANCHOR).alias("bad"))
+    return onclick_tested(html.join(chosen, ["crawl_id", "url", "seq"], "left_semi"))
 
 
 def onclick_findings(tested: DataFrame) -> DataFrame:

@@ -168,8 +168,15 @@ class Audit:
             F.array_except("signals", "available_signals"))
         return rows.withColumn("missing", missing)
 
+    @property
     def excluded(self) -> DataFrame:
-        """(crawl_id, num, basis) not to be reported: gated checks, and static results lab data replaces."""
+        """(crawl_id, num, basis) not to be reported: gated checks, and static results lab data replaces.
+
+        A few rows per crawl, written so that findings need no shuffle while it is small.
+        """
+        return self._shared("excluded", self._excluded)
+
+    def _excluded(self) -> DataFrame:
         gated = self.grid().where(F.size("missing") > 0).select(
             "crawl_id", "num", F.explode(literals(("crawl", "static", "lab"))).alias("basis"))
         answered = L.lab_scope(self.lab_entries).select("crawl_id", "num", F.lit("static").alias("basis"))
@@ -186,17 +193,14 @@ class Audit:
             self.render_findings(),
         ])
         kept = every.where(F.col("num").isin(*self.checks))
-        return kept.join(self.excluded(), ["crawl_id", "num", "basis"], "left_anti").select(*FINDING_COLUMNS)
+        return kept.join(self.excluded, ["crawl_id", "num", "basis"], "left_anti").select(*FINDING_COLUMNS)
 
     def detail(self) -> DataFrame:
         """Findings with check title and tier, as listed in the report."""
-        names = F.map_from_arrays(
-            F.array(*[F.lit(n) for n in self.checks]),
-            F.array(*[F.struct(F.lit(c.title).alias("check"), F.lit(c.tier).alias("tier"))
-                      for c in self.checks.values()]))
-        return self.findings().select(
-            "crawl_id", "num", F.try_element_at(names, F.col("num")).alias("n"), "rank", "seq", "pos", "url",
-        ).select("crawl_id", "num", "n.check", "n.tier", "rank", "seq", "pos", "url")
+        names = self.spark.range(1).select(F.inline(as_array(self.checks))).select("num", "check", "tier")
+        # One row per check of the catalogue.
+        return self.findings().join(F.broadcast(names), "num").select(
+            "crawl_id", "num", "check", "tier", "rank", "seq", "pos", "url")
 
     def conditions(self) -> DataFrame:
         """One row per crawl: which inputs were there at all."""

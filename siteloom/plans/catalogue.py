@@ -236,18 +236,18 @@ def with_row_check(
     return {**checks, num: Check(num, title, tier, "row", "crawl columns", why, signals, heuristic, predicate)}
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def as_array(checks: dict[int, Check] | None = None) -> Column:
     """The catalogue as an array literal; ``inline`` it to pair each row with every check."""
-    return F.array(*[
-        F.struct(
-            F.lit(c.num).alias("num"), F.lit(c.title).alias("check"), F.lit(c.tier).alias("tier"),
-            F.lit(c.kind).alias("kind"),
-            F.array(*[F.lit(s) for s in c.signals]).cast("array<string>").alias("signals"),
-            F.lit(c.heuristic).alias("heuristic"), F.lit(c.source).alias("detection_source"),
-            F.lit(c.why).alias("explanation"),
-        )
-        for c in (checks or CHECKS).values()
-    ])
+    rows = ", ".join(
+        f"named_struct('num', {c.num}, 'check', {_text(c.title)}, 'tier', {_text(c.tier)}, 'kind', {_text(c.kind)}, "
+        f"'signals', CAST(array({', '.join(map(_text, c.signals))}) AS ARRAY<STRING>), 'heuristic', {c.heuristic}, "
+        f"'detection_source', {_text(c.source)}, 'explanation', {_text(c.why)})"
+        for c in (checks or CHECKS).values())
+    return F.expr(f"array({rows})")
 
 
 def table(spark: SparkSession, checks: dict[int, Check] | None = None) -> DataFrame:

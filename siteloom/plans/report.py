@@ -119,7 +119,7 @@ def crawl_detail(crawl: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     Page text is reduced to counts before any shuffle; link metrics are joined
     on narrow keys and meet the wide rows once.
     """
-    hosts = H.crawl_hosts(crawl) if hosts is None else hosts
+    hosts = H.hosts_table(crawl) if hosts is None else hosts
     links = analysis.link_facts(crawl)
     keyed = crawl.select("crawl_id", "seq", urls.strict_form("url").alias("target"))
     metrics = keyed.join(analysis.inlinks(links, hosts), ["crawl_id", "target"], "left").drop("target").join(

@@ -64,7 +64,7 @@ def primary_host(spark, sf):
 @query("link_facts", """SELECT crawl_id, seq, url, link, nofollow, host, internal FROM link_rows""", EXTRA)
 def link_facts(spark, sf):
     c = D.stored(spark, sf)
-    links, hosts = A.link_facts(c), H.crawl_hosts(c)
+    links, hosts = A.link_facts(c), H.hosts_table(c)
     inside = A.internal_links(links, hosts).select("crawl_id", "seq", "pos", F.lit(True).alias("internal"))
     return links.join(inside, ["crawl_id", "seq", "pos"], "left").select(
         "crawl_id", "seq", "url", "link", "nofollow", "host", F.coalesce("internal", F.lit(False)).alias("internal"))
@@ -75,21 +75,21 @@ def link_facts(spark, sf):
     count(DISTINCT CASE WHEN internal THEN link END) AS unique_internal_targets FROM link_rows GROUP BY crawl_id""", EXTRA)
 def link_analysis(spark, sf):
     c = D.stored(spark, sf)
-    return A.link_analysis(A.link_facts(c), H.crawl_hosts(c))
+    return A.link_analysis(A.link_facts(c), H.hosts_table(c))
 
 
 @query("top_targets", """SELECT crawl_id, link, n FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY n DESC, link) AS r
     FROM (SELECT crawl_id, link, count(*) AS n FROM link_rows WHERE internal GROUP BY ALL)) WHERE r <= 20""", EXTRA)
 def top_targets(spark, sf):
     c = D.stored(spark, sf)
-    return A.top_targets(A.link_facts(c), H.crawl_hosts(c))
+    return A.top_targets(A.link_facts(c), H.hosts_table(c))
 
 
 @query("inlinks", f"""SELECT crawl_id, {Q.strict('trim(link)')} AS target, count(*) AS inlinks, count(DISTINCT url) AS unique_inlinks
     FROM link_rows WHERE internal GROUP BY ALL""", EXTRA)
 def inlinks(spark, sf):
     c = D.stored(spark, sf)
-    return A.inlinks(A.link_facts(c), H.crawl_hosts(c))
+    return A.inlinks(A.link_facts(c), H.hosts_table(c))
 
 
 @query("redirect_facts", """SELECT r.crawl_id, r.seq, r.url, c.status, c.download_latency,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteloom.functions import constants as K
-from siteloom.plans import audit as AU
+from siteloom.plans import asset_checks as A, audit as AU
 from siteloom.plans.catalogue import CHECKS, of_kind
+from siteloom.plans.report import crawl_detail
 from siteloom.testbed import derived as D, duck as Q
 from siteloom.testbed.q_analysis import EXTRA
 from siteloom.testbed.registry import query
@@ -291,12 +292,12 @@ def findings_render(spark, sf):
     return audit(spark, sf).render_findings().select("crawl_id", "num", "url")
 
 
-@query("findings_onclick")
+@query("findings_onclick", """SELECT crawl_id, seq, url, true AS resolved, len(list_filter(regexp_extract_all(lower(html), '<a[^>]*onclick='),
+    lambda x: NOT contains(x, 'href='))) > 0 AS bad FROM crawl""")
 def findings_onclick(spark, sf):
-    """Every page tested: the sample here is the whole table."""
-    from siteloom.plans import asset_checks as A
+    """Every page tested."""
     html = D.flat(spark, sf).select("crawl_id", "seq", "url", "html")
-    return A.onclick_sample(html, 2 ** 31 - 1).select("crawl_id", "seq", "url", "resolved", "bad")
+    return A.onclick_tested(html).select("crawl_id", "seq", "url", "resolved", "bad")
 
 
 @query("findings", "SELECT crawl_id, num, basis, seq, url FROM f_kept", AUDIT)
@@ -341,5 +342,4 @@ def audit_gate(spark, sf):
 
 @query("embedded_detail", """SELECT crawl_id, seq, url AS "Address" FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY seq) AS r FROM crawl) WHERE r <= 5000""")
 def embedded_detail(spark, sf):
-    from siteloom.plans.report import crawl_detail
     return audit(spark, sf).embedded_detail(crawl_detail(D.stored(spark, sf))).select("crawl_id", "seq", "Address")

@@ -39,6 +39,12 @@ def test_exact_limiter(events, limit, window, block):
     assert got == brute(events, limit, window)
 
 
+@pytest.mark.parametrize("session_rows", [50, 400])
+def test_long_sessions_go_block_by_block(events, session_rows):
+    got = {r.id: r.accepted for r in pacing.limited(events, "client", "ts", "id", 4, 200, 600, session_rows).collect()}
+    assert got == brute(events, 4, 200)
+
+
 def test_attempts(events):
     rows = events.collect()
     got = {r.id: r.attempts for r in pacing.attempts(events, "client", "ts", 2, 60).collect()}

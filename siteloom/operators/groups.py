@@ -37,7 +37,7 @@ def previous_in_group(
     rows look back inside their range, and the first row of a range takes the
     last value of the range before it. ``value`` must not be null.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(seq) / F.lit(block_rows)))
+    blocked = df.withColumn("_block", F.expr(f"`{seq}` div {block_rows}"))
     inside = Window.partitionBy(*keys, "_block").orderBy(seq)
     across = Window.partitionBy(*keys).orderBy("_block")
     carried = (

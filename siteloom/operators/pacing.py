@@ -20,7 +20,7 @@ def attempts(events: DataFrame, client: str, ts: str, limit: int, window_sec: fl
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     width = int(window_sec * 1_000_000)
-    rows = events.withColumn("_at", micros).withColumn("_slot", F.floor(F.col("_at") / F.lit(width)))
+    rows = events.withColumn("_at", micros).withColumn("_slot", F.expr(f"_at div {width}"))
     # An event counts in its own slot and in the next one.
     copies = rows.select(
         "*", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1)).alias("_seen_in"),
@@ -37,7 +37,7 @@ def sessions(events: DataFrame, client: str, order: list[str], at: str, gap: int
     are independent. Starts are found inside time blocks and carried over the
     (client, block) summary, never over all events of a client at once.
     """
-    blocked = events.withColumn("_block", F.floor(F.col(at) / F.lit(block)))
+    blocked = events.withColumn("_block", F.expr(f"`{at}` div {block}"))
     inside = Window.partitionBy(client, "_block").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     marked = blocked.withColumn("_prev", F.lag(at).over(inside))

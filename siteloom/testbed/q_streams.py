@@ -76,10 +76,11 @@ def stream_rate_limit(spark, sf):
     """Events replayed in time order through the stateful limiter."""
     parts, sink = new_path(spark, "events"), new_path(spark, "limited")
     rows = D.read(spark, sf, "events").select("event_id", "user_id", "ts")
-    # Earlier events arrive first; a batch may hold several files of one period.
+    state = new_path(spark, "limited-state")
+    # One period arrives, is processed as one batch, and the next follows.
     for half in ("<", ">="):
-        rows.where(f"ts {half} TIMESTAMP '2024-01-15'").coalesce(1).write.mode("append").parquet(parts)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(parts)
-    limiter.limited_stream(stream, "user_id", "ts", "event_id", LIMIT, WINDOW_SEC).writeStream.outputMode("append").option(
-        "checkpointLocation", new_path(spark, "limited-state")).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
+        rows.where(f"ts {half} TIMESTAMP '2024-01-15'").write.mode("append").parquet(parts)
+        stream = spark.readStream.schema(rows.schema).parquet(parts)
+        limiter.limited_stream(stream, "user_id", "ts", "event_id", LIMIT, WINDOW_SEC).writeStream.outputMode("append").option(
+            "checkpointLocation", state).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
     return spark.read.parquet(sink)

@@ -139,7 +139,7 @@ def limited(events: DataFrame, client: str, ts: str, tie: str, limit: int, windo
     else:
         flags = _replay_sorted(parts.join(long, keys, "left_anti"), limit, window, types)
         rest = materialise(parts.join(long, keys, "left_semi").withColumn(
-            "block", F.floor(F.col("at") / F.lit(block))), "long-rows")
+            "block", F.expr(f"at div {block}")), "long-rows")
         state = None
         # Block numbers only: as many as the time range has blocks.
         for (b,) in rest.select("block").distinct().orderBy("block").collect():

@@ -37,8 +37,13 @@ def toy(spark):
        "`resp_headers_Content-Type` string, img_src string, links_url string, links_nofollow string")
 
 
-def test_without_optional_sources_nothing_is_a_false_pass(spark, toy):
-    run = _run(spark, toy)
+@pytest.fixture(scope="module")
+def toy_run(spark, toy):
+    return _run(spark, toy)
+
+
+def test_without_optional_sources_nothing_is_a_false_pass(toy_run):
+    run = toy_run
     states = _states(run)
     assert len(states) == 91 and set(states.values()) <= STATES
     partial = {28, 29, 53, 85, 86}
@@ -52,8 +57,8 @@ def test_without_optional_sources_nothing_is_a_false_pass(spark, toy):
     assert sum(totals.values()) == 91
 
 
-def test_checklist_counts_equal_findings(spark, toy):
-    run = _run(spark, toy)
+def test_checklist_counts_equal_findings(toy_run):
+    run = toy_run
     found = {r.num: r["count"] for r in run.findings().groupBy("num").count().collect()}
     listed = {r.num: r.affected_count for r in run.checklist().where("affected_count > 0").collect()}
     assert found == listed

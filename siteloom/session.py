@@ -30,6 +30,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: ``spark.checkpoint.dir`` of the session.
 
@@ -39,12 +42,13 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="siteloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="siteloom-")
+    return _OWN[context.applicationId]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.functions import constants as K
-from siteloom.operators import hosts as H
+from siteloom.functions import urls
+from siteloom.operators.scope import image_scope
 from siteloom.plans.audit import Audit
 from siteloom.plans.report import crawl_detail
 from siteloom.session import new_path
 from siteloom.sources import crawl as C, lab, robots as R, sitemap as S, spider_export as E
 from siteloom.testbed import derived as D, duck as Q
-from siteloom.testbed.q_analysis import EXTRA
 from siteloom.testbed.registry import query
 
 
@@ -56,12 +55,8 @@ def image_shards(spark, sf):
     path = new_path(spark, "shards")
     images = D.read(spark, sf, "pages").selectExpr(
         "page_id", "url || '/i.png' AS img_src", "CAST(length(html) % 400 AS BIGINT) AS width", "CAST(length(url) % 100 AS BIGINT) AS height")
-    # Shards carry the crawler's file suffix.
-    images.write.option("extension", "jl").json(path)
-    files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    raw = spark.read.json(files)
-    from siteloom.operators.scope import image_scope
-    return image_scope(raw, 50, 20)
+    images.write.json(path)
+    return image_scope(spark.read.json(path), 50, 20)
 
 
 @query("detail_csv", """SELECT url AS "Address", title AS "Title 1", coalesce(meta_desc, '') AS "Meta Description 1" FROM crawl""")
@@ -91,7 +86,6 @@ ROBOTS = {
 
 
 def _robot_files(spark, sf):
-    from siteloom.functions import urls
     hosts = D.read(spark, sf, "pages").select(urls.host("url").alias("host")).distinct()
     return hosts.selectExpr("host", f"{_ROBOTS_BODY} AS body")
 
@@ -132,7 +126,6 @@ _CAN = """CASE WHEN agent = 'Bot' THEN
 @query("robots_can_fetch", f"""SELECT page_id, agent, {_CAN} AS can_fetch FROM (SELECT page_id, {Q.host('url')} AS host,
     {Q.path('url')} || CASE WHEN {Q.query('url')} <> '' THEN '?' || {Q.query('url')} ELSE '' END AS target, unnest(['Bot', 'Other']) AS agent FROM pages)""")
 def robots_can_fetch(spark, sf):
-    from siteloom.functions import urls
     pages = D.read(spark, sf, "pages").select("page_id", "url", urls.host("url").alias("host"))
     return R.can_fetch(pages, _robot_files(spark, sf), ["Bot", "Other"], ["host"]).select("page_id", "agent", "can_fetch")
 
@@ -202,8 +195,8 @@ def sitemap_discovery(spark, sf):
 @query("lab_metrics", "SELECT crawl_id, url, audit_id, score, numeric_value FROM psi")
 def lab_metrics(spark, sf):
     """Metrics as service payloads, with an audit nobody asked for."""
-    entries = [F.struct(F.col("audit_id").alias("k"), F.struct("score", F.col("numeric_value").alias("numericValue")).alias("v"))]
-    rows = D.psi(spark, sf).select("crawl_id", "url", *entries and [entries[0].alias("e")])
+    entry = F.struct(F.col("audit_id").alias("k"), F.struct("score", F.col("numeric_value").alias("numericValue")).alias("v"))
+    rows = D.psi(spark, sf).select("crawl_id", "url", entry.alias("e"))
     audits = F.map_from_entries(F.array("e", F.struct(F.lit("speed-index").alias("k"), F.col("e.v").alias("v"))))
     payload = F.to_json(F.struct(F.struct(audits.alias("audits")).alias("lighthouseResult")))
     return lab.lab_metrics(rows.select("crawl_id", "url", payload.alias("payload")))
@@ -238,11 +231,6 @@ def _export_folder(spark, sf) -> str:
     return folder
 
 
-IMPORT = {
-    "firsts": "SELECT url, count(*) AS copies FROM crawl WHERE crawl_id = 'a' GROUP BY url",
-}
-
-
 @query("import_internal", """SELECT url, status, nullif(trim(title), '') AS title, CASE WHEN trim(title) <> '' THEN 1 ELSE 0 END + CASE WHEN seq % 4 = 0 THEN 1 ELSE 0 END AS title_count,
     nullif(trim(meta_desc), '') AS meta_desc, CASE WHEN trim(coalesce(h1_cell, '')) = '' THEN 0 WHEN h1_cell = 'First@@Second' THEN 2 ELSE 1 END AS h1_items,
     canonical, meta_robots, depth, size, download_latency, content_type FROM crawl WHERE crawl_id = 'a'""")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("q_minhash", "q_bpe", "q_shard", "q_url", "q_warc")
+_MODULES = ("q_minhash", "q_bpe", "q_shard", "q_url", "q_warc", "q_tiling")
 
 
 def load_queries() -> None:

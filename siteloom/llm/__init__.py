@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("q_minhash", "q_bpe", "q_shard", "q_url", "q_warc", "q_tiling")
+_MODULES = ("q_minhash", "q_bpe", "q_shard", "q_url", "q_warc", "q_tiling", "q_license")
 
 
 def load_queries() -> None:

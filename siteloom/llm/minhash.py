@@ -7,11 +7,10 @@ is a running minimum over slices. Bands of the signature name buckets; links are
 the full sets, and components of the links are returned.
 
 Groups of copies: equal sets are one class from the start. In a bucket every member is compared
-with one pivot (the member met in most buckets), never with all others; pivots that have met
-the whole bucket leave it. What still has members of several components goes on without
-the documents of whose set more than the allowed share occurs nowhere else among the rest: they
-can have no partner. After ``ROUNDS`` rounds the cross-component pairs left over are all
-compared, so no link that shares a bucket is lost.
+with one pivot (the member met in most buckets), never with all others. Members of buckets that
+still hold several components are then joined on the rarest elements of their sets, which pairs over the
+threshold must share (prefix filtering), and pairs of different components are compared; so
+no link within a bucket is lost that could join two components.
 
 Defined cases: words are the runs outside blanks and control space after lower-casing A-Z; a text with
 fewer than ``k`` words is one run of all of them; a null, empty or wordless text has
@@ -23,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BASE, LOWER, chunks, lists, materialise, mix, prefix_hash, shingles, small_batches, span_hash, words
@@ -32,7 +31,6 @@ from .graph import components
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 UNIVERSE = 1 << 21
-ROUNDS = 3
 #: Standard deviations by which a signature may fall short of the threshold before its pair is dropped.
 SLACK = 6.5
 
@@ -162,15 +160,29 @@ def mixed(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
-def hopeful(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Drop documents of whose set less than num / den occurs in any other document of ``rows``."""
-    ids = rows.select("rep").distinct()
-    cells = full_sets(docs, k, ids).select("rep", F.size("elements").alias("n"), F.explode("elements").alias("element"))
-    cells = materialise(cells, "cells")
-    seen = cells.groupBy("element").agg(F.count("*").alias("df")).where("df > 1").select("element")
-    kept = (cells.join(seen, "element", "left_semi").groupBy("rep").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-            .where(F.lit(den) * F.col("shared") >= F.lit(num) * F.col("n")).select("rep"))
-    return rows.join(kept, "rep", "left_semi")
+def prefix_pairs(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs of different components among ``rows(rep, component)`` that may reach the threshold: a, b.
+
+    Sets are ordered by how many of these documents hold an element. Two sets that reach the threshold
+    share one of their first n - ceil(n * num / den) + 1 elements in that order, so only these are
+    joined. Per element, the members outside its largest component meet all others.
+    """
+    ids = rows.select("rep", "component").distinct()
+    cells = materialise(full_sets(docs, k, ids.select("rep")).select("rep", F.size("elements").alias("n"), F.explode("elements").alias("element")), "cells")
+    df = cells.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+    order = F.row_number().over(Window.partitionBy("rep").orderBy("df", "element"))
+    # Elements of one document alone come first in its order; they use up its prefix and meet nobody.
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
+    first = (cells.join(df, "element").withColumn("place", order + alone)
+             .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1).select("rep", "n", "element").join(ids, "rep"))
+    first = materialise(first, "prefixes")
+    sizes = first.groupBy("element", "component").agg(F.count("*").alias("members"))
+    major = sizes.groupBy("element").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    held = first.join(major.select("element", F.col("top.component").alias("major")), "element")
+    minor = held.where("component <> major").select("element", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    far = (F.col("ca") != F.col("component")) & (F.lit(den) * F.least("na", "n") >= F.lit(num) * F.greatest("na", "n"))
+    return (minor.join(held, "element").where(far)
+            .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -178,28 +190,18 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     sigs = classes.select("rep", "sig")
     cells = classes.select("rep", F.explode("bands").alias("key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    rows = materialise(cells.join(shared, "key", "left_semi"), "buckets")
-    found, turn = None, 0
-    while True:
-        rows = materialise(with_pivots(rows), "pivots")
-        pairs = rows.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        new = materialise(confirmed(materialise(close(pairs, sigs, num / den), "close"), docs, k, num, den), "links")
-        found = new if found is None else materialise(found.unionByName(new).distinct(), "links")
-        turn += 1
-        labels = materialise(components(found), "labels")
-        rest = (rows.where("rep <> pivot").select("key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left")
-                .select("key", "rep", F.coalesce("component", "rep").alias("component")))
-        rest = materialise(mixed(rest), "rest")
-        if turn == 1 and not rest.isEmpty():
-            rest = materialise(mixed(hopeful(rest, docs, k, num, den)), "rest")
-        if rest.isEmpty():
-            return found
-        if turn == ROUNDS:
-            other = rest.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = rest.withColumnRenamed("rep", "a").join(other, "key").where("component <> cb AND a < b").select("a", "b").distinct()
-            last = confirmed(materialise(close(pairs, sigs, num / den), "close"), docs, k, num, den)
-            return materialise(found.unionByName(last).distinct(), "links")
-        rows = rest.select("key", "rep")
+    rows = materialise(with_pivots(materialise(cells.join(shared, "key", "left_semi"), "buckets")), "pivots").where("rep <> pivot")
+
+    def check(pairs):
+        return materialise(confirmed(materialise(close(pairs, sigs, num / den), "close"), docs, k, num, den), "links")
+
+    found = check(rows.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
+    labels = components(found).withColumnRenamed("v", "rep")
+    rest = rows.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    rest = materialise(mixed(rest).select("rep", "component").distinct(), "rest")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(check(materialise(prefix_pairs(rest, docs, k, num, den), "pairs")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:

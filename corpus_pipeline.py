@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteloom.llm import stages
 from siteloom.llm.common import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", stages.quality_classifier),
+    ("minhash_near_dedup", stages.near_dedup),
+    ("suffix_array_dedup", stages.repeat_removal),
+    ("benchmark_decontamination", stages.decontamination),
+    ("bpe_round_trip", stages.bpe_round_trip),
+]
 
 #: The stages are no SQL: tests hold each against a brute-force version.
 ORACLE_SQL = None

@@ -41,7 +41,10 @@ WIDE = 256
 #: Pieces gathered before those equal within a task are settled.
 FLUSH = 300_000
 #: Bytes of pieces sorted at a time, and pieces of a group sorted in one task.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 18
+#: Suffixes sorted at a time (a bucket of equal windows is not cut), and rows of an output batch.
+PART = 1 << 16
+OUT_ROWS = 1 << 16
 HOT = 32_768
 _U = np.uint64
 
@@ -209,35 +212,47 @@ def settle(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "anchor long, doc long, start long, size long, fine boolean")
 
 
-def suffix_array(raw: np.ndarray, at: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def suffix_arrays(raw: np.ndarray, at: np.ndarray, least: int = LEAST):
     """Suffixes of the rows that share at least ``least`` bytes with another: places in order, common prefix lengths.
 
-    ``lcp[i]`` is that of suffixes i - 1 and i, 0 at the begin of a bucket.
+    ``lcp[i]`` is that of suffixes i - 1 and i, 0 at the begin of a bucket. Parts of whole buckets are
+    yielded one after the other, which bounds what is sorted at a time.
     """
     size = np.diff(at)
     count = np.maximum(size - least + 1, 0)
     place = np.repeat(at[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    end = np.repeat(at[1:], count)
     bucket = span_hash(prefix_hash(raw), place, place + least)
     order = np.argsort(bucket, kind="stable")
-    same = bucket[order][1:] == bucket[order][:-1]
-    twin = np.zeros(len(order), bool)
+    place, bucket = place[order], bucket[order]
+    same = bucket[1:] == bucket[:-1]
+    twin = np.zeros(len(place), bool)
     twin[1:] |= same
     twin[:-1] |= same
-    order = order[twin]
-    place, end, bucket = place[order], end[order], bucket[order]
+    place, bucket = place[twin], bucket[twin]
     if not len(place):
-        return place, np.zeros(0, np.int64)
+        return
     padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(_U)
     word = np.zeros(len(raw) + 1, _U)
     for j in range(8):
         word = (word << _U(8)) | padded[j:j + len(word)]
+    del padded, order
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    lo = 0
+    while lo < len(place):
+        after = np.searchsorted(heads, lo + PART)
+        hi = int(heads[after]) if after < len(heads) else len(place)
+        yield _sorted(place[lo:hi], bucket[lo:hi], at, word, least)
+        lo = hi
+
+
+def _sorted(place, bucket, at, word, least) -> tuple[np.ndarray, np.ndarray]:
+    end = at[np.searchsorted(at, place, side="right")]
     left = end - place - least
     tails = []
     for j in range(0, int(left.max()), 8):
         inside = np.clip(left - j, 0, 8)
         mask = np.where(inside > 0, (~_U(0)) << (_U(8) * (8 - np.maximum(inside, 1)).astype(_U)), _U(0))
-        tails.append(word[np.minimum(place + least + j, len(raw))] & mask)
+        tails.append(word[np.minimum(place + least + j, len(word) - 1)] & mask)
     order = np.lexsort((left, *reversed(tails), bucket))
     place, left, bucket = place[order], left[order], bucket[order]
     lcp, going = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
@@ -252,8 +267,8 @@ def suffix_array(raw: np.ndarray, at: np.ndarray, least: int = LEAST) -> tuple[n
             same += (diff >> _U(56 - 8 * j)) == 0
         lcp[going] += same[going]
         going &= same == 8
-    shared = np.minimum(left[1:], left[:-1]) + least
-    lcp[1:] = np.minimum(lcp[1:], shared)
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(left[1:], left[:-1]) + least)
+    lcp[1:][bucket[1:] != bucket[:-1]] = 0
     return place, lcp
 
 
@@ -272,39 +287,38 @@ def intervals(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(depth, np.int64), np.array(lo, np.int64), np.array(hi, np.int64)
 
 
-def maximal(raw: np.ndarray, at: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal repeats: sorted suffix places, and depth, first and last suffix of each repeat.
+def maximal(raw: np.ndarray, at: np.ndarray, place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal repeats of a suffix array: depth, first and last suffix of each.
 
     An interval counts if its occurrences have different bytes on their left, or one of them has none.
     """
-    place, lcp = suffix_array(raw, at, least)
     depth, lo, hi = intervals(lcp)
-    opens = np.zeros(len(raw) + 1, bool)
-    opens[at] = True
-    before = np.where(opens[place], np.arange(len(place)) + 256, raw[place - 1])
-    change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])]) if len(place) else np.zeros(0, np.int64)
-    diverse = change[hi] > change[lo] if len(lo) else np.zeros(0, bool)
-    return place, depth[diverse], lo[diverse], hi[diverse]
+    opens = at[np.searchsorted(at, place, side="right") - 1] == place
+    before = np.where(opens, np.arange(len(place)) + 256, raw[place - 1])
+    change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    diverse = change[hi] > change[lo]
+    return depth[diverse], lo[diverse], hi[diverse]
 
 
 def occurrences(raw, at, doc, start, least: int = LEAST):
-    """All occurrences of the maximal repeats of pieces: repeat, length, document, start, and whether it is the first."""
-    place, depth, lo, hi = maximal(raw, at, least)
-    row = np.searchsorted(at, place, side="right") - 1
-    d, s = doc[row], start[row] + place - at[row]
-    rank = np.empty(len(place), np.int64)
-    order = np.lexsort((s, d))
-    # Equal (document, start) of two pieces is one occurrence.
-    step = np.concatenate([[0], (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1])]) if len(place) else np.zeros(0, np.int64)
-    rank[order] = np.cumsum(step)
-    if not len(lo):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, bool)
-    low = np.minimum.reduceat(np.append(rank, 0), np.stack([lo, hi + 1], axis=1).ravel())[::2]
-    n = hi - lo + 1
-    which = np.repeat(np.arange(len(lo)), n)
-    at_ = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return which, depth[which], d[at_], s[at_], rank[at_] == low[which]
+    """All occurrences of the maximal repeats of pieces, part by part: repeat, length, document, start, is it the first."""
+    number = 0
+    for place, lcp in suffix_arrays(raw, at, least):
+        depth, lo, hi = maximal(raw, at, place, lcp)
+        if not len(lo):
+            continue
+        row = np.searchsorted(at, place, side="right") - 1
+        d, s = doc[row], start[row] + place - at[row]
+        rank = np.empty(len(place), np.int64)
+        order = np.lexsort((s, d))
+        # Equal (document, start) of two pieces is one occurrence.
+        rank[order] = np.cumsum(np.concatenate([[0], (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1])]))
+        low = np.minimum.reduceat(np.append(rank, 0), np.stack([lo, hi + 1], axis=1).ravel())[::2]
+        n = hi - lo + 1
+        which = np.repeat(np.arange(len(lo)), n)
+        at_ = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield number + which, depth[which], d[at_], s[at_], rank[at_] == low[which]
+        number += len(lo)
 
 
 def _groups(batches, columns: list[str]):
@@ -360,9 +374,11 @@ def repeats(parts: DataFrame) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(np.array([len(x) for x in column.to_pylist()], np.int64))])
             raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
             doc, start, anchor = (table.column(c).to_numpy() for c in ("doc", "start", "anchor"))
-            which, length, d, s, first = occurrences(raw, at, doc, start)
-            name = mix(which.astype(_U) ^ _U(int(anchor[0]) & ((1 << 64) - 1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(length), pa.array(d), pa.array(s), pa.array(first)], names=["repeat", "length", "doc", "start", "first"])
+            for which, length, d, s, first in occurrences(raw, at, doc, start):
+                name = mix(which.astype(_U) ^ _U(int(anchor[0]) & ((1 << 64) - 1))).view(np.int64)
+                for lo in range(0, len(name), OUT_ROWS):
+                    part = slice(lo, lo + OUT_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (name, length, d, s, first)], names=["repeat", "length", "doc", "start", "first"])
 
     ordered = parts.repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
     return ordered.mapInArrow(run, "repeat long, length long, doc long, start long, first boolean")

@@ -49,8 +49,6 @@ ROBOTS_LINE_SHOWN = 80
 UNKNOWN_DEPTH = 99
 
 # ---- fixed values: sampling defaults ------------------------------------
-AUDIT_URL_SAMPLE = 200
-HTML_SAMPLE = 50
 LAB_SAMPLE = 20
 RENDER_SAMPLE = 10
 DETAIL_ROWS_EMBEDDED = 5000

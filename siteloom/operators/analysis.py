@@ -29,20 +29,25 @@ def value_counts(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
     return counts.orderBy(*keys, "value")
 
 
-def content_types(crawl: DataFrame) -> DataFrame:
-    """Most frequent content types, cut first and normalised at ';' afterwards."""
+#: Row that holds what is left of a cut list of values.
+REST = "(other)"
+
+
+def content_types(crawl: DataFrame, n: int = K.TOP_CONTENT_TYPES) -> DataFrame:
+    """The ``n`` most frequent content types, cut first and normalised at ';' afterwards, and one row for the rest."""
     kinds = F.coalesce(F.try_element_at(F.col("resp_headers"), F.lit("content-type")), F.lit("null"))
     counts = crawl.groupBy("crawl_id", kinds.alias("value")).agg(F.count("*").alias("n"))
-    top = top_n(counts, ["crawl_id"], [F.desc("n"), F.col("value")], K.TOP_CONTENT_TYPES)
+    top = top_n(counts, ["crawl_id"], [F.desc("n"), F.col("value")], n)
+    rest = counts.join(top.select("crawl_id", "value"), ["crawl_id", "value"], "left_anti").withColumn("value", F.lit(REST))
     name = F.trim(F.substring_index("value", ";", 1))
-    return top.groupBy("crawl_id", name.alias("content_type")).agg(F.sum("n").alias("n"))
+    return top.unionByName(rest).groupBy("crawl_id", name.alias("content_type")).agg(F.sum("n").alias("n"))
 
 
 def crawl_summary(crawl: DataFrame) -> DataFrame:
-    """(crawl_id, section, value, n): rows, columns, status, depth and content types in one scan.
+    """(crawl_id, section, value, n): rows, column names, status, depth and content types.
 
-    Every statistic is a small group count, so one expanded aggregate covers
-    them all; only the content types are cut afterwards.
+    Every statistic is a small group count: one expanded aggregate covers them, a second scan
+    counts the content types, which are cut afterwards.
     """
     entries = F.array(
         F.struct(F.lit("rows").alias("section"), F.lit("").alias("value")),
@@ -51,9 +56,9 @@ def crawl_summary(crawl: DataFrame) -> DataFrame:
     )
     counted = crawl.select("crawl_id", F.inline(entries)).groupBy("crawl_id", "section", "value").agg(
         F.count("*").alias("n"))
-    columns = crawl.select("crawl_id").distinct().select(
-        "crawl_id", F.lit("columns").alias("section"), F.lit("").alias("value"),
-        F.lit(len(crawl.columns)).cast("bigint").alias("n"))
+    crawls = counted.where("section = 'rows'").select("crawl_id")
+    columns = crawls.select("crawl_id", F.lit("columns").alias("section"), F.lit("").alias("value"),
+                            F.lit(len(crawl.columns)).cast("bigint").alias("n"))
     types = content_types(crawl).select(
         "crawl_id", F.lit("content_type").alias("section"), F.col("content_type").alias("value"), "n")
     return counted.unionByName(columns).unionByName(types)

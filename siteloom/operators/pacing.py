@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from siteloom.session import materialise
-
 
 def attempts(events: DataFrame, client: str, ts: str, limit: int, window_sec: float) -> DataFrame:
     """Each event with the attempts of its client in the window up to it; over the limit means refused.
@@ -55,100 +48,3 @@ def sessions(events: DataFrame, client: str, order: list[str], at: str, gap: int
     carried = heads.withColumn("_carry", F.coalesce("_opens", prior)).select(client, "_block", "_carry")
     return local.join(carried, [client, "_block"], "left").withColumn(
         "session", F.coalesce("_start", "_carry")).drop("_block", "_prev", "_start", "_carry")
-
-
-def replayer(limit: int, window: int):
-    """Function that accepts or refuses ordered times given those that still count.
-
-    Made per use: a nested function travels to the workers by value, so they
-    need no copy of this package.
-    """
-    def replay(times, accepted: deque) -> list[bool]:
-        out = []
-        for t in times:
-            while accepted and t - accepted[0] > window:
-                accepted.popleft()
-            ok = len(accepted) < limit
-            if ok:
-                accepted.append(t)
-            out.append(ok)
-        return out
-
-    return replay
-
-
-def _replay_sorted(rows: DataFrame, limit: int, window: int, types: dict[str, str], carried: bool = False) -> DataFrame:
-    """rows(client, session, at, tie) to flags (client, tie, accepted).
-
-    Sessions are spread over tasks and streamed in time order; a task
-    remembers at most ``limit`` times. If ``carried``, sessions start from the
-    times in ``carry``, and the times that still count come back in ``state``,
-    set where a session ends or a batch cuts it: its latest value holds.
-    """
-    replay = replayer(limit, window)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, deque()
-        for pdf in batches:
-            clients, starts, times = pdf["client"].to_numpy(), pdf["session"].to_numpy(), pdf["at"].to_numpy()
-            flags: list[bool] = []
-            state: list = [None] * len(pdf)
-            # A batch holds whole pieces of sorted sessions; the first may go on from the batch before.
-            turns = np.flatnonzero((clients[1:] != clients[:-1]) | (starts[1:] != starts[:-1])) + 1
-            edges = [0, *turns.tolist(), len(pdf)]
-            for lo, hi in zip(edges, edges[1:]):
-                if lo == hi:
-                    continue
-                key = (clients[lo], starts[lo])
-                if key != current:
-                    carry = pdf["carry"].iloc[lo] if carried else None
-                    current, accepted = key, deque(() if carry is None else [int(t) for t in carry])
-                flags += replay(times[lo:hi].tolist(), accepted)
-                state[hi - 1] = list(accepted)
-            out = pd.DataFrame({"client": clients, "tie": pdf["tie"], "accepted": flags})
-            yield out.assign(session=starts, at=times, state=state) if carried else out
-
-    spread = rows.repartition("client", "session").sortWithinPartitions("client", "session", "at", "tie")
-    flags = f"client {types['client']}, tie {types['tie']}, accepted boolean"
-    if not carried:
-        return spread.select("client", "session", "at", "tie").mapInPandas(run, flags)
-    return spread.select("client", "session", "at", "tie", "carry").mapInPandas(
-        run, f"{flags}, session bigint, at bigint, state array<bigint>")
-
-
-def limited(events: DataFrame, client: str, ts: str, tie: str, limit: int, window_sec: float,
-            block_sec: float | None = None, session_rows: int = 1_000_000) -> DataFrame:
-    """(client, tie, accepted): at most ``limit`` accepted in any window, refused events do not count.
-
-    Sessions of up to ``session_rows`` events are replayed at once, in
-    parallel. A client that hardly ever pauses has longer ones: those are
-    replayed one time block after the other, each block handing on the few
-    times that still count, so that no task sees more than a block of them.
-    """
-    window = int(window_sec * 1_000_000)
-    block = int((block_sec or 24 * window_sec) * 1_000_000)
-    rows = events.select(F.col(client).alias("client"), F.col(tie).alias("tie"),
-                         F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
-    types = dict(rows.dtypes)
-    parts = sessions(rows, "client", ["at", "tie"], "at", window, block)
-    keys = ["client", "session"]
-    long = materialise(
-        parts.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > session_rows).select(*keys), "long-sessions")
-    if long.isEmpty():
-        flags = _replay_sorted(parts, limit, window, types)
-    else:
-        flags = _replay_sorted(parts.join(long, keys, "left_anti"), limit, window, types)
-        rest = materialise(parts.join(long, keys, "left_semi").withColumn(
-            "block", F.expr(f"at div {block}")), "long-rows")
-        state = None
-        # Block numbers only: as many as the time range has blocks.
-        for (b,) in rest.select("block").distinct().orderBy("block").collect():
-            now = rest.where(F.col("block") == b)
-            now = now.withColumn("carry", F.lit(None).cast("array<bigint>")) if state is None else now.join(state, keys, "left")
-            done = materialise(_replay_sorted(now, limit, window, types, carried=True), f"block-{b}")
-            flags = flags.unionByName(done.select("client", "tie", "accepted"))
-            fresh = done.where("state IS NOT NULL").groupBy(*keys).agg(
-                F.max_by("state", F.struct("at", "tie")).alias("carry"))
-            state = materialise(fresh if state is None else fresh.unionByName(
-                state.join(fresh, keys, "left_anti")), f"state-{b}")
-    return flags.withColumnsRenamed({"client": client, "tie": tie})

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from siteloom.operators.groups import top_n
 from siteloom.session import materialise
 
 
-def reach(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None) -> DataFrame:
+def reach(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(crawl_id, url, depth) reachable from seeds(crawl_id, url) over links(crawl_id, url, link).
 
     Breadth first, one join per level; a page keeps the depth it is first seen
-    at. ``max_pages`` stops a crawl at that many pages, nearest and then
-    smallest URL first. Every level is written to the shared folder.
+    at. Every level is written to the shared folder. Scope filters (``scope.crawl_scope`` on the
+    ``link`` column) are applied to ``links`` before the walk, so it stays in the site.
     """
     edges = materialise(links.select("crawl_id", "url", F.col("link").alias("target")).distinct(), "edges")
     level = materialise(seeds.select("crawl_id", "url").distinct().withColumn("depth", F.lit(0)), "level-0")
@@ -26,6 +25,4 @@ def reach(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | N
         if level.isEmpty():
             break
         visited = visited.unionByName(level)
-    if max_pages is None:
-        return visited
-    return top_n(visited, ["crawl_id"], [F.col("depth"), F.col("url")], max_pages)
+    return visited

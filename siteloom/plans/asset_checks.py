@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from siteloom.functions import urls
 from siteloom.functions import constants as K
-from siteloom.operators.groups import top_n
 from siteloom.plans.graph_checks import as_findings, union_all
 from siteloom.sources.robots import blocked_by, rule_arrays, sitemap_lines
 
@@ -51,10 +50,6 @@ def check_assets(assets: DataFrame) -> DataFrame:
         "crawl_id", "url", "num", "at.rank", "at.seq", "at.pos")
 
 
-def _order():
-    return [F.col("rank"), F.col("seq"), F.col("pos"), F.col("url")]
-
-
 def robots_blocked(uses: DataFrame, robots: DataFrame) -> DataFrame:
     """14 and 80: assets a disallow rule matches; every asset is tested."""
     tested = uses.where("num IN (14, 80)").join(rule_arrays(robots), "crawl_id")
@@ -62,31 +57,40 @@ def robots_blocked(uses: DataFrame, robots: DataFrame) -> DataFrame:
     return as_findings(hit, F.col("num"), rank="rank", pos="pos")
 
 
-def sampled(uses: DataFrame, statuses: DataFrame, bodies: DataFrame, sample: int) -> DataFrame:
-    """The first assets of each check with what is known about them."""
-    chosen = top_n(uses.where(F.col("num").isin(*_STATUS_CHECKS, *_BODY_CHECKS)), ["crawl_id", "num"], _order(), sample)
-    joined = chosen.join(statuses.select("crawl_id", "url", "status"), ["crawl_id", "url"], "left").join(
-        bodies.select("crawl_id", "url", "body"), ["crawl_id", "url"], "left")
+def one_status(statuses: DataFrame) -> DataFrame:
+    """(crawl_id, url, status): of several statuses of an address the highest."""
+    return statuses.groupBy("crawl_id", "url").agg(F.max("status").alias("status"))
+
+
+def one_body(bodies: DataFrame) -> DataFrame:
+    """(crawl_id, url, body): of several bodies of an address the last in text order."""
+    return bodies.groupBy("crawl_id", "url").agg(F.max("body").alias("body"))
+
+
+def looked_up(uses: DataFrame, statuses: DataFrame, bodies: DataFrame) -> DataFrame:
+    """All assets of each check with what is known about them."""
+    chosen = uses.where(F.col("num").isin(*_STATUS_CHECKS, *_BODY_CHECKS))
+    joined = chosen.join(one_status(statuses), ["crawl_id", "url"], "left").join(one_body(bodies), ["crawl_id", "url"], "left")
     by_status = F.col("num").isin(*_STATUS_CHECKS)
     return joined.withColumn("resolved", F.when(by_status, F.col("status").isNotNull()).otherwise(
         F.col("body").isNotNull()))
 
 
-def sampled_findings(looked_up: DataFrame) -> DataFrame:
-    """13, 41, 42, 43, 46, 54 on the resolved sample. 45 has no offending state."""
+def asset_findings(known: DataFrame) -> DataFrame:
+    """13, 41, 42, 43, 46, 54 on what was resolved. 45 has no offending state."""
     broken = F.col("num").isin(13, 41) & (F.col("status") >= 400)
     breaks = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))
     verbose = F.col("num").isin(42, 43) & (F.length("body") > 0) & (
         breaks / F.length("body") > K.NEWLINE_RATIO_LIMIT)
     writes = (F.col("num") == 46) & F.col("body").contains("document.write")
     imports = (F.col("num") == 54) & F.col("body").contains("@import")
-    return as_findings(looked_up.where(broken | verbose | writes | imports), F.col("num"), rank="rank", pos="pos")
+    return as_findings(known.where(broken | verbose | writes | imports), F.col("num"), rank="rank", pos="pos")
 
 
-def robots_sitemaps(robots: DataFrame, statuses: DataFrame, sample: int) -> DataFrame:
-    """39: the sample of Sitemap lines with their status."""
+def robots_sitemaps(robots: DataFrame, statuses: DataFrame) -> DataFrame:
+    """39: the addresses of Sitemap lines with their status."""
     lines = sitemap_lines(robots).groupBy("crawl_id", F.col("loc").alias("url")).agg(F.min("pos").alias("pos"))
-    chosen = top_n(lines, ["crawl_id"], [F.col("pos")], sample).select(
+    chosen = lines.select(
         "crawl_id", "url", F.lit(39).alias("num"), F.lit(0).cast("bigint").alias("rank"),
         F.lit(0).cast("bigint").alias("seq"), "pos")
     return _with_status(chosen, statuses)
@@ -95,7 +99,7 @@ def robots_sitemaps(robots: DataFrame, statuses: DataFrame, sample: int) -> Data
 def host_variants(primaries: DataFrame, statuses: DataFrame) -> DataFrame:
     """82: the insecure and the www / bare variant of the primary host with their status."""
     p = F.col("primary_host")
-    other = F.when(p.startswith("www."), F.concat(F.lit("https://"), F.substring(p, 5, 10000), F.lit("/"))).otherwise(
+    other = F.when(p.startswith("www."), F.concat(F.lit("https://"), F.substr(p, F.lit(5)), F.lit("/"))).otherwise(
         F.concat(F.lit("https://www."), p, F.lit("/")))
     variants = F.array(F.concat(F.lit("http://"), p, F.lit("/")), other)
     chosen = primaries.where("primary_host <> ''").select(
@@ -105,15 +109,15 @@ def host_variants(primaries: DataFrame, statuses: DataFrame) -> DataFrame:
 
 
 def _with_status(chosen: DataFrame, statuses: DataFrame) -> DataFrame:
-    joined = chosen.join(statuses.select("crawl_id", "url", "status"), ["crawl_id", "url"], "left")
+    joined = chosen.join(one_status(statuses), ["crawl_id", "url"], "left")
     return joined.withColumn("resolved", F.col("status").isNotNull())
 
 
-def status_findings(looked_up: DataFrame) -> DataFrame:
+def status_findings(known: DataFrame) -> DataFrame:
     """39 on error statuses, 82 on variants that answer."""
     bad = ((F.col("num") == 39) & (F.col("status") >= 400)) | (
         (F.col("num") == 82) & (F.col("status") >= 200) & (F.col("status") < 300))
-    return as_findings(looked_up.where(bad), F.col("num"), rank="rank", pos="pos")
+    return as_findings(known.where(bad), F.col("num"), rank="rank", pos="pos")
 
 
 def onclick_tested(html: DataFrame) -> DataFrame:
@@ -123,19 +127,19 @@ def onclick_tested(html: DataFrame) -> DataFrame:
         F.col("html").isNotNull().alias("resolved"), F.col("html").rlike(K.ONCLICK_ANCHOR).alias("bad"))
 
 
-def onclick_sample(html: DataFrame, sample: int) -> DataFrame:
-    """81 on the first distinct pages of each crawl."""
-    keys = html.groupBy("crawl_id", "url").agg(F.min("seq").alias("seq"))
-    chosen = top_n(keys, ["crawl_id"], [F.col("seq")], sample)
-    return onclick_tested(html.join(chosen, ["crawl_id", "url", "seq"], "left_semi"))
+def onclick_pages(html: DataFrame) -> DataFrame:
+    """81 on the first fetch of every page."""
+    first = onclick_tested(html).groupBy("crawl_id", "url", "num").agg(
+        F.min_by(F.struct("seq", "resolved", "bad"), "seq").alias("r"))
+    return first.select("crawl_id", "url", "num", "r.*")
 
 
 def onclick_findings(tested: DataFrame) -> DataFrame:
     return as_findings(tested.where("bad"), 81)
 
 
-def scope(*looked_up: DataFrame) -> DataFrame:
-    """(crawl_id, num, chosen, resolved): how much of each sample was there to judge."""
-    rows = union_all([d.select("crawl_id", "num", "resolved") for d in looked_up])
+def scope(*known: DataFrame) -> DataFrame:
+    """(crawl_id, num, chosen, resolved): how much there was to judge."""
+    rows = union_all([d.select("crawl_id", "num", "resolved") for d in known])
     return rows.groupBy("crawl_id", "num").agg(
         F.count("*").alias("chosen"), F.count_if("resolved").alias("resolved"))

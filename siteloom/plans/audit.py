@@ -49,7 +49,6 @@ class Audit:
     psi: DataFrame | None = None
     render: DataFrame | None = None
     html: DataFrame | None = None
-    url_sample: int = K.AUDIT_URL_SAMPLE
     checks: dict[int, Check] = field(default_factory=lambda: CHECKS)
 
     def __post_init__(self) -> None:
@@ -63,6 +62,7 @@ class Audit:
             if name not in self.crawls.columns:
                 self.crawls = self.crawls.withColumn(name, F.lit(None).cast(kind))
         self._tables: dict[str, DataFrame] = {}
+        self._failed: dict[int, str] | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -92,17 +92,25 @@ class Audit:
         return self._shared("asset_uses", lambda: A.check_assets(A.page_assets(self.crawl)))
 
     @property
-    def sampled_assets(self) -> DataFrame:
-        return self._shared("sampled", lambda: A.sampled(
-            self.asset_uses, self.asset_status, self.asset_body, self.url_sample))
+    def known_assets(self) -> DataFrame:
+        return self._shared("known_assets", lambda: A.looked_up(self.asset_uses, self.asset_status, self.asset_body))
 
     @property
     def lab_entries(self) -> DataFrame:
         return self._shared("lab", lambda: L.lab_entries(self.psi))
 
+    @property
+    def first_seen(self) -> DataFrame:
+        """(crawl_id, url, seq): the first fetch of each address that lab data or renders name."""
+        def build():
+            named = self.psi.select("crawl_id", "url").unionByName(self.render.select("crawl_id", "url")).distinct()
+            return self.crawl.select("crawl_id", "url", "seq").join(named, ["crawl_id", "url"], "left_semi").groupBy(
+                "crawl_id", "url").agg(F.min("seq").alias("seq"))
+        return self._shared("first_seen", build)
+
     @property
     def robots_sitemaps(self) -> DataFrame:
-        return A.robots_sitemaps(self.robots, self.asset_status, self.url_sample)
+        return A.robots_sitemaps(self.robots, self.asset_status)
 
     @property
     def host_variants(self) -> DataFrame:
@@ -110,11 +118,26 @@ class Audit:
 
     @property
     def onclick(self) -> DataFrame:
-        return A.onclick_sample(self.html, min(self.url_sample, K.HTML_SAMPLE))
+        return A.onclick_pages(self.html)
 
     # ---- findings by class -----------------------------------------------
     def page_findings(self, *kinds: str) -> DataFrame:
-        return P.page_findings(self.crawl, of_kind(*kinds, checks=self.checks), self.checks)
+        nums = [n for n in of_kind(*kinds, checks=self.checks) if n not in self.failed]
+        keys = self._shared("markup_keys", lambda: P.markup_keys(self.crawl))
+        return P.page_findings(self.crawl, nums, self.checks, keys)
+
+    @property
+    def failed(self) -> dict[int, str]:
+        """A caller's own checks whose predicate ends in an error, and the error; each is tried once on its own."""
+        if self._failed is None:
+            self._failed = {}
+            for num, check in self.checks.items():
+                if check.predicate:
+                    try:
+                        P.page_columns(self.crawl).agg(F.count_if(check.predicate())).collect()
+                    except Exception as e:  # noqa: BLE001  whatever a caller's expression raises
+                        self._failed[num] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+        return self._failed
 
     def join_findings(self) -> DataFrame:
         return G.union_all([
@@ -141,7 +164,7 @@ class Audit:
 
     def asset_findings(self) -> DataFrame:
         return G.union_all([
-            A.robots_blocked(self.asset_uses, self.robots), A.sampled_findings(self.sampled_assets),
+            A.robots_blocked(self.asset_uses, self.robots), A.asset_findings(self.known_assets),
             A.status_findings(self.robots_sitemaps), A.status_findings(self.host_variants),
         ])
 
@@ -149,10 +172,10 @@ class Audit:
         return A.onclick_findings(self.onclick)
 
     def lab_findings(self) -> DataFrame:
-        return L.lab_findings(self.lab_entries)
+        return L.lab_findings(self.lab_entries, self.first_seen)
 
     def render_findings(self) -> DataFrame:
-        return L.render_findings(self.render, self.crawl)
+        return L.render_findings(self.render, self.crawl, self.first_seen)
 
     # ---- the whole run -----------------------------------------------------
     def grid(self) -> DataFrame:
@@ -227,14 +250,17 @@ class Audit:
         shown = top_n(found, keys, order, K.EXAMPLE_URLS, rank="place").groupBy(*keys).agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))),
                                      lambda e: e["url"]), "\n").alias("example_urls"))
-        sampled = A.scope(self.sampled_assets, self.robots_sitemaps, self.host_variants, self.onclick)
+        judged = A.scope(self.known_assets, self.robots_sitemaps, self.host_variants, self.onclick)
         rows = (
             self.grid()
-            .join(counts, keys, "left").join(shown, keys, "left").join(sampled, keys, "left")
+            .join(counts, keys, "left").join(shown, keys, "left").join(judged, keys, "left")
             .join(L.lab_scope(self.lab_entries), keys, "left")
             .join(self.conditions(), "crawl_id", "left")
         )
-        reason = _not_assessed()
+        broke = F.lit(None).cast("string")
+        for num, error in self.failed.items():
+            broke = F.when(F.col("num") == num, F.lit(f"The check failed: {error}")).otherwise(broke)
+        reason = F.coalesce(broke, _not_assessed())
         affected = F.coalesce("affected", F.lit(0))
         state = (
             F.when(reason.isNotNull(), K.NOT_ASSESSED)
@@ -249,9 +275,16 @@ class Audit:
             affected.alias("affected_count"), F.coalesce("example_urls", F.lit("")).alias("example_urls"),
             source.alias("detection_source"), F.coalesce(reason, _note(), F.lit("")).alias("note"))
 
-    def embedded_detail(self, report: DataFrame) -> DataFrame:
-        """The detail report cut to what a workbook can hold."""
-        return top_n(report, ["crawl_id"], [F.col("seq")], K.DETAIL_ROWS_EMBEDDED)
+    def embedded_detail(self, build, n: int = K.DETAIL_ROWS_EMBEDDED) -> DataFrame:
+        """``build(crawl)`` on the first ``n`` pages of each crawl, what a workbook can hold.
+
+        The cut is made on (crawl_id, seq) before the report is computed; ``rows_in_all`` tells how many
+        pages the crawl has.
+        """
+        places = self.crawl.select("crawl_id", "seq")
+        kept = top_n(places, ["crawl_id"], [F.col("seq")], n)
+        totals = places.groupBy("crawl_id").agg(F.count("*").alias("rows_in_all"))
+        return build(self.crawl).join(kept, ["crawl_id", "seq"], "left_semi").join(totals, "crawl_id")
 
     def configuration(self) -> DataFrame:
         """(crawl_id, setting, value): what was active for each crawl."""
@@ -260,7 +293,7 @@ class Audit:
             self.sitemap.select("crawl_id").distinct().withColumn("has_sitemap", F.lit(True)), "crawl_id", "left")
         settings = F.array(*[
             F.struct(F.lit(k).alias("setting"), v.alias("value")) for k, v in (
-                ("audit_url_sample", F.lit(str(self.url_sample))),
+                ("audit_url_sample", F.lit("all")),
                 ("Lighthouse (CWV tier)", yes("has_lighthouse", "enabled", "disabled")),
                 ("Headless render (RENDER tier)", yes("has_render", "enabled", "disabled")),
                 ("GSC / EXTERNAL tier", F.lit("disabled")),
@@ -295,7 +328,7 @@ def _not_assessed() -> Column:
         .when((num == 81) & absent("has_html"), "Needs the raw HTML.")
         .when((num == 82) & (F.coalesce("primary_host", F.lit("")) == ""), "No primary host to test.")
         .when((num == 82) & (F.coalesce("resolved", F.lit(0)) == 0), "No host variant could be fetched.")
-        .when(kind.isin("asset", "html") & unresolved, "Nothing of the sample could be fetched.")
+        .when(kind.isin("asset", "html") & unresolved, "None of the assets could be fetched.")
         .when((kind == "lab") & F.col("assessed").isNull(), F.when(
             F.col("has_lighthouse"), "No lab result for this check.").otherwise("Requires lab data."))
         .when((kind == "render") & absent("has_renders"), F.when(

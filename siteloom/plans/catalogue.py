@@ -45,7 +45,7 @@ _ROWS = [
      "Canonical links outside the head are ignored."),
     (8, "Canonicals Point to Staging Domain", "CRAWL", "row", "canonical host pattern", "canonical", False,
      "A canonical on a staging host hands the index the wrong environment."),
-    (9, "Canonicals Point to Third-Party Site", "CRAWL", "join", "canonical vs site hosts", "canonical", False,
+    (9, "Canonicals Point to Third-Party Site", "CRAWL", "join", "canonical host vs site host", "canonical", False,
      "A canonical on someone else's host gives ranking signals away."),
     (10, "Non-Canonicalized Filter URLs", "CRAWL+", "row", "param URL vs canonical", "canonical", True,
      "Filter URLs that do not point back to the clean page multiply duplicates."),

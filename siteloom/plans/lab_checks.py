@@ -37,8 +37,13 @@ def lab_entries(psi: DataFrame) -> DataFrame:
     return picked.select("crawl_id", "num", "url", bad.alias("bad"))
 
 
-def lab_findings(entries: DataFrame) -> DataFrame:
-    return as_findings(entries.where("bad"), F.col("num"), seq=F.lit(0), basis="lab")
+def in_sample_order(rows: DataFrame, first_seen: DataFrame) -> DataFrame:
+    """Adds ``seq``, the page's first place in its crawl; 0 for addresses the crawl does not have."""
+    return rows.join(first_seen, ["crawl_id", "url"], "left").withColumn("seq", F.coalesce("seq", F.lit(0)))
+
+
+def lab_findings(entries: DataFrame, first_seen: DataFrame) -> DataFrame:
+    return as_findings(in_sample_order(entries.where("bad"), first_seen), F.col("num"), basis="lab")
 
 
 def lab_scope(entries: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def lab_scope(entries: DataFrame) -> DataFrame:
     return entries.groupBy("crawl_id", "num").agg(F.count("*").alias("assessed"))
 
 
-def render_findings(render: DataFrame, crawl: DataFrame) -> DataFrame:
+def render_findings(render: DataFrame, crawl: DataFrame, first_seen: DataFrame) -> DataFrame:
     """15, 16, 21, 22, 35, 71, 75, 90; static text and menu come from the last fetch of the URL."""
     wanted = render.select("crawl_id", urls.loose_form("url").alias("target")).distinct()
     static = (
@@ -75,4 +80,5 @@ def render_findings(render: DataFrame, crawl: DataFrame) -> DataFrame:
         90: more("hidden_text_len", K.HIDDEN_TEXT_CHARS - 1),
     }
     hits = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
-    return as_findings(r.select("crawl_id", "url", F.explode(hits).alias("num")), F.col("num"), seq=F.lit(0))
+    rows = r.select("crawl_id", "url", F.explode(hits).alias("num"))
+    return as_findings(in_sample_order(rows, first_seen), F.col("num"))

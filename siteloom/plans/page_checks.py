@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siteloom.functions import cells, urls
 from siteloom.functions import constants as K
 from siteloom.plans.catalogue import CHECKS, Check, of_kind
+from siteloom.session import materialise
 
 
 def page_columns(crawl: DataFrame) -> DataFrame:
@@ -53,11 +54,23 @@ def _insecure(items: str, field: str | None = None) -> Column:
         F.lower(x[field] if field else x).startswith("http://"), F.lit(False)))
 
 
-def _structured(suffix: str) -> Column:
-    """Value under the first key ending in ``suffix``, null without one."""
-    keys = F.array_sort(F.filter(F.map_keys("jsonld"), lambda k: F.lower(k).endswith(suffix)))
-    top = F.try_element_at(F.col("jsonld"), F.lit(suffix))
-    return F.coalesce(top, F.try_element_at(F.col("jsonld"), F.get(keys, F.lit(0))))
+def markup_keys(crawl: DataFrame) -> DataFrame:
+    """(crawl_id, _type_key, _context_key): the key that holds type and context in a whole crawl.
+
+    The top-level key if any page has it, else the smallest key with that ending.
+    """
+    keys = crawl.select("crawl_id", F.explode(F.map_keys("jsonld")).alias("key"))
+
+    def chosen(suffix: str) -> Column:
+        ends = F.lower("key").endswith(suffix)
+        return F.min(F.when(ends, F.struct(F.col("key") != suffix, "key")))["key"]
+
+    return keys.groupBy("crawl_id").agg(chosen("@type").alias("_type_key"), chosen("@context").alias("_context_key"))
+
+
+def _structured(key: str) -> Column:
+    """Value under the crawl's key, null without one."""
+    return F.try_element_at(F.col("jsonld"), F.col(key))
 
 
 def _repeats(items: Column) -> Column:
@@ -75,7 +88,7 @@ def _incomplete_viewport() -> Column:
 
 
 def _no_markup_type() -> Column:
-    return (F.size("jsonld") > 0) & (_structured("@type").isNull() | _structured("@context").isNull())
+    return (F.size("jsonld") > 0) & (_structured("_type_key").isNull() | _structured("_context_key").isNull())
 
 
 def _malformed_url() -> Column:
@@ -141,8 +154,11 @@ def predicates() -> dict[int, Column]:
 
 
 def page_findings(crawl: DataFrame, nums: list[int] | None = None,
-                  checks: dict[int, Check] | None = None) -> DataFrame:
-    """(crawl_id, num, basis, rank, seq, pos, url): one row per offending page and check."""
+                  checks: dict[int, Check] | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """(crawl_id, num, basis, rank, seq, pos, url): one row per offending page and check.
+
+    ``keys`` are the stored :func:`markup_keys`, one row per crawl, which check 30 needs.
+    """
     checks = checks or CHECKS
     built_in = predicates()
     chosen = nums if nums is not None else of_kind("row", "list", "fallback", checks=checks)
@@ -152,8 +168,12 @@ def page_findings(crawl: DataFrame, nums: list[int] | None = None,
     ]
     static = [n for n in chosen if checks[n].kind == "fallback"]
     basis = F.when(F.col("num").isin(*static), "static").otherwise("crawl") if static else F.lit("crawl")
+    pages = page_columns(crawl)
+    if 30 in chosen:
+        keys = materialise(markup_keys(crawl), "markup_keys") if keys is None else keys
+        pages = pages.join(keys, "crawl_id", "left")
     return (
-        page_columns(crawl)
+        pages
         .select("crawl_id", "seq", "url", F.explode(F.array_compact(F.array(*hits))).alias("num"))
         .select("crawl_id", "num", basis.alias("basis"), F.lit(0).cast("bigint").alias("rank"),
                 "seq", F.lit(0).alias("pos"), "url")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from siteloom.functions import constants as K
-from siteloom.operators.groups import top_n
 from siteloom.plans.graph_checks import as_findings
 from siteloom.sources.robots import robots_lines
 
@@ -22,7 +21,8 @@ def robots_syntax(robots: DataFrame) -> DataFrame:
 
 def robots_presence(crawls: DataFrame, robots: DataFrame) -> DataFrame:
     """5 and 38: no robots text, no Sitemap line; only where a fetch was attempted."""
-    bodies = robots.select("crawl_id", F.coalesce("body", F.lit("")).alias("body"))
+    # Of several files of a crawl the longest text counts.
+    bodies = robots.groupBy("crawl_id").agg(F.max_by("body", F.length("body")).alias("body"))
     asked = crawls.where("robots_url IS NOT NULL").select("crawl_id", "robots_url").join(
         bodies, "crawl_id", "left")
     body = F.coalesce("body", F.lit(""))
@@ -60,7 +60,6 @@ def sitemap_size(crawls: DataFrame, sitemap: DataFrame) -> DataFrame:
 
 
 def sitemap_errors(sitemap: DataFrame) -> DataFrame:
-    """78: parse errors of the sitemap, the first five."""
-    errors = sitemap.where("errors IS NOT NULL").select("crawl_id", "seq", "loc", "errors")
-    order = [F.col("seq"), F.col("loc"), F.col("errors")]
-    return as_findings(top_n(errors, ["crawl_id"], order, K.EXAMPLE_URLS), 78, url="errors")
+    """78: every parse error of the sitemap."""
+    errors = sitemap.where("errors IS NOT NULL").select("crawl_id", "seq", "errors")
+    return as_findings(errors, 78, url="errors")

@@ -56,32 +56,41 @@ def index_children(docs: DataFrame) -> DataFrame:
     return rows.select("sitemap", _child(F.col("entry"), "loc").alias("child")).where("child IS NOT NULL")
 
 
-def expand(start: DataFrame, docs: DataFrame, recursive: bool = True, max_levels: int = 10) -> DataFrame:
-    """URL rows of the documents in ``start(url)`` and, if asked, of all they list.
+def expand(start: DataFrame, docs: DataFrame, recursive: bool = True) -> DataFrame:
+    """URL rows of the documents in ``start(url)`` and, if asked, of all they list."""
+    roots = start.select(F.col("url").alias("root")).distinct()
+    reached = listed_documents(roots, docs) if recursive else roots.select("root", F.col("root").alias("url"))
+    return sitemap_urls(docs.join(reached.select("url").distinct(), "url", "left_semi"))
 
-    One join per index level; each level's addresses are written down, so a
-    lost executor never replays the levels before.
+
+def listed_documents(roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """(root, url): every document an index of ``roots(root)`` leads to, itself included.
+
+    One join per index level until a level brings nothing new, however deep; documents that list
+    each other are met once. Each level is written down, so a lost executor never replays the levels before.
     """
-    level = materialise(start.select("url").distinct(), "sitemaps-0")
+    level = materialise(roots.select("root", F.col("root").alias("url")).distinct(), "sitemaps-0")
     reached = level
-    children = index_children(docs) if recursive else None
-    for i in range(1, max_levels + 1 if recursive else 1):
-        listed = children.join(level.withColumnRenamed("url", "sitemap"), "sitemap", "left_semi")
-        fresh = listed.select(F.col("child").alias("url")).distinct().join(reached, "url", "left_anti")
-        level = materialise(fresh, f"sitemaps-{i}")
-        if level.isEmpty():
-            break
+    children = materialise(index_children(docs).distinct(), "sitemap-index")
+    while not level.isEmpty():
+        fresh = level.join(children, F.col("url") == F.col("sitemap")).select("root", F.col("child").alias("url"))
+        level = materialise(fresh.distinct().join(reached, ["root", "url"], "left_anti"), "sitemaps")
         reached = reached.unionByName(level)
-    return sitemap_urls(docs.join(reached, "url", "left_semi"))
+    return reached
 
 
 def discover(robots: DataFrame, primaries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(crawl_id, sitemap): Sitemap lines in order, then /sitemap.xml; the first with rows wins."""
+    """(crawl_id, sitemap): Sitemap lines in order, then /sitemap.xml; the first that leads to rows wins.
+
+    An index leads to the rows of the documents below it.
+    """
     lines = sitemap_lines(robots).select("crawl_id", F.col("pos").alias("rank"), F.col("loc").alias("url"))
     scheme = F.when(F.col("primary_host").contains(":"), "http://").otherwise("https://")
     usual = primaries.where("primary_host <> ''").select(
         "crawl_id", F.lit(2 ** 31 - 1).alias("rank"),
         F.concat(scheme, F.col("primary_host"), F.lit("/sitemap.xml")).alias("url"))
+    candidates = materialise(lines.unionByName(usual), "sitemap-candidates")
     filled = docs.where(F.size(_entries("url")) > 0).select("url").distinct()
-    good = lines.unionByName(usual).join(filled, "url", "left_semi")
+    below = listed_documents(candidates.select(F.col("url").alias("root")).distinct(), docs)
+    good = candidates.join(below.join(filled, "url", "left_semi").select(F.col("root").alias("url")).distinct(), "url", "left_semi")
     return good.groupBy("crawl_id").agg(F.min_by("url", "rank").alias("sitemap"))

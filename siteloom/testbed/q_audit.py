@@ -41,6 +41,10 @@ _BODY = "length(coalesce(body_text, ''))"
 _ROB = "lower(coalesce(meta_robots, ''))"
 
 
+# A crawl that has the top-level key anywhere reads that key on all its pages.
+_TYPE = "CASE WHEN EXISTS (SELECT 1 FROM crawl k WHERE k.crawl_id = c.crawl_id AND k.jsonld_type IS NOT NULL) THEN jsonld_type ELSE jsonld_author_type END"
+
+
 def _in(table: str, cond: str) -> str:
     return f"EXISTS (SELECT 1 FROM {table} t WHERE t.seq = c.seq AND ({cond}))"
 
@@ -65,7 +69,7 @@ _ROW = {
     17: Q.has_param("url", K.PAGINATION_PARAMS),
     23: "head_count > 1",
     30: "(jsonld_type IS NOT NULL OR jsonld_author_type IS NOT NULL OR jsonld_context IS NOT NULL) AND "
-        "(coalesce(jsonld_type, jsonld_author_type) IS NULL OR jsonld_context IS NULL)",
+        f"({_TYPE} IS NULL OR jsonld_context IS NULL)",
     33: "title_count > title_in_head_count",
     34: f"{_H200} AND trim(coalesce(h1_cell, '')) = ''",
     40: f"{_CAN} AND {_CSCHEME} = ''",
@@ -172,7 +176,7 @@ AUDIT = {
             HAVING count(coalesce(jsonld_type, jsonld_author_type)) > 0 AND count_if(coalesce(jsonld_type ILIKE '%localbusiness%', false) OR coalesce(jsonld_author_type ILIKE '%localbusiness%', false)) = 0
         UNION ALL SELECT w.crawl_id, 58, 0, coalesce(any_value(robots_url), 'sitemap') FROM crawls w JOIN sitemap s USING (crawl_id) GROUP BY w.crawl_id HAVING count(*) > 50000
         UNION ALL SELECT w.crawl_id, 77, 0, robots_url FROM crawls w WHERE robots_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sitemap s WHERE s.crawl_id = w.crawl_id)
-        UNION ALL SELECT crawl_id, 78, seq, errors FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY seq, loc) AS r FROM sitemap WHERE errors IS NOT NULL) WHERE r <= 5)""",
+        UNION ALL SELECT crawl_id, 78, seq, errors FROM sitemap WHERE errors IS NOT NULL)""",
     # Place of an asset in its list counts from 0 over the rows the page has.
     "s_i": _ordinal("scripts", "crawl_id, seq, src AS url"), "y_i": _ordinal("styles", "crawl_id, seq, href AS url"),
     "g_i": _ordinal("images", "crawl_id, seq, src AS url"),
@@ -186,7 +190,7 @@ AUDIT = {
         UNION ALL SELECT crawl_id, 45, url, 2, seq, i FROM g_i) GROUP BY ALL""",
     "chosen_assets": """SELECT u.*, s.status, b.body, CASE WHEN num IN (13, 41, 45) THEN s.status IS NOT NULL ELSE b.body IS NOT NULL END AS got
         FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id, num ORDER BY rank, seq, pos) AS r FROM uses WHERE num NOT IN (14, 80)) u
-        LEFT JOIN asset_status s ON s.crawl_id = u.crawl_id AND s.url = u.url LEFT JOIN asset_body b ON b.crawl_id = u.crawl_id AND b.url = u.url WHERE r <= 200""",
+        LEFT JOIN asset_status s ON s.crawl_id = u.crawl_id AND s.url = u.url LEFT JOIN asset_body b ON b.crawl_id = u.crawl_id AND b.url = u.url""",
     "site_urls": f"""SELECT crawl_id, 39 AS num, trim(substr(line, 9)) AS url, (row_number() OVER (PARTITION BY crawl_id ORDER BY line_no)) - 1 AS pos FROM robots_lines WHERE lower(line) LIKE 'sitemap:%'
         UNION ALL SELECT crawl_id, 82, 'http://' || primary_host || '/', 0 FROM prim WHERE primary_host <> ''
         UNION ALL SELECT crawl_id, 82, CASE WHEN primary_host LIKE 'www.%' THEN 'https://' || substr(primary_host, 5) ELSE 'https://www.' || primary_host END || '/', 1 FROM prim WHERE primary_host <> ''""",
@@ -205,15 +209,16 @@ AUDIT = {
         (85, 'modern-image-formats'), (87, 'preload-lcp-image'), (88, 'third-party-facades')) v(num, audit_id) USING (audit_id)""",
     # A URL fetched twice has one lab entry.
     "lab_once": "SELECT crawl_id, num, url, min_by((score, numeric_value), 1) AS e FROM lab_entries GROUP BY ALL",
-    "f_lab": """SELECT crawl_id, num, 'lab' AS basis, 0 AS rank, 0 AS seq, 0 AS pos, url FROM lab_entries
+    "first_seen": "SELECT crawl_id, url, min(seq) AS seq FROM crawl GROUP BY ALL",
+    "f_lab": """SELECT crawl_id, num, 'lab' AS basis, 0 AS rank, coalesce(seq, 0) AS seq, 0 AS pos, url FROM lab_entries LEFT JOIN first_seen USING (crawl_id, url)
         WHERE CASE WHEN num = 25 THEN coalesce(numeric_value, 0) > 2500 WHEN num = 26 THEN coalesce(numeric_value, 0) > 0.1 ELSE coalesce(score < 0.9, false) END""",
     "static": f"SELECT crawl_id, rtrim(url, '/') AS target, max_by(length(trim(body_text)), seq) AS len, max_by(nav_cell <> '', seq) AS nav FROM crawl GROUP BY ALL",
-    "f_render": """SELECT crawl_id, num, 'crawl' AS basis, 0 AS rank, 0 AS seq, 0 AS pos, url FROM (
+    "f_render": """SELECT crawl_id, num, 'crawl' AS basis, 0 AS rank, coalesce(seq, 0) AS seq, 0 AS pos, url FROM (
         SELECT r.crawl_id, r.url, unnest(list_filter([CASE WHEN has_errors THEN 15 END, CASE WHEN ok AND nav_link_count > 0 AND NOT nav THEN 16 END,
             CASE WHEN NOT ok OR rendered_text_len < 20 THEN 21 END, CASE WHEN ok AND rendered_text_len > len * 1.5 AND rendered_text_len - len > 500 THEN 22 END,
             CASE WHEN ok AND pseudo_content_count > 0 THEN 35 END, CASE WHEN ok AND overlay THEN 71 END,
             CASE WHEN ok AND title_at_load IS DISTINCT FROM title_after_wait THEN 75 END, CASE WHEN ok AND hidden_text_len >= 200 THEN 90 END], lambda x: x IS NOT NULL)) AS num
-        FROM render r LEFT JOIN static s ON s.crawl_id = r.crawl_id AND s.target = rtrim(r.url, '/'))""",
+        FROM render r LEFT JOIN static s ON s.crawl_id = r.crawl_id AND s.target = rtrim(r.url, '/')) LEFT JOIN first_seen USING (crawl_id, url)""",
     "check_list": "SELECT * FROM (VALUES " + ", ".join(
         f"({c.num}, '{c.title.replace(chr(39), chr(39) * 2)}', '{c.tier}', '{c.kind}', {str(list(c.signals)) if c.signals else '[]::VARCHAR[]'}, {c.heuristic}, '{c.source.replace(chr(39), chr(39) * 2)}')"
         for c in CHECKS.values()) + ") v(num, title, tier, kind, signals, heuristic, source)",
@@ -282,14 +287,14 @@ def findings_asset(spark, sf):
     return audit(spark, sf).asset_findings().select("crawl_id", "num", "rank", "seq", "pos", "url")
 
 
-@query("findings_lab", "SELECT crawl_id, num, url FROM f_lab", AUDIT)
+@query("findings_lab", "SELECT crawl_id, num, seq, url FROM f_lab", AUDIT)
 def findings_lab(spark, sf):
-    return audit(spark, sf).lab_findings().select("crawl_id", "num", "url")
+    return audit(spark, sf).lab_findings().select("crawl_id", "num", "seq", "url")
 
 
-@query("findings_render", "SELECT crawl_id, num, url FROM f_render", AUDIT)
+@query("findings_render", "SELECT crawl_id, num, seq, url FROM f_render", AUDIT)
 def findings_render(spark, sf):
-    return audit(spark, sf).render_findings().select("crawl_id", "num", "url")
+    return audit(spark, sf).render_findings().select("crawl_id", "num", "seq", "url")
 
 
 @query("findings_onclick", """SELECT crawl_id, seq, url, true AS resolved, len(list_filter(regexp_extract_all(lower(html), '<a[^>]*onclick='),
@@ -340,6 +345,11 @@ def audit_gate(spark, sf):
         "crawl_id", "num", F.array_join("missing", ",").alias("missing"))
 
 
-@query("embedded_detail", """SELECT crawl_id, seq, url AS "Address" FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY seq) AS r FROM crawl) WHERE r <= 5000""")
+# Rows of a crawl's detail that a workbook takes; small enough that every crawl here is cut.
+ROWS = 12
+
+
+@query("embedded_detail", f"""SELECT crawl_id, seq, url AS "Address", n AS rows_in_all FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY seq) AS r,
+    count(*) OVER (PARTITION BY crawl_id) AS n FROM crawl) WHERE r <= {ROWS}""")
 def embedded_detail(spark, sf):
-    return audit(spark, sf).embedded_detail(crawl_detail(D.stored(spark, sf))).select("crawl_id", "seq", "Address")
+    return audit(spark, sf).embedded_detail(crawl_detail, ROWS).select("crawl_id", "seq", "Address", "rows_in_all")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import analysis as A, pacing, reach as RE
 from siteloom.session import new_path
-from siteloom.streaming import limiter, progress
+from siteloom.streaming import progress
 from siteloom.testbed import derived as D
 from siteloom.testbed.registry import query
 
@@ -22,17 +22,6 @@ def reach_depth(spark, sf):
         "depth", F.col("depth").cast("bigint"))
 
 
-@query("reach_capped", """SELECT crawl_id, url, depth FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY depth, url) AS r
-    FROM (SELECT crawl_id, url, min(depth) AS depth FROM walk GROUP BY ALL)) WHERE r <= 40""", {
-    "walk": """SELECT crawl_id, url, 0 AS depth FROM crawl WHERE depth = 0
-        UNION SELECT w.crawl_id, l.link, w.depth + 1 FROM walk w JOIN links l ON l.crawl_id = w.crawl_id AND l.url = w.url WHERE w.depth < 2"""})
-def reach_capped(spark, sf):
-    """With a page cap per crawl."""
-    c = D.stored(spark, sf)
-    return RE.reach(A.link_facts(c), c.where("depth = 0").select("crawl_id", "url"), 2, 40).withColumn(
-        "depth", F.col("depth").cast("bigint"))
-
-
 @query("rate_limit_attempts", f"""SELECT event_id, user_id, attempts, attempts > {LIMIT} AS over_limit FROM (SELECT event_id, user_id,
     count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW_SEC * 1_000_000} PRECEDING AND CURRENT ROW) AS attempts FROM events)""")
 def rate_limit_attempts(spark, sf):
@@ -44,23 +33,12 @@ def rate_limit_attempts(spark, sf):
     SELECT event_id, user_id, us, CASE WHEN prev IS NULL OR us - prev > {WINDOW_SEC * 1_000_000} THEN us END AS start FROM (
     SELECT event_id, user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events))""")
 def rate_limit_sessions(spark, sf):
-    """Independent runs of events, the unit the exact limiter is spread by."""
+    """Runs of events of a user without a pause longer than the window."""
     rows = D.read(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return pacing.sessions(rows, "user_id", ["at", "event_id"], "at", WINDOW_SEC * 1_000_000, 24 * WINDOW_SEC * 1_000_000).select(
         "event_id", "user_id", "session")
 
 
-@query("rate_limit_exact")
-def rate_limit_exact(spark, sf):
-    return pacing.limited(D.read(spark, sf, "events"), "user_id", "ts", "event_id", LIMIT, WINDOW_SEC)
-
-
-@query("rate_limit_by_user")
-def rate_limit_by_user(spark, sf):
-    return rate_limit_exact(spark, sf).groupBy("user_id").agg(
-        F.count("*").alias("events"), F.count_if("accepted").alias("accepted"))
-
-
 @query("stream_progress", """SELECT crawl_id, coalesce(CAST(status AS STRING), 'null') AS status, count(*) AS pages FROM crawl GROUP BY ALL""")
 def stream_progress(spark, sf):
     """Crawl rows arriving as rotated JSON parts; the counts after the last batch."""
@@ -69,18 +47,3 @@ def stream_progress(spark, sf):
     stream = progress.read_parts(spark, parts, max_files=2)
     progress.follow(stream, new_path(spark, "progress-state"), sink).awaitTermination()
     return progress.latest(spark, sink)
-
-
-@query("stream_rate_limit")
-def stream_rate_limit(spark, sf):
-    """Events replayed in time order through the stateful limiter."""
-    parts, sink = new_path(spark, "events"), new_path(spark, "limited")
-    rows = D.read(spark, sf, "events").select("event_id", "user_id", "ts")
-    state = new_path(spark, "limited-state")
-    # One period arrives, is processed as one batch, and the next follows.
-    for half in ("<", ">="):
-        rows.where(f"ts {half} TIMESTAMP '2024-01-15'").write.mode("append").parquet(parts)
-        stream = spark.readStream.schema(rows.schema).parquet(parts)
-        limiter.limited_stream(stream, "user_id", "ts", "event_id", LIMIT, WINDOW_SEC).writeStream.outputMode("append").option(
-            "checkpointLocation", state).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
-    return spark.read.parquet(sink)

@@ -125,13 +125,14 @@ def cell_functions(spark, sf):
 
 
 # ---- slices -----------------------------------------------------------------
-@query("slice_page", """SELECT url, status, depth, (SELECT count(*) FROM matching) > 30 AS has_more
-    FROM (SELECT * FROM matching ORDER BY seq LIMIT 20 OFFSET 10)""",
-       {"matching": "SELECT url, status, depth, seq FROM crawl WHERE status >= 200 AND depth IS NOT NULL"})
+@query("slice_page", """SELECT url, status, depth, (SELECT count(*) FROM matching) > 20 AS has_more
+    FROM (SELECT * FROM matching ORDER BY seq LIMIT 20)""",
+       {"matching": "SELECT url, status, depth, seq FROM crawl WHERE status >= 200 AND depth IS NOT NULL AND seq > 10"})
 def slice_page(spark, sf):
+    """The page of rows that follows the row numbered 10."""
     return slicing.page(
         D.stored(spark, sf), ["url", "status", "depth"],
-        [{"column": "status", "op": ">=", "value": 200}, {"column": "depth", "op": "not_null"}], limit=20, offset=10)
+        [{"column": "status", "op": ">=", "value": 200}, {"column": "depth", "op": "not_null"}], limit=20, after={"seq": 10}, order=("seq",))
 
 
 _SLICES = {
@@ -217,9 +218,3 @@ def psi_sample(spark, sf):
 @query("latest_runs", "SELECT event_id, user_id, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50)")
 def latest_runs(spark, sf):
     return slicing.newest(D.read(spark, sf, "events"), ["ts", "event_id"], 50).select("event_id", "user_id", "event_type")
-
-
-@query("fetch_plan", f"""SELECT url, seq, {Q.host('url')} AS host, slot, CAST(slot AS DOUBLE) * 0.2 AS start_sec FROM (
-    SELECT url, seq, row_number() OVER (PARTITION BY {Q.host('url')} ORDER BY seq) - 1 AS slot FROM crawl)""")
-def fetch_plan(spark, sf):
-    return scope.fetch_plan(D.stored(spark, sf), 5.0)

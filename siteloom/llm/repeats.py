@@ -272,56 +272,86 @@ def _sorted(place, bucket, at, word, least) -> tuple[np.ndarray, np.ndarray]:
     return place, lcp
 
 
-def intervals(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interval tree of a suffix array by a stack scan: depth, first and last suffix of each interval."""
-    depth, lo, hi, stack = [], [], [], []
-    for i, value in enumerate([*lcp.tolist(), 0]):
-        begin = i - 1
-        while stack and stack[-1][0] > value:
-            d, begin = stack.pop()
-            depth.append(d)
-            lo.append(begin)
-            hi.append(i - 1)
-        if value and (not stack or stack[-1][0] < value):
-            stack.append((value, begin))
-    return np.array(depth, np.int64), np.array(lo, np.int64), np.array(hi, np.int64)
+def scan(lcp: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Interval tree by a stack scan: depth, first and last suffix of each interval, and per suffix its deepest interval but one.
 
+    The last result is, for each suffix, the deepest interval of which it is not the first occurrence
+    (-1: none). A child hands only its first occurrence on to its parent, so every suffix is settled once.
+    """
+    n = len(lcp)
+    depth, lo, hi, owner = [], [], [], [-1] * n
+    ranks, stack = rank.tolist(), []  # of interval, first occurrence
+    for i, value in enumerate([*lcp.tolist()[1:], 0]):
+        begin = carry = i
+        while stack and depth[stack[-1][0]] > value:
+            number, first = stack.pop()
+            if ranks[carry] < ranks[first]:
+                first, carry = carry, first
+            if ranks[carry] != ranks[first]:
+                owner[carry] = number
+            hi[number], begin, carry = i, lo[number], first
+        if not value:
+            continue
+        if stack and depth[stack[-1][0]] == value:
+            number, first = stack[-1]
+            if ranks[carry] < ranks[first]:
+                first, carry = carry, first
+                stack[-1] = (number, first)
+            if ranks[carry] != ranks[first]:
+                owner[carry] = number
+        else:
+            stack.append((len(depth), carry))
+            depth.append(value)
+            lo.append(begin)
+            hi.append(i)
+    return tuple(np.array(x, np.int64) for x in (depth, lo, hi, owner))
 
-def maximal(raw: np.ndarray, at: np.ndarray, place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal repeats of a suffix array: depth, first and last suffix of each.
 
-    An interval counts if its occurrences have different bytes on their left, or one of them has none.
-    """
-    depth, lo, hi = intervals(lcp)
+def maximal(raw: np.ndarray, at: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Flags of intervals whose occurrences have different bytes on their left, or one of which has none."""
     opens = at[np.searchsorted(at, place, side="right") - 1] == place
     before = np.where(opens, np.arange(len(place)) + 256, raw[place - 1])
     change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
-    diverse = change[hi] > change[lo]
-    return depth[diverse], lo[diverse], hi[diverse]
+    return change[hi] > change[lo]
 
 
-def occurrences(raw, at, doc, start, least: int = LEAST):
-    """All occurrences of the maximal repeats of pieces, part by part: repeat, length, document, start, is it the first."""
-    number = 0
+def trees(raw, at, doc, start, least: int = LEAST):
+    """Interval trees part by part: documents and starts of the suffixes, depth, first and last suffix, maximal flag, owners."""
     for place, lcp in suffix_arrays(raw, at, least):
-        depth, lo, hi = maximal(raw, at, place, lcp)
-        if not len(lo):
-            continue
         row = np.searchsorted(at, place, side="right") - 1
         d, s = doc[row], start[row] + place - at[row]
         rank = np.empty(len(place), np.int64)
         order = np.lexsort((s, d))
         # Equal (document, start) of two pieces is one occurrence.
         rank[order] = np.cumsum(np.concatenate([[0], (d[order][1:] != d[order][:-1]) | (s[order][1:] != s[order][:-1])]))
-        low = np.minimum.reduceat(np.append(rank, 0), np.stack([lo, hi + 1], axis=1).ravel())[::2]
+        depth, lo, hi, owner = scan(lcp, rank)
+        yield d, s, depth, lo, hi, maximal(raw, at, place, lo, hi), owner
+
+
+def occurrences(raw, at, doc, start, least: int = LEAST):
+    """All occurrences of the maximal repeats of pieces, part by part: repeat, length, document, start."""
+    number = 0
+    for d, s, depth, lo, hi, top, _ in trees(raw, at, doc, start, least):
+        depth, lo, hi = depth[top], lo[top], hi[top]
         n = hi - lo + 1
         which = np.repeat(np.arange(len(lo)), n)
         at_ = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield number + which, depth[which], d[at_], s[at_], rank[at_] == low[which]
+        yield number + which, depth[which], d[at_], s[at_]
         number += len(lo)
 
 
-def _groups(batches, columns: list[str]):
+def repeated(raw, at, doc, start, least: int = LEAST):
+    """Spans of pieces that a maximal repeat with an earlier occurrence covers, merged: document, start, end.
+
+    What a repeat that is not maximal covers, the one that extends it to the left covers too.
+    """
+    for d, s, depth, _, _, top, owner in trees(raw, at, doc, start, least):
+        later = np.flatnonzero(owner >= 0)
+        later = later[top[owner[later]]]
+        yield merge(d[later], s[later], s[later] + depth[owner[later]])
+
+
+def _groups(batches):
     """Runs of whole anchor groups of sorted batches, of about SORT_BYTES each."""
     held, size, last = [], 0, None
     for batch in batches:
@@ -364,24 +394,40 @@ def contents(texts: DataFrame, fine: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "anchor long, doc long, start long, content binary")
 
 
+def _pieces_of(table: pa.Table) -> tuple[np.ndarray, ...]:
+    data = table.column("content").to_pylist()
+    at = np.concatenate([[0], np.cumsum(np.array([len(x) for x in data], np.int64))])
+    return np.frombuffer(b"".join(data), np.uint8), at, table.column("doc").to_numpy(), table.column("start").to_numpy()
+
+
+def _in_groups(parts: DataFrame) -> DataFrame:
+    return small_batches(parts.repartition("anchor").sortWithinPartitions("anchor", "doc", "start"))
+
+
 def repeats(parts: DataFrame) -> DataFrame:
-    """Maximal repeats within anchor groups of ``parts(anchor, doc, start, content)``: repeat, length, doc, start, first."""
+    """Maximal repeats within anchor groups of ``parts(anchor, doc, start, content)``, every occurrence: repeat, length, doc, start."""
 
     def run(batches):
-        for table in _groups(batches, ["anchor"]):
-            column = table.column("content").combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            at = np.concatenate([[0], np.cumsum(np.array([len(x) for x in column.to_pylist()], np.int64))])
-            raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-            doc, start, anchor = (table.column(c).to_numpy() for c in ("doc", "start", "anchor"))
-            for which, length, d, s, first in occurrences(raw, at, doc, start):
-                name = mix(which.astype(_U) ^ _U(int(anchor[0]) & ((1 << 64) - 1))).view(np.int64)
-                for lo in range(0, len(name), OUT_ROWS):
+        for table in _groups(batches):
+            name = _U(int(table.column("anchor")[0].as_py()) & ((1 << 64) - 1))
+            for which, *columns in occurrences(*_pieces_of(table)):
+                for lo in range(0, len(which), OUT_ROWS):
                     part = slice(lo, lo + OUT_ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (name, length, d, s, first)], names=["repeat", "length", "doc", "start", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(which[part].astype(_U) ^ name).view(np.int64)), *(pa.array(c[part]) for c in columns)],
+                                                     names=["repeat", "length", "doc", "start"])
+
+    return _in_groups(parts).mapInArrow(run, "repeat long, length long, doc long, start long")
+
+
+def repeated_spans(parts: DataFrame) -> DataFrame:
+    """Spans of ``parts`` that start earlier too: doc, start, size."""
+
+    def run(batches):
+        for table in _groups(batches):
+            for doc, start, end in repeated(*_pieces_of(table)):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end - start)], names=["doc", "start", "size"])
 
-    ordered = parts.repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
-    return ordered.mapInArrow(run, "repeat long, length long, doc long, start long, first boolean")
+    return _in_groups(parts).mapInArrow(run, "doc long, start long, size long")
 
 
 def repeated_windows(parts: DataFrame) -> DataFrame:
@@ -426,7 +472,7 @@ def spans(texts: DataFrame) -> DataFrame:
         parts = materialise(parts, "piece_contents")
         out = out.unionByName(repeated_windows(parts.join(hot, "anchor", "left_semi")))
         parts = parts.join(hot, "anchor", "left_anti")
-    return out.unionByName(repeats(parts).where("NOT first").select("doc", "start", F.col("length").alias("size")))
+    return out.unionByName(repeated_spans(parts))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

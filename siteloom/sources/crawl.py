@@ -29,7 +29,7 @@ def read_header_sweep(spark: SparkSession, path: str, crawl_id: str, columns: T.
 def read_image_shards(spark: SparkSession, folder: str, min_width: int = 0, min_height: int = 0,
                       include_img_regex: str | None = None) -> DataFrame:
     """All JSON-lines shards of an image crawl as one table; empty shards add nothing."""
-    return image_scope(spark.read.json(f"{folder}/*.jl"), min_width, min_height, include_img_regex)
+    return image_scope(spark.read.option("pathGlobFilter", "*.{jl,json,jsonl}").json(folder), min_width, min_height, include_img_regex)
 
 
 def write_crawl(crawl: DataFrame, path: str, partitioned: bool = True) -> bool:

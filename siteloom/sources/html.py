@@ -1,8 +1,8 @@
 """Page HTML to crawl columns, with built-in string expressions only.
 
 Comments and the bodies of scripts and styles are removed first. Opening tags
-are then listed per element, and attributes are read from them in any order
-and quoting.
+are then listed once per page, each with its name and its attributes, which are read from
+the left, so that nothing inside a quoted value counts as an attribute. All columns look up that list.
 """
 
 from __future__ import annotations
@@ -32,20 +32,45 @@ def markup(html) -> Column:
 
 
 def head_of(source) -> Column:
-    """Content of the head element, '' without one."""
-    return F.regexp_extract(_col(source), r"(?is)<head\b[^>]*>(.*?)</head\s*>", 1)
+    """Content of all head elements; one without an end tag ends where the body begins."""
+    found = F.regexp_extract_all(_col(source), F.lit(r"(?is)<head\b[^>]*>(.*?)(?=</head\s*>|<body\b|<head\b|$)"), F.lit(1))
+    return F.array_join(found, "\n")
 
 
 def opening_tags(source, *names: str) -> Column:
     return F.regexp_extract_all(_col(source), F.lit(rf"(?i)<(?:{'|'.join(names)})\b{_TAG_REST}"), F.lit(0))
 
 
+# One attribute: its name, and its value in double, single or no quotes.
+_ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+
+
+def attributes(tag) -> Column:
+    """All attributes of an opening tag as array<struct<name, value>>, read from the left."""
+    body = F.regexp_replace(_col(tag), r"^<[a-zA-Z][^\s/>]*", "")
+    found = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
+
+    def entry(a: Column) -> Column:
+        value = F.concat(*[F.regexp_extract(a, f"(?s)^{_ATTRIBUTE}$", i) for i in (2, 3, 4)])
+        return F.struct(F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)).alias("name"), value.alias("value"))
+
+    return F.transform(found, entry)
+
+
+def value_of(attrs: Column, name: str) -> Column:
+    """Value of the first attribute of that name, null when absent."""
+    return F.get(F.filter(attrs, lambda a: a["name"] == name.lower()), F.lit(0))["value"]
+
+
 def attribute(tag, name: str) -> Column:
     """Attribute value of an opening tag, null when absent."""
-    pattern = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    t = _col(tag)
-    value = F.concat(*[F.regexp_extract(t, pattern, i) for i in (1, 2, 3)])
-    return F.when(t.rlike(pattern), value)
+    return value_of(attributes(tag), name)
+
+
+def parsed_tags(tags: Column) -> Column:
+    """Opening tags as array<struct<name, attrs>>."""
+    return F.transform(tags, lambda t: F.struct(
+        F.lower(F.regexp_extract(t, r"^<([a-zA-Z][^\s/>]*)", 1)).alias("name"), attributes(t).alias("attrs")))
 
 
 def element_texts(source, name: str) -> Column:
@@ -61,7 +86,7 @@ def without_tags(fragment) -> Column:
 def _matcher(name: str, value: str | None):
     """Test of one attribute: present, equal, or for rel one of its words."""
     def test(tag: Column) -> Column:
-        found = attribute(tag, name)
+        found = value_of(tag["attrs"], name)
         if value is None:
             return found.isNotNull()
         text = F.lower(F.coalesce(found, F.lit("")))
@@ -92,12 +117,12 @@ class Pick:
         return cls(m[2], tuple((a, v or None) for a, v in where), m[4], bool(m[1]))
 
     def tags(self) -> Column:
-        """Matching opening tags of a prepared page."""
+        """Matching tags of a prepared page."""
         wanted = F.col("_head_tags" if self.in_head else "_tags")
         tests = [_matcher(name, value) for name, value in self.where]
 
         def matches(tag: Column) -> Column:
-            found = tag.rlike(rf"(?i)^<{self.tag}\b")
+            found = tag["name"] == self.tag.lower()
             for test in tests:
                 found = found & test(tag)
             return found
@@ -107,19 +132,20 @@ class Pick:
     def values(self) -> Column:
         if self.attr is None:
             return element_texts(F.col("_head" if self.in_head else "_markup"), self.tag)
-        return F.filter(F.transform(self.tags(), lambda t: attribute(t, self.attr)), lambda v: v.isNotNull())
+        return F.filter(F.transform(self.tags(), lambda t: value_of(t["attrs"], self.attr)), lambda v: v.isNotNull())
 
 
 def prepared(pages: DataFrame, tags: set[str], html: str = "html") -> DataFrame:
     """Adds what all columns of a page share, each computed once.
 
     ``_markup`` and ``_head`` are the cleaned source; ``_tags`` and
-    ``_head_tags`` list the opening tags named, so that the columns read a
-    short list instead of scanning the page again.
+    ``_head_tags`` list the opening tags named with their attributes, so that the columns
+    read a short list instead of scanning the page again.
     """
     cleaned = pages.withColumn("_markup", markup(html)).withColumn("_head", head_of("_markup"))
     return cleaned.withColumns({
-        "_tags": opening_tags("_markup", *sorted(tags)), "_head_tags": opening_tags("_head", *sorted(tags))})
+        "_tags": parsed_tags(opening_tags("_markup", *sorted(tags))),
+        "_head_tags": parsed_tags(opening_tags("_head", *sorted(tags)))})
 
 
 _SHARED = ("_markup", "_head", "_tags", "_head_tags")
@@ -170,15 +196,16 @@ def links(source, page_url) -> Column:
 
     def item(a: Column) -> Column:
         tag = F.regexp_extract(a, rf"(?is)^<a\b{_TAG_REST}", 0)
-        rel = F.lower(F.coalesce(attribute(tag, "rel"), F.lit("")))
+        return F.struct(attributes(tag).alias("attrs"), F.trim(without_tags(a)).alias("text"))
+
+    def link(x: Column) -> Column:
+        rel = F.lower(F.coalesce(value_of(x["attrs"], "rel"), F.lit("")))
         return F.struct(
-            attribute(tag, "href").alias("href"), F.trim(without_tags(a)).alias("text"),
+            urls.resolve(page_url, F.trim(value_of(x["attrs"], "href"))).alias("url"), x["text"].alias("text"),
             F.array_contains(F.split(rel, r"\s+"), "nofollow").alias("nofollow"))
 
-    named = F.filter(F.transform(anchors, item), lambda x: x["href"].isNotNull())
-    return F.transform(named, lambda x: F.struct(
-        urls.resolve(page_url, F.trim(x["href"])).alias("url"), x["text"].alias("text"),
-        x["nofollow"].alias("nofollow")))
+    named = F.filter(F.transform(anchors, item), lambda x: value_of(x["attrs"], "href").isNotNull())
+    return F.transform(named, link)
 
 
 def nav_links(source, page_url) -> Column:
@@ -189,9 +216,9 @@ def nav_links(source, page_url) -> Column:
 
 def images(page_url) -> Column:
     """Image sources and alt texts of a prepared page."""
-    tags = F.filter("_tags", lambda t: t.rlike(r"(?i)^<img\b") & attribute(t, "src").isNotNull())
+    tags = F.filter("_tags", lambda t: (t["name"] == "img") & value_of(t["attrs"], "src").isNotNull())
     return F.transform(tags, lambda t: F.struct(
-        urls.resolve(page_url, F.trim(attribute(t, "src"))).alias("src"), attribute(t, "alt").alias("alt")))
+        urls.resolve(page_url, F.trim(value_of(t["attrs"], "src"))).alias("src"), value_of(t["attrs"], "alt").alias("alt")))
 
 
 def jsonld(html) -> Column:
@@ -210,8 +237,11 @@ def _first(items: Column) -> Column:
 def crawl_columns(pages: DataFrame, own_selectors: dict[str, str] | None = None) -> DataFrame:
     """pages(…, url, html) with every extraction column of the crawl schema added."""
     picks = {n: Pick.of(s) for n, s in merged_selectors(own_selectors).items()}
-    lists = {n: p.values() for n, p in picks.items()}
-    hreflang = F.arrays_zip(lists.pop("hreflang_hreflang").alias("lang"), lists.pop("hreflang_href").alias("href"))
+    lists = {n: p.values() for n, p in picks.items() if n not in ("hreflang_hreflang", "hreflang_href")}
+    # Language and address come from one tag; tags without a language name no alternate.
+    alternates = F.transform(Pick("link", (("rel", "alternate"),)).tags(), lambda t: F.struct(
+        value_of(t["attrs"], "hreflang").alias("lang"), value_of(t["attrs"], "href").alias("href")))
+    hreflang = F.filter(alternates, lambda a: a["lang"].isNotNull())
     joined = {
         n: F.nullif(F.array_join(lists.pop(n), LIST_DELIMITER), F.lit(""))
         for n in ("meta_robots", "html_lang", "meta_keywords", "meta_refresh", "rel_next", "rel_prev", "amphtml")

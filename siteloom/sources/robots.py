@@ -116,8 +116,8 @@ def can_fetch(pages: DataFrame, robots: DataFrame, agents: list[str], on: list[s
     """Every page for every agent: may it be fetched?
 
     ``pages`` carry ``url`` and the columns ``on`` that name their robots file.
-    The most specific group wins (exact agent, else '*'), in it the longest
-    matching rule, Allow on equal length. No file and no match mean yes.
+    The group with the longest product token that stands in the agent string wins, in any case
+    of letters, else '*'; in it the longest matching rule, Allow on equal length. No file and no match mean yes.
     """
     per_file = agent_groups(robots).groupBy(*on).agg(
         F.map_from_entries(F.collect_list(F.struct("agent", "rules"))).alias("groups"))
@@ -126,8 +126,9 @@ def can_fetch(pages: DataFrame, robots: DataFrame, agents: list[str], on: list[s
         F.when(urls.query("url") != "", F.concat(F.lit("?"), urls.query("url"))).otherwise(""))
     asked = pages.withColumn("target", target).join(per_file, on, "left").select(
         *pages.columns, "target", "groups", F.explode(urls.literals(agents)).alias("agent"))
-    rules = F.coalesce(
-        F.try_element_at("groups", F.lower("agent")), F.try_element_at(F.col("groups"), F.lit("*")))
+    tokens = F.filter(F.map_keys("groups"), lambda t: (t != "*") & (t != "") & F.contains(F.lower("agent"), t))
+    best_token = F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    rules = F.coalesce(F.try_element_at("groups", best_token), F.try_element_at(F.col("groups"), F.lit("*")))
     matching = F.filter(rules, lambda r: F.rlike(F.col("target"), r["pattern"]))
     best = F.array_max(F.transform(matching, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))
     return asked.withColumn("can_fetch", F.coalesce(best["allow"], F.lit(True))).drop("groups", "target")

@@ -56,7 +56,7 @@ def image_shards(spark, sf):
     images = D.read(spark, sf, "pages").selectExpr(
         "page_id", "url || '/i.png' AS img_src", "CAST(length(html) % 400 AS BIGINT) AS width", "CAST(length(url) % 100 AS BIGINT) AS height")
     images.write.json(path)
-    return image_scope(spark.read.json(path), 50, 20)
+    return image_scope(C.read_image_shards(spark, path), 50, 20).select("page_id", "img_src", "width", "height")
 
 
 @query("detail_csv", """SELECT url AS "Address", title AS "Title 1", coalesce(meta_desc, '') AS "Meta Description 1" FROM crawl""")
@@ -116,7 +116,7 @@ def robots_disallowed(spark, sf):
 
 
 # The rules of each file are known, so the longest match is spelt out here.
-_CAN = """CASE WHEN agent = 'Bot' THEN
+_CAN = """CASE WHEN agent <> 'Other' THEN
     CASE WHEN length(host) % 3 = 0 THEN CASE WHEN target NOT LIKE '/fr%' THEN true ELSE length(host) % 5 = 0 AND target LIKE '/%5' AND length('/*5$') > length('/fr') END
     ELSE length(host) % 5 = 0 AND target LIKE '/%5' END
   ELSE CASE WHEN length(host) % 2 = 0 AND regexp_matches(target, '^/.*[?]page=') THEN false
@@ -124,15 +124,15 @@ _CAN = """CASE WHEN agent = 'Bot' THEN
 
 
 @query("robots_can_fetch", f"""SELECT page_id, agent, {_CAN} AS can_fetch FROM (SELECT page_id, {Q.host('url')} AS host,
-    {Q.path('url')} || CASE WHEN {Q.query('url')} <> '' THEN '?' || {Q.query('url')} ELSE '' END AS target, unnest(['Bot', 'Other']) AS agent FROM pages)""")
+    {Q.path('url')} || CASE WHEN {Q.query('url')} <> '' THEN '?' || {Q.query('url')} ELSE '' END AS target, unnest(['Mozilla/5.0 (compatible; bot/2.1)', 'Other']) AS agent FROM pages)""")
 def robots_can_fetch(spark, sf):
     pages = D.read(spark, sf, "pages").select("page_id", "url", urls.host("url").alias("host"))
-    return R.can_fetch(pages, _robot_files(spark, sf), ["Bot", "Other"], ["host"]).select("page_id", "agent", "can_fetch")
+    return R.can_fetch(pages, _robot_files(spark, sf), ["Mozilla/5.0 (compatible; bot/2.1)", "Other"], ["host"]).select("page_id", "agent", "can_fetch")
 
 
 @query("robots_can_fetch_totals", f"""SELECT agent, count_if(ok) AS allowed, count_if(NOT ok) AS blocked, count(*) AS rows FROM (
     SELECT agent, {_CAN} AS ok FROM (SELECT {Q.host('url')} AS host,
-    {Q.path('url')} || CASE WHEN {Q.query('url')} <> '' THEN '?' || {Q.query('url')} ELSE '' END AS target, unnest(['Bot', 'Other']) AS agent FROM pages)) GROUP BY agent""")
+    {Q.path('url')} || CASE WHEN {Q.query('url')} <> '' THEN '?' || {Q.query('url')} ELSE '' END AS target, unnest(['Mozilla/5.0 (compatible; bot/2.1)', 'Other']) AS agent FROM pages)) GROUP BY agent""")
 def robots_can_fetch_totals(spark, sf):
     return robots_can_fetch(spark, sf).groupBy("agent").agg(
         F.count_if("can_fetch").alias("allowed"), F.count_if(~F.col("can_fetch")).alias("blocked"), F.count("*").alias("rows"))
@@ -185,8 +185,11 @@ def sitemap_discovery(spark, sf):
     """Per host: the first of its candidates that has rows."""
     files = _robot_files(spark, sf).withColumnRenamed("host", "crawl_id")
     entry = "'<urlset><url><loc>https://' || crawl_id || '/</loc></url></urlset>'"
-    docs = files.selectExpr("'https://' || crawl_id || '/sitemap.xml' AS url",
-                            f"CASE WHEN length(crawl_id) % 6 = 0 THEN '<urlset></urlset>' ELSE {entry} END AS body").unionByName(
+    # The usual file is an index of a document with rows, or of one without; the news file has rows.
+    listed = "'<sitemapindex><sitemap><loc>https://' || crawl_id || '/part.xml</loc></sitemap></sitemapindex>'"
+    docs = files.selectExpr("'https://' || crawl_id || '/sitemap.xml' AS url", f"{listed} AS body").unionByName(
+        files.selectExpr("'https://' || crawl_id || '/part.xml' AS url",
+                         f"CASE WHEN length(crawl_id) % 6 = 0 THEN '<urlset></urlset>' ELSE {entry} END AS body")).unionByName(
         files.selectExpr("'https://' || crawl_id || '/news.xml' AS url", f"{entry} AS body"))
     return S.discover(files, files.select("crawl_id", F.col("crawl_id").alias("primary_host")), docs)
 

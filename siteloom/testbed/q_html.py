@@ -43,10 +43,10 @@ def html_counts(spark, sf):
     return X.prepared(_pages(spark, sf), X.COUNTED_TAGS).select("page_id", *[c.alias(n) for n, c in counts.items()])
 
 
-@query("html_rich_counts", """SELECT page_id, 2 AS head_count, 1 + 0 AS title_count, 0 AS title_in_head_count, 1 AS canonical_total_count,
+@query("html_rich_counts", """SELECT page_id, 2 AS head_count, 1 AS title_count, 1 AS title_in_head_count, 1 AS canonical_total_count,
     1 AS canonical_in_head_count, 1 AS meta_desc_total_count, 1 AS meta_desc_in_head_count FROM pages""")
 def html_rich_counts(spark, sf):
-    """With a commented-out title and a second head."""
+    """With a commented-out title; the page's own head is a second one and its title counts as inside."""
     counts = X.structure_counts()
     return X.prepared(_rich(spark, sf), X.COUNTED_TAGS).select("page_id", *[c.alias(n) for n, c in counts.items()])
 
@@ -108,3 +108,19 @@ def html_crawl_columns(spark, sf):
 def html_images(spark, sf):
     p = X.prepared(_rich(spark, sf), {"img"}).select("page_id", F.explode(X.images(F.col("url"))).alias("i"))
     return p.select("page_id", "i.src", "i.alt")
+
+
+# Heads without an end tag, names inside quoted values, an alternate without language.
+TRICKY = """'<html><head><meta content="say name=description now" name="keywords"><link rel="alternate" href="/feed' || CAST(page_id AS STRING) || '">'
+ || '<link href="/de" rel="alternate" hreflang="de"><title>T' || CAST(page_id AS STRING) || '</title><meta name="description" content="own">'
+ || '<body><img alt="a src=b.png c" src="/i' || CAST(page_id AS STRING) || '.png">' || substr(html, 1, 0) || '</body></html>'"""
+
+
+@query("html_tricky", f"""SELECT page_id, 'own' AS meta_desc, 'say name=description now' AS meta_keywords, 'de' AS langs, '/de' AS hrefs,
+    1 AS title_in_head_count, 1 AS meta_desc_in_head_count, {Q.scheme('url')} || '://' || {Q.netloc('url')} || '/i' || CAST(page_id AS STRING) || '.png' AS src FROM pages""")
+def html_tricky(spark, sf):
+    """Markup on which reading attributes by search, or heads by their end tag, goes wrong."""
+    p = X.crawl_columns(_pages(spark, sf).selectExpr("page_id", "url", f"{TRICKY} AS html"))
+    return p.select("page_id", "meta_desc", "meta_keywords", F.array_join(F.transform("hreflang", lambda h: h["lang"]), ",").alias("langs"),
+                    F.array_join(F.transform("hreflang", lambda h: h["href"]), ",").alias("hrefs"), "title_in_head_count", "meta_desc_in_head_count",
+                    F.col("images")[0]["src"].alias("src"))

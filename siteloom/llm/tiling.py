@@ -26,7 +26,7 @@ from .common import BASE, LOWER, chunks, materialise, prefix_hash, shingles, sma
 
 LEAST = 5
 COVERAGE = 0.5
-#: Words of the bit table; 64 bits each.
+#: The bit table has 2 ** CELL_BITS words of 64 bits; a run sets two of its bits.
 CELL_BITS = 18
 
 #: Word bytes: digits, letters and all beyond ASCII.
@@ -66,35 +66,65 @@ def item_runs(items: DataFrame) -> DataFrame:
     return small_batches(items).mapInArrow(run, "item_id long, size long, run long").distinct()
 
 
-def candidates(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Pairs of ``texts(key, text)`` and items that share a run: key, item_id."""
-    sizes = sorted(r[0] for r in runs.select("size").distinct().collect())  # at most LEAST numbers
-    cells = (runs.select(F.shiftrightunsigned("run", 64 - CELL_BITS).alias("cell"),
-                         F.expr("shiftleft(1L, cast(shiftrightunsigned(run, 32) & 63 as int))").alias("bit"))
-             .groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect())  # at most 2 ** CELL_BITS rows
+def _bit(run: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and bit of the table for a run hash; the probes use different bits of it."""
+    shift = 64 - CELL_BITS if probe == 0 else 64 - 2 * CELL_BITS - 6
+    cell = (run >> np.uint64(shift)) & np.uint64((1 << CELL_BITS) - 1)
+    return cell.astype(np.int64), (run >> np.uint64(shift - 6)) & np.uint64(63)
+
+
+def bit_table(runs: DataFrame) -> np.ndarray:
+    """Bits of the items' runs: 2 ** CELL_BITS words of 64 bits, whatever the number of items."""
+    parts = []
+    for probe in (0, 1):
+        shift = 64 - CELL_BITS if probe == 0 else 64 - 2 * CELL_BITS - 6
+        parts.append(runs.select(
+            F.expr(f"shiftrightunsigned(run, {shift}) & {(1 << CELL_BITS) - 1}").alias("cell"),
+            F.expr(f"shiftleft(1L, cast(shiftrightunsigned(run, {shift - 6}) & 63 as int))").alias("bit")))
     table = np.zeros(1 << CELL_BITS, np.int64)
-    for r in cells:
+    for r in parts[0].unionByName(parts[1]).groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect():  # at most 2 ** CELL_BITS rows
         table[r["cell"]] = r["bits"]
-    table = texts.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    return table.view(np.uint64)
+
+
+def candidates(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Texts of ``texts(key, text)`` that hold runs of the bit table: key, text, hits (array of size and run).
+
+    Only these texts go on; no other text is shuffled.
+    """
+    sizes = sorted(r[0] for r in runs.select("size").distinct().collect())  # at most LEAST numbers
+    table = texts.sparkSession.sparkContext.broadcast(bit_table(runs))
+
+    def hits_of(bits, h, first):
+        """Row numbers, sizes and hashes of the runs whose bits are set."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for size in sizes:
+            got, row = _runs(h, first, size)
+            hit = np.ones(len(got), bool)
+            for probe in (0, 1):
+                cell, bit = _bit(got, probe)
+                hit &= ((bits[cell] >> bit) & np.uint64(1)).astype(bool)
+            at_hit = np.flatnonzero(hit)
+            owner = np.searchsorted(row, at_hit, side="right") - 1
+            both = np.unique(np.stack([owner, got[at_hit].view(np.int64)]), axis=1)
+            out.append((both[0], np.full(both.shape[1], size), both[1]))
+        return (np.concatenate(c) for c in zip(*out))
 
     def run(batches):
         bits = table.value
         for batch in batches:
             for lo, hi, raw, at in chunks(batch, "text"):
-                h, first = word_hashes(raw, at)
-                for size in sizes:
-                    got, row = _runs(h, first, size)
-                    hit = (bits[(got >> np.uint64(64 - CELL_BITS)).astype(np.int64)] >> ((got >> np.uint64(32)) & np.uint64(63))) & np.uint64(1)
-                    at_hit = np.flatnonzero(hit)
-                    if not len(at_hit):
-                        continue
-                    owner = np.searchsorted(row, at_hit, side="right") - 1
-                    both = np.unique(np.stack([owner, got[at_hit].view(np.int64)]), axis=1)
-                    keys = batch.column("key").slice(lo, hi - lo).take(pa.array(both[0]))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(both.shape[1], size), pa.int64()), pa.array(both[1])], names=["key", "size", "run"])
+                owner, size, got = hits_of(bits, *word_hashes(raw, at))
+                if not len(owner):
+                    continue
+                order = np.argsort(owner, kind="stable")
+                rows, count = np.unique(owner, return_counts=True)
+                entries = pa.StructArray.from_arrays([pa.array(size[order]), pa.array(got[order])], names=["size", "run"])
+                hits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), entries)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in ("key", "text")), hits], names=["key", "text", "hits"])
 
-    hits = small_batches(texts).mapInArrow(run, "key string, size long, run long")
-    return hits.join(runs, ["size", "run"]).select("key", "item_id").distinct()
+    return small_batches(texts).mapInArrow(run, "key string, text string, hits array<struct<size: long, run: long>>")
 
 
 def _hashes(words_: np.ndarray, size: int) -> np.ndarray:
@@ -158,10 +188,10 @@ def findings(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text
     texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("key"), F.col(text).alias("text"))
     items = items.select("item_id", F.col(item_text).alias("text"))
     runs = materialise(item_runs(items), "item_runs")
-    pairs = materialise(candidates(texts, runs), "tiling_pairs")
-    some = texts.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    some = materialise(candidates(texts, runs), "tiling_texts").dropDuplicates(["key"])
+    pairs = some.select("key", F.inline("hits")).join(runs, ["size", "run"]).select("key", "item_id").distinct()
     both = (pairs.join(items.withColumnRenamed("text", "item"), "item_id")
-            .join(some, "key").select("key", "item_id", "item", "text"))
+            .join(some.select("key", "text"), "key").select("key", "item_id", "item", "text"))
 
     def run(batches):
         for batch in batches:
@@ -191,4 +221,4 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
 def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that no item contaminates, with all their columns."""
     bad = materialise(findings(docs, items, coverage, text).select(F.col("key").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col("_bad"), "left_anti")
+    return docs.join(bad.hint("merge"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col("_bad"), "left_anti")

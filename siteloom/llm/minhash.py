@@ -116,7 +116,8 @@ def full_sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
                     batch.column("rep").slice(lo, hi - lo),
                     lists(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), offsets, pa.int64())], names=["rep", "elements"])
 
-    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
+    # Joined by shuffle at every size, so that its cost follows the input.
+    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi")
     return small_batches(wanted).mapInArrow(run, "rep long, elements array<long>")
 
 

@@ -23,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8), and one row of each id; rows without id stay."""
     found = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
     gone = materialise(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "copies")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").limit(1)
     if twice.isEmpty():
         return left

@@ -94,7 +94,9 @@ def conform(df: DataFrame, crawl_id: str | None = None) -> DataFrame:
     """Bring a flat or typed crawl to the ``CRAWL`` schema; absent columns read as null.
 
     Flat list cells, header and structured-data column families are folded to
-    arrays and maps. Without a ``seq`` column rows are numbered in load order.
+    arrays and maps. Columns the schema does not know (own selectors, ``og:`` fields, request headers)
+    follow as they are, so slices and summaries reach them. Without a ``seq`` column rows are numbered
+    in load order; readers of several files number them by file and place first.
     """
     have = dict(df.dtypes)
     out = []
@@ -122,4 +124,7 @@ def conform(df: DataFrame, crawl_id: str | None = None) -> DataFrame:
         else:
             value = F.col(name)
         out.append(value.cast(kind).alias(name))
-    return df.select(*out)
+    folded = {c for _, parts in _ZIPPED.values() for c in parts.values()}
+    prefixes = tuple(prefix for prefix, _ in _MAPS.values())
+    others = [c for c in df.columns if c not in CRAWL.names and c not in folded and not c.lower().startswith(prefixes)]
+    return df.select(*out, *[F.col(f"`{c}`") for c in others])

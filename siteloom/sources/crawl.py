@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from siteloom import schema
 from siteloom.operators.scope import image_scope
@@ -18,7 +18,21 @@ def read_crawl_json(spark: SparkSession, path: str, crawl_id: str, columns: T.St
     """
     reader = spark.read.option("primitivesAsString", True)
     raw = reader.schema(columns).json(path) if columns else reader.json(path)
-    return schema.conform(raw, crawl_id)
+    return schema.conform(raw if "seq" in raw.columns else numbered(raw, "seq"), crawl_id)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds the place of each row over all files of a file source: by file name, then by place in the file.
+
+    Rows are counted per split; only the splits, not the rows, are put in order.
+    """
+    marked = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_row"))
+    splits = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as there are splits.
+    offsets = splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return marked.join(offsets, ["_file", "_block"]).withColumn(name, F.col("_row") + F.col("_shift")).drop("_file", "_block", "_row", "_shift")
 
 
 def read_header_sweep(spark: SparkSession, path: str, crawl_id: str, columns: T.StructType | None = None) -> DataFrame:
@@ -42,8 +56,10 @@ def write_crawl(crawl: DataFrame, path: str, partitioned: bool = True) -> bool:
 
 
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """A stored crawl; ``crawl_id`` filters prune whole folders."""
-    return spark.read.schema(schema.CRAWL).parquet(path)
+    """A stored crawl with all its columns; ``crawl_id`` filters prune whole folders."""
+    stored = spark.read.parquet(path).schema
+    others = [f for f in stored if f.name not in schema.CRAWL.names]
+    return spark.read.schema(T.StructType([*schema.CRAWL.fields, *others])).parquet(path)
 
 
 def write_side_table(df: DataFrame, path: str) -> str | None:

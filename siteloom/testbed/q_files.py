@@ -64,7 +64,7 @@ def detail_csv(spark, sf):
     """The detail report written as CSV and read back."""
     path = new_path(spark, "crawl-detail-csv")
     C.write_detail_csv(crawl_detail(D.stored(spark, sf)), path)
-    back = E.read_export(spark, path)
+    back = E.read_export(spark, path, multi_line=True)
     return back.select("Address", "Title 1", "Meta Description 1")
 
 
@@ -207,8 +207,8 @@ def lab_metrics(spark, sf):
 
 # ---- spider exports ----------------------------------------------------------------
 def _export_folder(spark, sf) -> str:
-    """The derived crawl as three spider exports."""
-    c = D.stored(spark, sf).where("crawl_id = 'a'")
+    """The derived crawls as three spider exports of one site."""
+    c = D.stored(spark, sf)
     folder = new_path(spark, "exports")
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     writer = lambda df, name: df.write.option("header", True).option("quoteAll", True).option("escape", '"').option(
@@ -236,7 +236,7 @@ def _export_folder(spark, sf) -> str:
 
 @query("import_internal", """SELECT url, status, nullif(trim(title), '') AS title, CASE WHEN trim(title) <> '' THEN 1 ELSE 0 END + CASE WHEN seq % 4 = 0 THEN 1 ELSE 0 END AS title_count,
     nullif(trim(meta_desc), '') AS meta_desc, CASE WHEN trim(coalesce(h1_cell, '')) = '' THEN 0 WHEN h1_cell = 'First@@Second' THEN 2 ELSE 1 END AS h1_items,
-    canonical, meta_robots, depth, size, download_latency, content_type FROM crawl WHERE crawl_id = 'a'""")
+    canonical, meta_robots, depth, size, download_latency, content_type FROM crawl""")
 def import_internal(spark, sf):
     d = E.import_folder(spark, _export_folder(spark, sf))
     return d.crawl.select(
@@ -245,12 +245,12 @@ def import_internal(spark, sf):
 
 
 @query("import_edges", """SELECT c.url, count(DISTINCT c.seq) AS pages,
-    (SELECT count(*) FROM links l JOIN crawl p ON p.seq = l.seq WHERE p.crawl_id = 'a' AND p.url = c.url) AS n_links,
-    (SELECT count(*) FROM links l JOIN crawl p ON p.seq = l.seq WHERE p.crawl_id = 'a' AND p.url = c.url AND nofollow) AS n_nofollow,
-    (SELECT count(*) FROM scripts l JOIN crawl p ON p.seq = l.seq WHERE p.crawl_id = 'a' AND p.url = c.url) AS n_scripts,
-    (SELECT count(*) FROM styles l JOIN crawl p ON p.seq = l.seq WHERE p.crawl_id = 'a' AND p.url = c.url) AS n_styles,
-    (SELECT count(*) FROM images l JOIN crawl p ON p.seq = l.seq WHERE p.crawl_id = 'a' AND p.url = c.url) AS n_images
-    FROM crawl c WHERE crawl_id = 'a' GROUP BY c.url""")
+    (SELECT count(*) FROM links l JOIN crawl p ON p.seq = l.seq WHERE p.url = c.url) AS n_links,
+    (SELECT count(*) FROM links l JOIN crawl p ON p.seq = l.seq WHERE p.url = c.url AND nofollow) AS n_nofollow,
+    (SELECT count(*) FROM scripts l JOIN crawl p ON p.seq = l.seq WHERE p.url = c.url) AS n_scripts,
+    (SELECT count(*) FROM styles l JOIN crawl p ON p.seq = l.seq WHERE p.url = c.url) AS n_styles,
+    (SELECT count(*) FROM images l JOIN crawl p ON p.seq = l.seq WHERE p.url = c.url) AS n_images
+    FROM crawl c GROUP BY c.url""")
 def import_edges(spark, sf):
     d = E.import_folder(spark, _export_folder(spark, sf))
     size = lambda c: F.max(F.size(c)).cast("bigint")
@@ -260,17 +260,33 @@ def import_edges(spark, sf):
 
 
 @query("import_signals", """SELECT 'import' AS crawl_id, 'spider-export' AS source, count(*) AS rows, 'internal_all.csv, all_outlinks.csv, images_all.csv' AS files_used,
-    'canonical, h1, images, links, meta_desc, meta_robots, multiples, redirect, scripts, title' AS signals FROM crawl WHERE crawl_id = 'a'""")
+    'canonical, h1, images, links, meta_desc, meta_robots, multiples, redirect, scripts, title' AS signals FROM crawl""")
 def import_signals(spark, sf):
     return E.import_folder(spark, _export_folder(spark, sf)).provenance()
 
 
-@query("import_audit", f"""SELECT 76 AS num, 'Present' AS status, count_if(trim(title) <> '' AND seq % 4 = 0) AS affected_count FROM crawl WHERE crawl_id = 'a'
-    UNION ALL SELECT 48, 'Present', count_if(status >= 500) FROM crawl WHERE crawl_id = 'a'
+@query("import_audit", f"""SELECT 76 AS num, 'Present' AS status, count_if(trim(title) <> '' AND seq % 4 = 0) AS affected_count FROM crawl
+    UNION ALL SELECT 48, 'Present', count_if(status >= 500) FROM crawl
     UNION ALL SELECT 52, 'Not assessed', 0 UNION ALL SELECT 7, 'Not assessed', 0 UNION ALL SELECT 30, 'Not assessed', 0
-    UNION ALL SELECT 18, 'Present', count(*) FROM crawl c WHERE crawl_id = 'a' AND EXISTS (SELECT 1 FROM links l JOIN crawl p ON p.seq = l.seq WHERE p.crawl_id = 'a' AND p.url = c.url AND link LIKE '%utm_%')""")
+    UNION ALL SELECT 18, 'Present', count(*) FROM crawl c WHERE EXISTS (SELECT 1 FROM links l JOIN crawl p ON p.seq = l.seq WHERE p.url = c.url AND link LIKE '%utm_%')""")
 def import_audit(spark, sf):
     """Verdicts over an imported dataset; checks without their signal stay unassessed."""
     d = E.import_folder(spark, _export_folder(spark, sf))
     run = Audit(d.crawl, d.crawls)
     return run.checklist().where("num IN (7, 18, 30, 48, 52, 76)").select("num", "status", "affected_count")
+
+
+@query("own_columns", """SELECT seq, price, "og:title" AS og_title FROM (SELECT seq, CAST(seq AS STRING) || ' EUR' AS price, title AS "og:title" FROM crawl)
+    WHERE contains(price, '1') AND "og:title" IS NOT NULL""")
+def own_columns(spark, sf):
+    """A slice on columns the crawl schema does not name, through files."""
+    from siteloom.operators import slicing
+
+    path = new_path(spark, "own-json")
+    D.stored(spark, sf).select("crawl_id", "seq", "url", F.concat(F.col("seq").cast("string"), F.lit(" EUR")).alias("price"),
+                               F.col("title").alias("og:title")).write.json(path)
+    stored = new_path(spark, "own-crawl")
+    C.write_crawl(C.read_crawl_json(spark, path, "unused"), stored)
+    found = slicing.select_rows(C.read_crawl(spark, stored), ["seq", "price", "og:title"],
+                                [{"column": "price", "op": "contains", "value": "1"}, {"column": "og:title", "op": "not_null"}])
+    return found.withColumnRenamed("og:title", "og_title")

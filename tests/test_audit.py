@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siteloom import schema
 from siteloom.plans import catalogue
-from siteloom.plans.asset_checks import onclick_sample
+from siteloom.plans.asset_checks import onclick_pages
 from siteloom.plans.audit import Audit, state_counts
 
 STATES = {"Present", "Not present", "Heuristic", "Not assessed"}
@@ -29,12 +29,15 @@ def _states(run):
 
 @pytest.fixture(scope="module")
 def toy(spark):
+    """A library: its catalogue is open, its reading room is not to be indexed; one has a picture in an old format."""
+    lib = "https://library.test"
     return _crawl(spark, [
-        ("https://w.example/a", 200, "A", "da", "index,follow", "A", "https://w.example/a", "hello world " * 30, "text/html", "https://w.example/i.png",
-         "https://w.example/b", "False"),
-        ("https://w.example/b", 200, "B", "db", "noindex", "B", "https://w.example/b", "more text " * 30, "text/html", "", "https://w.example/a", "False"),
+        (f"{lib}/catalogue", 200, "Q", "All books by author and year", "all", "Books", f"{lib}/catalogue", "Every book has a card. " * 20, "text/html",
+         f"{lib}/reading-room@@{lib}/hours", "False@@False", f"{lib}/shelf.png"),
+        (f"{lib}/reading-room", 200, "R", "Quiet please", "noindex", "Room", f"{lib}/reading-room", "Silence is kept in here. " * 20, "text/html",
+         f"{lib}/catalogue", "False", ""),
     ], "url string, status int, title string, meta_desc string, meta_robots string, h1 string, canonical string, body_text string, "
-       "`resp_headers_Content-Type` string, img_src string, links_url string, links_nofollow string")
+       "`resp_headers_Content-Type` string, links_url string, links_nofollow string, img_src string")
 
 
 @pytest.fixture(scope="module")
@@ -71,47 +74,56 @@ def test_signal_gate_names_what_is_missing(spark, toy):
     assert run.findings().where("num IN (44, 52)").isEmpty()
 
 
-@pytest.mark.parametrize("mode, locs, state", [
-    (True, ["/", "/a", "/b", "/orphan"], "Present"), (True, ["/", "/b"], "Not present"), (True, ["/a/"], "Not present"),
-    (False, ["/orphan"], "Not assessed"), (None, ["/orphan"], "Not assessed"), (True, [], "Not assessed")])
-def test_orphans(spark, mode, locs, state):
-    crawl = _crawl(spark, [("https://w.example/", 200, "https://w.example/a@@https://w.example/b"), ("https://w.example/a", 200, "https://w.example/")],
-                   "url string, status int, links_url string")
-    sitemap = spark.createDataFrame([("w", i, "https://w.example" + p, None) for i, p in enumerate(locs)],
-                                    "crawl_id string, seq bigint, loc string, errors string")
-    run = _run(spark, crawl, sitemap=sitemap, info={"is_discovery": ("boolean", mode)})
-    row = run.checklist().where("num = 91").first()
-    assert row.status == state
-    if state == "Present":
-        assert row.example_urls == "https://w.example/orphan"
-    if locs and not mode:
-        assert "discovery" in row.note.lower()
-
-
-BASE = dict(ok=True, page_errors=[], title_at_load="T", title_after_wait="T", rendered_text_len=100, nav_link_count=0, hidden_text_len=0,
-            pseudo_content_count=0, overlay=False)
-
-
-def _render_states(spark, body="short static", nav="", **over):
-    crawl = _crawl(spark, [("https://w.example/p", 200, body, nav)], "url string, status int, body_text string, nav_links_url string")
-    values = {**BASE, **over}
+@pytest.mark.parametrize("listed, discovery, orphans", [
+    (["map", "tours"], True, None), (["map", "cellar"], True, ["cellar"]), (["map/", "tours#x"], True, ["tours#x"]),
+    (["cellar"], False, "unassessed"), (["cellar"], None, "unassessed"), ([], True, "unassessed")])
+def test_orphans(spark, listed, discovery, orphans):
+    """A zoo whose start page links the map, and the map the tours; the cellar is linked by nobody."""
+    zoo = "https://zoo.test/"
+    crawl = _crawl(spark, [(zoo, 200, zoo + "map"), (zoo + "map", 200, zoo + "tours")], "url string, status int, links_url string")
+    sitemap = spark.createDataFrame([("w", i, zoo + p, None) for i, p in enumerate(listed)], "crawl_id string, seq bigint, loc string, errors string")
+    row = _run(spark, crawl, sitemap=sitemap, info={"is_discovery": ("boolean", discovery)}).checklist().where("num = 91").first()
+    if orphans == "unassessed":
+        assert row.status == "Not assessed" and row.note
+    else:
+        assert row.status == ("Present" if orphans else "Not present")
+        assert row.example_urls == "\n".join(zoo + p for p in orphans or [])
+
+
+# What a render of a healthy page reports, and what changes when one thing goes wrong.
+HEALTHY = {"ok": True, "page_errors": [], "title_at_load": "Opera", "title_after_wait": "Opera", "rendered_text_len": 640, "nav_link_count": 0,
+           "hidden_text_len": 12, "pseudo_content_count": 0, "overlay": False}
+SYMPTOMS = [
+    ({}, {}, []),
+    ({"page_errors": ["x is not defined", "again"]}, {}, [15]),
+    ({"nav_link_count": 7}, {}, [16]),
+    ({"nav_link_count": 7}, {"nav_links_url": "https://opera.test/cast"}, []),
+    ({"rendered_text_len": 19}, {}, [21]),
+    ({"rendered_text_len": 5000}, {}, [22]),
+    ({"rendered_text_len": 1100}, {}, []),
+    ({"pseudo_content_count": 1, "overlay": True}, {}, [35, 71]),
+    ({"title_after_wait": None, "hidden_text_len": 200}, {}, [75, 90]),
+    ({"ok": False, "overlay": True, "hidden_text_len": 900}, {}, [21]),
+]
+
+
+@pytest.mark.parametrize("changed, static, found", SYMPTOMS)
+def test_render_checks(spark, changed, static, found):
+    page = {"url": "https://opera.test/", "status": 200, "body_text": "o" * 640, "nav_links_url": ""} | static
+    crawl = _crawl(spark, [tuple(page.values())], "url string, status int, body_text string, nav_links_url string")
     ddl = ("crawl_id string, url string, ok boolean, page_errors array<string>, title_at_load string, title_after_wait string, rendered_text_len bigint, "
            "nav_link_count bigint, hidden_text_len bigint, pseudo_content_count bigint, overlay boolean")
-    run = _run(spark, crawl, render=spark.createDataFrame([("w", "https://w.example/p", *values.values())], ddl), info={"has_render": ("boolean", True)})
-    return {r.num for r in run.render_findings().collect()}
+    render = spark.createDataFrame([("w", page["url"], *(HEALTHY | changed).values())], ddl)
+    run = _run(spark, crawl, render=render, info={"has_render": ("boolean", True)})
+    assert sorted(r.num for r in run.render_findings().collect()) == found
 
 
-def test_render_checks(spark):
-    assert _render_states(spark) == set()
-    assert _render_states(spark, page_errors=["boom"]) == {15}
-    assert _render_states(spark, nav_link_count=3) == {16}
-    assert _render_states(spark, nav="https://w.example/a", nav_link_count=3) == set()
-    assert _render_states(spark, rendered_text_len=3) == {21}
-    assert _render_states(spark, body="tiny", rendered_text_len=2000) == {22}
-    assert _render_states(spark, body="x" * 100, rendered_text_len=110) == set()
-    assert _render_states(spark, pseudo_content_count=2, overlay=True, title_after_wait="Other", hidden_text_len=500) == {35, 71, 75, 90}
-    # A failed render gives no verdict on the page itself.
-    assert _render_states(spark, ok=False, hidden_text_len=9999, overlay=True, pseudo_content_count=9) == {21}
+def test_assets_beyond_any_sample(spark):
+    """Every supplied status counts, and an address listed twice counts once."""
+    crawl = _crawl(spark, [("https://m.test/", 200, "@@".join(f"https://m.test/s{i}.js" for i in range(300)))], "url string, status int, script_src string")
+    statuses = spark.createDataFrame([("w", f"https://m.test/s{i}.js", s) for i in range(300) for s in (200, 500)], "crawl_id string, url string, status bigint")
+    row = _run(spark, crawl, asset_status=statuses).checklist().where("num = 13").first()
+    assert (row.status, row.affected_count) == ("Present", 300)
 
 
 def test_lab_checks(spark, toy):
@@ -130,9 +142,8 @@ def test_lab_checks(spark, toy):
 def test_onclick_anchors(spark):
     html = spark.createDataFrame([("w", 1, "u1", "<a onclick='x()'>y</a>"), ("w", 2, "u2", "<A href='/' onclick='x()'>y</A>"), ("w", 3, "u3", None)],
                                  "crawl_id string, seq bigint, url string, html string")
-    assert {r.url: (r.resolved, r.bad) for r in onclick_sample(html, 50).collect()} == {
+    assert {r.url: (r.resolved, r.bad) for r in onclick_pages(html).collect()} == {
         "u1": (True, True), "u2": (True, False), "u3": (False, None)}
-    assert onclick_sample(html, 2).count() == 2
 
 
 def test_own_check(spark, toy):
@@ -144,6 +155,13 @@ def test_own_check(spark, toy):
         catalogue.with_row_check(own, 1, "taken", lambda: F.lit(True))
 
 
+def test_a_failing_check_does_not_end_the_run(spark, toy):
+    own = catalogue.with_row_check(catalogue.CHECKS, 901, "Breaks", lambda: F.raise_error(F.lit("no")).isNull())
+    rows = {r.num: r for r in _run(spark, toy, checks=own).checklist().where("num IN (63, 901)").collect()}
+    assert rows[901].status == "Not assessed" and "failed" in rows[901].note
+    assert rows[63].status == "Present"
+
+
 def test_duplicate_fetch_last_one_decides(spark):
     crawl = schema.conform(spark.createDataFrame(
         [("w", 1, "https://w.example/t", 404, None), ("w", 2, "https://w.example/t/", 200, None), ("w", 3, "https://w.example/p", 200, "https://w.example/t")],

@@ -234,8 +234,10 @@ class Audit:
         return (
             self.crawls.select("crawl_id")
             .join(robots, "crawl_id", "left").join(rules, "crawl_id", "left")
-            .join(self.sitemap.select("crawl_id").distinct().withColumn("has_sitemap", F.lit(True)), "crawl_id", "left")
-            .join(self.render.select("crawl_id").distinct().withColumn("has_renders", F.lit(True)), "crawl_id", "left")
+            .join(self.sitemap.groupBy("crawl_id").agg(F.count("*").alias("n_sitemap")).withColumn("has_sitemap", F.lit(True)), "crawl_id", "left")
+            .join(self.render.groupBy("crawl_id").agg(F.count("*").alias("n_renders")).withColumn("has_renders", F.lit(True)), "crawl_id", "left")
+            .join(self.crawl.groupBy("crawl_id").agg(
+                F.count_if(F.size("preload_href") > 0).alias("n_preload"), F.bool_or(F.size("jsonld") > 0).alias("has_markup")), "crawl_id", "left")
             .join(self.html.select("crawl_id").distinct().withColumn("has_html", F.lit(True)), "crawl_id", "left")
             .join(self.primaries.select("crawl_id", "primary_host"), "crawl_id", "left")
         )
@@ -337,10 +339,43 @@ def _not_assessed() -> Column:
     )
 
 
+# What a reader should know about a verdict, by check: remarks on findings, and on their absence.
+_IF_FOUND = {
+    1: "Counts HTML answers that set a cookie and have next to no text.",
+    16: "The menu appears only after scripts ran, so a crawler without scripts does not see it.",
+    17: "Paginated addresses exist; see that rel=next and rel=prev can be followed.",
+    22: "The rendered page has far more text than its source.",
+    35: "Text that a stylesheet generates is not indexed.",
+    47: "Looks at font files that the page's linked resources name.",
+    51: "A hint: preconnecting speeds up the origins that matter.",
+    71: "When the page is loaded, something lies over half of it or more.",
+    75: "Scripts change the title after the page was loaded.",
+    77: "Neither robots.txt nor the usual address led to a sitemap.",
+    84: "One path has many addresses that differ in their page number only.",
+    90: "The rendered page hides a good deal of text.",
+}
+_IF_NONE = {
+    13: "The crawl names no script or stylesheet.", 41: "The crawl names no image.", 42: "The crawl names no script file.",
+    43: "The crawl names no stylesheet file.", 45: "The crawl names no static file.", 46: "The crawl names no script.", 54: "The crawl names no stylesheet.",
+}
+
+
 def _note() -> Column:
-    lab = F.concat(F.col("assessed"), F.lit(" URL(s) assessed by lab data."))
-    return F.when(F.col("assessed").isNotNull(), lab).when(
-        F.col("kind") == "fallback", "Static heuristic only; full assessment needs lab data.")
+    affected, num = F.coalesce("affected", F.lit(0)) > 0, F.col("num")
+    said = lambda texts: F.try_element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), num)
+    no_markup = ~F.coalesce("has_markup", F.lit(False))
+    return (
+        F.when(F.col("assessed").isNotNull(), F.concat(F.col("assessed"), F.lit(" URL(s) assessed by lab data.")))
+        .when(num == 86, F.concat(F.coalesce("n_preload", F.lit(0)), F.lit(" page(s) preload something; a full answer needs lab data.")))
+        .when(F.col("kind") == "fallback", "Static heuristic only; full assessment needs lab data.")
+        .when(num.isin(15, 21), F.concat(F.coalesce("n_renders", F.lit(0)), F.lit(" URL(s) were rendered.")))
+        .when(num == 58, F.concat(F.lit("The sitemap lists "), F.coalesce("n_sitemap", F.lit(0)), F.lit(" URL(s).")))
+        .when(num.isin(30, 31, 32) & no_markup, "No page carries JSON-LD.")
+        .when(num.isin(*_IF_NONE) & (F.coalesce("chosen", F.lit(0)) == 0), said(_IF_NONE))
+        .when((num == 45), "The files answer; their caching headers need a header sweep.")
+        .when(num.isin(31, 32) & affected, "The crawl has typed markup, but none of this type.")
+        .when(affected, said(_IF_FOUND))
+    )
 
 
 def state_counts(checklist: DataFrame) -> DataFrame:

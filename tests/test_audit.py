@@ -167,3 +167,11 @@ def test_duplicate_fetch_last_one_decides(spark):
         [("w", 1, "https://w.example/t", 404, None), ("w", 2, "https://w.example/t/", 200, None), ("w", 3, "https://w.example/p", 200, "https://w.example/t")],
         "crawl_id string, seq bigint, url string, status int, canonical string"))
     assert _run(spark, crawl).join_findings().where("num = 6").isEmpty()
+
+
+def test_notes_say_what_was_there(spark, toy):
+    sitemap = spark.createDataFrame([("w", i, f"https://library.test/{i}", None) for i in range(3)], "crawl_id string, seq bigint, loc string, errors string")
+    notes = {r.num: r.note for r in _run(spark, toy, sitemap=sitemap).checklist().collect()}
+    assert notes[58] == "The sitemap lists 3 URL(s)." and notes[86].startswith("0 page(s)")
+    assert notes[30] == notes[31] == "No page carries JSON-LD." and notes[13] == "The crawl names no script or stylesheet."
+    assert notes[17] == notes[1] == ""

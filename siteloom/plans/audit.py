@@ -75,9 +75,14 @@ class Audit:
         return self._tables[name]
 
     # ---- shared tables ---------------------------------------------------
+    @property
+    def pages(self) -> DataFrame:
+        """The narrow page table, written once: hosts, index map and all checks that compare pages read it."""
+        return self._shared("pages", lambda: G.narrow(self.crawl))
+
     @property
     def hosts(self) -> DataFrame:
-        return self._shared("hosts", lambda: H.crawl_hosts(self.crawl))
+        return self._shared("hosts", lambda: H.crawl_hosts(self.pages))
 
     @property
     def primaries(self) -> DataFrame:
@@ -85,7 +90,7 @@ class Audit:
 
     @property
     def index(self) -> DataFrame:
-        return self._shared("index", lambda: H.index_map(self.crawl))
+        return self._shared("index", lambda: H.index_map(self.pages))
 
     @property
     def asset_uses(self) -> DataFrame:
@@ -141,18 +146,18 @@ class Audit:
 
     def join_findings(self) -> DataFrame:
         return G.union_all([
-            G.canonical_to_non_indexable(self.crawl, self.index),
-            G.canonical_to_other_site(self.crawl, self.hosts, self.primaries),
-            G.nofollow_to_indexable(self.crawl, self.hosts, self.index),
-            G.indexable_url_patterns(self.crawl, self.index),
-            G.thin_sitemap_pages(self.crawl, self.sitemap),
-            G.sitemap_orphans(self.crawl, self.sitemap, self.crawls),
+            G.canonical_to_non_indexable(self.pages, self.index),
+            G.canonical_to_other_site(self.pages, self.hosts, self.primaries),
+            G.nofollow_to_indexable(self.pages, self.hosts, self.index),
+            G.indexable_url_patterns(self.pages, self.index),
+            G.thin_sitemap_pages(self.pages, self.sitemap),
+            G.sitemap_orphans(self.pages, self.sitemap, self.crawls),
         ])
 
     def window_findings(self) -> DataFrame:
         return G.union_all([
-            G.parameter_order_changes(self.crawl), G.parameter_variants(self.crawl),
-            G.pagination_explosion(self.crawl),
+            G.parameter_order_changes(self.pages), G.parameter_variants(self.pages),
+            G.pagination_explosion(self.pages),
         ])
 
     def site_findings(self) -> DataFrame:

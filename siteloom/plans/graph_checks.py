@@ -10,7 +10,14 @@ from siteloom.functions import urls
 from siteloom.functions import constants as K
 from siteloom.operators import hosts as H
 from siteloom.operators.groups import previous_in_group
-from siteloom.plans.page_checks import page_columns
+
+
+def narrow(crawl: DataFrame) -> DataFrame:
+    """What the checks that compare pages read of a crawl; of the text only whether it is thin."""
+    return crawl.select(
+        "crawl_id", "seq", "url", "status", "canonical", "meta_robots",
+        F.substring("body_text", 1, K.THIN_BODY_CHARS).alias("body_text"),
+        F.transform("links", lambda k: F.struct(k["url"].alias("url"), k["nofollow"].alias("nofollow"))).alias("links"))
 
 
 def as_findings(df: DataFrame, num: int | Column, rank=None, seq="seq", pos=None, url="url", basis="crawl") -> DataFrame:
@@ -38,10 +45,8 @@ def canonical_to_non_indexable(crawl: DataFrame, index: DataFrame) -> DataFrame:
 
 def canonical_to_other_site(crawl: DataFrame, hosts: DataFrame, primaries: DataFrame) -> DataFrame:
     """9 and 24: the canonical's host was never crawled; 24 also wants a named primary host."""
-    pages = page_columns(crawl).where(
-        F.col("has_canonical") & (F.col("canonical_host") != "")
-        & (F.col("canonical_host") != F.coalesce(urls.host("url"), F.lit("")))
-    ).select("crawl_id", "seq", "url", F.col("canonical_host").alias("host"))
+    pages = crawl.where("canonical <> ''").select("crawl_id", "seq", "url", urls.host("canonical").alias("host")).where(
+        (F.col("host") != "") & (F.col("host") != F.coalesce(urls.host("url"), F.lit(""))))
     foreign = pages.join(hosts.select("crawl_id", "host"), ["crawl_id", "host"], "left_anti")
     named = primaries.where("primary_host <> ''").select("crawl_id", F.lit(True).alias("named"))
     nums = F.when(F.col("named"), F.array(F.lit(9), F.lit(24))).otherwise(F.array(F.lit(9)))

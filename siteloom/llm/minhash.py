@@ -31,6 +31,8 @@ from .graph import components
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 UNIVERSE = 1 << 21
+#: Documents up to which an element counts as rare while pairs are sought.
+RARE = 32
 #: Standard deviations by which a signature may fall short of the threshold before its pair is dropped.
 SLACK = 6.5
 
@@ -167,22 +169,30 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -
     Sets are ordered by how many of these documents hold an element. Two sets that reach the threshold
     share one of their first n - ceil(n * num / den) + 1 elements in that order, so only these are
     joined. Per element, the members outside its largest component meet all others.
+
+    What two sets can share is bounded before they meet. Elements that a document holds alone are never
+    shared. If two sets meet at an element of more than ``RARE`` documents, all their rarer elements come before it in
+    their prefixes; they either meet there too, or share none of them.
     """
     ids = rows.select("rep", "component").distinct()
     cells = materialise(full_sets(docs, k, ids.select("rep")).select("rep", F.size("elements").alias("n"), F.explode("elements").alias("element")), "cells")
     df = cells.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
-    order = F.row_number().over(Window.partitionBy("rep").orderBy("df", "element"))
+    own = Window.partitionBy("rep")
+    seen = cells.join(df, "element").withColumns({
+        "shared": F.count("*").over(own), "common": F.count_if(F.col("df") > RARE).over(own),
+        "place": F.row_number().over(own.orderBy("df", "element"))})
     # Elements of one document alone come first in its order; they use up its prefix and meet nobody.
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
-    first = (cells.join(df, "element").withColumn("place", order + alone)
-             .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1).select("rep", "n", "element").join(ids, "rep"))
+    place = F.col("place") + F.col("n") - F.col("shared")
+    first = (seen.where(place <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1)
+             .select("rep", "n", F.when(F.col("df") > RARE, F.col("common")).otherwise(F.col("shared")).alias("most"), "element").join(ids, "rep"))
     first = materialise(first, "prefixes")
     sizes = first.groupBy("element", "component").agg(F.count("*").alias("members"))
     major = sizes.groupBy("element").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     held = first.join(major.select("element", F.col("top.component").alias("major")), "element")
-    minor = held.where("component <> major").select("element", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    far = (F.col("ca") != F.col("component")) & (F.lit(den) * F.least("na", "n") >= F.lit(num) * F.greatest("na", "n"))
-    return (minor.join(held, "element").where(far)
+    minor = held.where("component <> major").select("element", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("most_a"), F.col("component").alias("ca"))
+    both = F.least("most_a", "most")
+    may = (F.col("ca") != F.col("component")) & (F.lit(den) * both >= F.lit(num) * (F.col("na") + F.col("n") - both))
+    return (minor.join(held, "element").where(may)
             .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
 
 

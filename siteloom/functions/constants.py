@@ -77,6 +77,14 @@ NOT_PRESENT = "Not present"
 HEURISTIC = "Heuristic"
 NOT_ASSESSED = "Not assessed"
 
+# ---- fixed values: settings named in the configuration of a run ----------
+SETTING_LAB = "PSI URLs assessed"
+SETTING_RENDER = "Render URLs assessed"
+SETTING_SOURCE = "Data source"
+SETTING_URLS = "URLs in dataset"
+SETTING_SIGNALS = "Signals available"
+SETTING_DETAIL = "Crawl Detail sheet"
+
 # ---- fixed values: detail report columns, in order ----------------------
 DETAIL_COLUMNS = (
     "Address", "Status Code", "Status", "Indexability", "Indexability Reason",

@@ -293,11 +293,17 @@ class Audit:
         totals = places.groupBy("crawl_id").agg(F.count("*").alias("rows_in_all"))
         return build(self.crawl).join(kept, ["crawl_id", "seq"], "left_semi").join(totals, "crawl_id")
 
-    def configuration(self) -> DataFrame:
-        """(crawl_id, setting, value): what was active for each crawl."""
+    def configuration(self, detail_rows: int = K.DETAIL_ROWS_EMBEDDED) -> DataFrame:
+        """(crawl_id, setting, value): what was active for each crawl; settings that do not apply have no row."""
         yes = lambda c, a, b: F.when(F.coalesce(c, F.lit(False)), a).otherwise(b)
-        c = self.crawls.join(
-            self.sitemap.select("crawl_id").distinct().withColumn("has_sitemap", F.lit(True)), "crawl_id", "left")
+        counted = lambda df, name: df.groupBy("crawl_id").agg(F.countDistinct("url").alias(name))
+        c = (
+            self.crawls.join(self.sitemap.select("crawl_id").distinct().withColumn("has_sitemap", F.lit(True)), "crawl_id", "left")
+            .join(self.crawl.groupBy("crawl_id").agg(F.count("*").alias("n_rows")), "crawl_id", "left")
+            .join(counted(self.lab_entries, "n_lab"), "crawl_id", "left").join(counted(self.render, "n_render"), "crawl_id", "left"))
+        rows = F.coalesce("n_rows", F.lit(0))
+        imported = F.col("available_signals").isNotNull()
+        number = lambda n: F.coalesce(n, F.lit(0)).cast("string")
         settings = F.array(*[
             F.struct(F.lit(k).alias("setting"), v.alias("value")) for k, v in (
                 ("audit_url_sample", F.lit("all")),
@@ -307,8 +313,15 @@ class Audit:
                 ("Backlink source", F.lit("disabled")),
                 ("robots.txt fetched", yes(F.col("robots_url").isNotNull(), "yes", "no")),
                 ("sitemap fetched", yes("has_sitemap", "yes", "no")),
+                (K.SETTING_LAB, F.when(F.col("has_lighthouse"), number("n_lab"))),
+                (K.SETTING_RENDER, F.when(F.col("has_render"), number("n_render"))),
+                (K.SETTING_SOURCE, F.when(imported, F.coalesce("source", F.lit("")))),
+                (K.SETTING_URLS, F.when(imported, rows.cast("string"))),
+                (K.SETTING_SIGNALS, F.when(imported, F.array_join(F.array_sort("available_signals"), ", "))),
+                (K.SETTING_DETAIL, F.when(rows > detail_rows, F.concat(
+                    F.lit(f"first {detail_rows} of "), rows, F.lit(" URLs")))),
             )])
-        return c.select("crawl_id", F.inline(settings))
+        return c.select("crawl_id", F.inline(settings)).where("value IS NOT NULL")
 
 
 def _not_assessed() -> Column:

@@ -353,3 +353,19 @@ ROWS = 12
     count(*) OVER (PARTITION BY crawl_id) AS n FROM crawl) WHERE r <= {ROWS}""")
 def embedded_detail(spark, sf):
     return audit(spark, sf).embedded_detail(crawl_detail, ROWS).select("crawl_id", "seq", "Address", "rows_in_all")
+
+
+@query("audit_configuration", f"""SELECT crawl_id, s[1] AS setting, s[2] AS value FROM (
+    SELECT crawl_id, unnest([['audit_url_sample', 'all'], ['Lighthouse (CWV tier)', CASE WHEN has_lighthouse THEN 'enabled' ELSE 'disabled' END],
+        ['Headless render (RENDER tier)', CASE WHEN has_render THEN 'enabled' ELSE 'disabled' END], ['GSC / EXTERNAL tier', 'disabled'], ['Backlink source', 'disabled'],
+        ['robots.txt fetched', CASE WHEN robots_url IS NULL THEN 'no' ELSE 'yes' END],
+        ['sitemap fetched', CASE WHEN EXISTS (SELECT 1 FROM sitemap m WHERE m.crawl_id = w.crawl_id) THEN 'yes' ELSE 'no' END],
+        ['PSI URLs assessed', CASE WHEN has_lighthouse THEN CAST((SELECT count(DISTINCT url) FROM lab_entries l WHERE l.crawl_id = w.crawl_id) AS VARCHAR) END],
+        ['Render URLs assessed', CASE WHEN has_render THEN CAST((SELECT count(DISTINCT url) FROM render r WHERE r.crawl_id = w.crawl_id) AS VARCHAR) END],
+        ['Data source', CASE WHEN signals IS NOT NULL THEN source END], ['Signals available', array_to_string(list_sort(string_split(signals, ',')), ', ')],
+        ['URLs in dataset', CASE WHEN signals IS NOT NULL THEN CAST((SELECT count(*) FROM crawl c WHERE c.crawl_id = w.crawl_id) AS VARCHAR) END],
+        ['Crawl Detail sheet', CASE WHEN (SELECT count(*) FROM crawl c WHERE c.crawl_id = w.crawl_id) > {ROWS}
+            THEN 'first {ROWS} of ' || (SELECT count(*) FROM crawl c WHERE c.crawl_id = w.crawl_id) || ' URLs' END]]) AS s
+    FROM (SELECT *, CASE WHEN signals IS NOT NULL THEN 'spider-export' ELSE 'crawl' END AS source FROM crawls) w) WHERE s[2] IS NOT NULL""", AUDIT)
+def audit_configuration(spark, sf):
+    return audit(spark, sf).configuration(ROWS)

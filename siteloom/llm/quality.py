@@ -1,8 +1,8 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded by shares of
-its characters, word shape and repetition, and by hashed character trigrams under a fixed random
-projection. Gated attention (a tanh branch times a sigmoid branch) weighs the passages, the weighted
+its characters, word shape and repetition, and by character trigrams hashed to sums with fixed
+signs. Gated attention (a tanh branch times a sigmoid branch) weighs the passages, the weighted
 mean is scored by a logistic unit, and all weights are learned from document labels alone.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, taken in the order of a hash of the

@@ -172,7 +172,8 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -
 
     What two sets can share is bounded before they meet. Elements that a document holds alone are never
     shared. If two sets meet at an element of more than ``RARE`` documents, all their rarer elements come before it in
-    their prefixes; they either meet there too, or share none of them.
+    their prefixes; they either meet there too, or share none of them. At the first element where two sets meet, neither
+    shares anything before it; pairs that this rules out there need not be made there.
     """
     ids = rows.select("rep", "component").distinct()
     cells = materialise(full_sets(docs, k, ids.select("rep")).select("rep", F.size("elements").alias("n"), F.explode("elements").alias("element")), "cells")
@@ -182,9 +183,10 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -
         "shared": F.count("*").over(own), "common": F.count_if(F.col("df") > RARE).over(own),
         "place": F.row_number().over(own.orderBy("df", "element"))})
     # Elements of one document alone come first in its order; they use up its prefix and meet nobody.
-    place = F.col("place") + F.col("n") - F.col("shared")
-    first = (seen.where(place <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1)
-             .select("rep", "n", F.when(F.col("df") > RARE, F.col("common")).otherwise(F.col("shared")).alias("most"), "element").join(ids, "rep"))
+    seen = seen.withColumn("place", F.col("place") + F.col("n") - F.col("shared"))
+    most = F.least(F.when(F.col("df") > RARE, F.col("common")).otherwise(F.col("shared")), F.col("n") - F.col("place") + 1)
+    first = (seen.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1)
+             .select("rep", "n", most.alias("most"), "element").join(ids, "rep"))
     first = materialise(first, "prefixes")
     sizes = first.groupBy("element", "component").agg(F.count("*").alias("members"))
     major = sizes.groupBy("element").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")

@@ -64,14 +64,6 @@ def test_primary_host_first_seen_on_ties(spark):
     assert hosts.primary_hosts(hosts.crawl_hosts(df)).first().primary_host == "b"
 
 
-@pytest.mark.parametrize("block", [3, 10 ** 6])
-def test_fetch_plan_paces_each_host(spark, block):
-    urls = [(f"https://h{i % 2}.example.com/{i}", i) for i in range(16)]
-    plan = scope.fetch_plan(spark.createDataFrame(urls, "url string, seq bigint"), 5.0, block).orderBy("seq").collect()
-    assert [r.slot for r in plan] == [i // 2 for i in range(16)]
-    assert abs(plan[-1].start_sec - 1.4) < 1e-9
-
-
 def test_allow_list(spark):
     df = spark.createDataFrame([("https://a.example.com/",), ("https://example.com/",), ("https://badexample.com/",)], "url string")
     allowed = spark.createDataFrame([("Example.com",)], "domain string")

@@ -55,81 +55,6 @@ def passages(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((n, WIDTH), np.float32)
     if not len(start):
         return out, row_at
-    owner = np.repeat(np.arange(len(count)), count)
-    passage = row_at[owner] + (np.arange(len(start)) - first[owner]) // PASSAGE
-    head = np.flatnonzero(np.diff(np.concatenate([[-1], passage])))
-    ids = passage[head]
-    lo = start[head]
-    # Bytes from a passage's first word to the next passage; each is of one class.
-    of_byte = np.repeat(ids, np.diff(np.append(lo, len(raw))))
-    body = raw[lo[0]:]
-    shares = np.bincount(of_byte * 16 + CLASS_OF[body], minlength=n * 16).reshape(n, 16)
-    out[:, :len(CLASSES)] = shares[:, :len(CLASSES)] / np.maximum(shares.sum(axis=1, keepdims=True), 1)
-    size = shares.sum(axis=1)[ids].astype(np.float32)
-    length = (end - start).astype(np.float32)
-    words_in = np.diff(np.append(head, len(start))).astype(np.float32)
-    out[ids, 8] = np.add.reduceat(length, head) / words_in / 10
-    out[ids, 9] = np.sqrt(np.add.reduceat(length * length, head) / words_in) / 10
-    lower = LOWER[raw]
-    h = span_hash(prefix_hash(lower), start, end)
-    # Repetition: share of words that are not the first of their kind in the passage, and in the document.
-    for column, group in ((10, passage), (11, owner)):
-        key = mix(h ^ mix(group.astype(np.uint64) + np.uint64(1)))
-        _, where = np.unique(key, return_index=True)
-        again = np.ones(len(h), np.float32)
-        again[where] = 0
-        out[ids, column] = np.add.reduceat(again, head) / words_in
-    out[ids, 12] = np.add.reduceat((length <= 3).astype(np.float32), head) / words_in
-    out[ids, 13] = np.add.reduceat((length > 14).astype(np.float32), head) / words_in
-    out[ids, 14] = np.minimum(words_in / PASSAGE, 1)
-    out[ids, 15] = np.minimum(np.log1p(count[owner[head]]) / 10, 1)
-    # Hashed trigrams: each adds +1 or -1 to one of HASHED sums.
-    if len(lower) >= 3:
-        t = TAB[lower]
-        tri = mix(t[:-2] + (t[1:-1] << np.uint64(1)) + (t[2:] << np.uint64(2)))
-        # A trigram belongs to the passage of its first byte.
-        spot, sign = (tri >> np.uint64(60)).astype(np.int64), np.where(tri & np.uint64(1), 1.0, -1.0)
-        sums = np.bincount(of_byte[:max(0, len(tri) - lo[0])] * HASHED + spot[lo[0]:], weights=sign[lo[0]:], minlength=n * HASHED)
-        out[ids, SHAPE:] = sums.reshape(n, HASHED)[ids] / size[:, None] * 4
-    return out, row_at
-    owner = np.repeat(np.arange(len(count)), count)
-    passage = row_at[owner] + (np.arange(len(start)) - first[owner]) // PASSAGE
-    head = np.flatnonzero(np.diff(np.concatenate([[-1], passage])))
-    ids = passage[head]
-    lo = start[head]
-    # Bytes from a passage's first word to the next passage; each is of one class.
-    of_byte = np.repeat(ids, np.diff(np.append(lo, len(raw))))
-    body = raw[lo[0]:]
-    shares = np.bincount(of_byte * 16 + CLASS_OF[body], minlength=n * 16).reshape(n, 16)
-    out[:, :len(CLASSES)] = shares[:, :len(CLASSES)] / np.maximum(shares.sum(axis=1, keepdims=True), 1)
-    size = shares.sum(axis=1)[ids].astype(np.float32)
-    length = (end - start).astype(np.float32)
-    words_in = np.diff(np.append(head, len(start))).astype(np.float32)
-    out[ids, 8] = np.add.reduceat(length, head) / words_in / 10
-    out[ids, 9] = np.sqrt(np.add.reduceat(length * length, head) / words_in) / 10
-    lower = LOWER[raw]
-    h = span_hash(prefix_hash(lower), start, end)
-    # Repetition: share of words that are not the first of their kind in the passage, and in the document.
-    for column, group in ((10, passage), (11, owner)):
-        key = mix(h ^ mix(group.astype(np.uint64) + np.uint64(1)))
-        _, where = np.unique(key, return_index=True)
-        again = np.ones(len(h), np.float32)
-        again[where] = 0
-        out[ids, column] = np.add.reduceat(again, head) / words_in
-    out[ids, 12] = np.add.reduceat((length <= 3).astype(np.float32), head) / words_in
-    out[ids, 13] = np.add.reduceat((length > 14).astype(np.float32), head) / words_in
-    out[ids, 14] = np.minimum(words_in / PASSAGE, 1)
-    out[ids, 15] = np.minimum(np.log1p(count[owner[head]]) / 10, 1)
-    # Hashed trigrams: each adds +1 or -1 to one of HASHED sums.
-    if len(lower) >= 3:
-        t = TAB[lower]
-        tri = mix(t[:-2] + (t[1:-1] << np.uint64(1)) + (t[2:] << np.uint64(2)))
-        spot, sign = (tri >> np.uint64(60)).astype(np.int64), np.where(tri & np.uint64(1), 1.0, -1.0)
-        tri_lo, tri_hi = np.minimum(lo, len(tri)), np.minimum(hi, len(tri))
-        for j in range(HASHED):
-            total = np.concatenate([[0], np.cumsum(np.where(spot == j, sign, 0.0))])
-            out[ids, SHAPE + j] = (total[tri_hi] - total[tri_lo]) / size * 4
-    return out, row_at
 
 
 class Model:

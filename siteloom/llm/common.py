@@ -17,8 +17,8 @@ from siteloom.session import materialise, new_path, scratch_dir
 
 __all__ = ["materialise", "new_path", "scratch_dir"]
 
-#: Rows of one Arrow batch: bounds what a Python worker holds of long texts.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: bound what a Python worker holds of long texts.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Bytes of text that are worked on at a time (a longer single text goes alone).
 CHUNK_BYTES = 2 << 20
 
@@ -37,7 +37,9 @@ _POW: dict[str, np.ndarray] = {}
 
 def small_batches(df: DataFrame) -> DataFrame:
     """Bound the Arrow batches of this session's Python stages."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("q_minhash", "q_bpe", "q_shard", "q_url", "q_warc", "q_tiling", "q_license", "q_quality", "q_forest", "q_repeats", "q_simhash", "q_merkle")
+_MODULES = ("q_minhash", "q_bpe", "q_shard", "q_url", "q_warc", "q_tiling", "q_license", "q_quality", "q_forest", "q_repeats", "q_whitening", "q_simhash", "q_merkle")
 
 
 def load_queries() -> None:

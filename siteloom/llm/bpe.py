@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, lists, prefix_hash, small_batches, span_hash
+from .common import block, chunks, lists, mix, octets, small_batches
 
 #: Fixed value: the pattern that cuts text into words before merging.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -103,9 +103,13 @@ def cut_words(code: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.nd
 
 
 class Encoder:
-    """Encodes chunks of bytes; words met before are looked up by their 64-bit hash."""
+    """Encodes chunks of bytes; words met before are looked up by their bytes.
 
-    SLOTS = 1 << 20
+    A word of up to ``SHORT`` bytes is two numbers of eight bytes and its length; a table of ``SLOTS`` places holds these, so
+    a hit is an equal word. Longer words are kept in a dictionary.
+    """
+
+    SLOTS, SHORT = 1 << 20, 16
 
     def __init__(self, tables: dict):
         self.t = tables
@@ -115,7 +119,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot_key = np.zeros(self.SLOTS, np.uint64)
+        self.slot_low, self.slot_high = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.uint64)
+        self.slot_size = np.zeros(self.SLOTS, np.int64)
+        self.long: dict[bytes, int] = {}
         self.slot_word = np.zeros(self.SLOTS, np.int64)
         # Word 0 is the empty word; added tokens are the words after it.
         self.begin, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -155,21 +161,30 @@ class Encoder:
             np.add.at(inside, spots[1::2], -1)
             begin = begin[np.cumsum(inside)[begin] == 0]
         end = np.append(begin[1:], len(raw))
-        key = span_hash(prefix_hash(raw), begin, end) | np.uint64(1)
-        slot = (key >> np.uint64(44)).astype(np.int64)
+        eight, width = octets(raw), end - begin
+        low, high = block(eight, begin, width), block(eight, begin + 8, width - 8)
+        slot = (mix(low ^ mix(high + width.astype(np.uint64))) >> np.uint64(44)).astype(np.int64)
         word = self.slot_word[slot]
-        miss = np.flatnonzero(self.slot_key[slot] != key)
+        known = (self.slot_low[slot] == low) & (self.slot_high[slot] == high) & (self.slot_size[slot] == width) & (width <= self.SHORT)
         if marks:
             which = np.searchsorted(begin, spots[0::2])
             number = {c: i + 1 for i, (c, _) in enumerate(self.added)}
             word[which] = [number[m[2]] for m in marks]
-            miss = miss[~np.isin(miss, which)]
+            known[which] = True
+        miss = np.flatnonzero(~known)
         if len(miss):
-            fresh, where, back = np.unique(key[miss], return_index=True, return_inverse=True)
-            base = self.learn(self.encode_words([whole[a:b] for a, b in zip(begin[miss[where]], end[miss[where]])]))
-            word[miss] = base + back
-            put = (fresh >> np.uint64(44)).astype(np.int64)
-            self.slot_key[put], self.slot_word[put] = fresh, base + np.arange(len(fresh))
+            fresh: dict[bytes, int] = {}
+            base = len(self.begin)
+            for i, a, b in zip(miss.tolist(), begin[miss].tolist(), end[miss].tolist()):
+                w = whole[a:b]
+                old = self.long.get(w) if b - a > self.SHORT else None
+                word[i] = base + fresh.setdefault(w, len(fresh)) if old is None else old
+            if fresh:
+                self.learn(self.encode_words(list(fresh)))
+                self.long.update((w, base + i) for w, i in fresh.items() if len(w) > self.SHORT)
+            put = miss[width[miss] <= self.SHORT]
+            at_slot = slot[put]
+            self.slot_low[at_slot], self.slot_high[at_slot], self.slot_size[at_slot], self.slot_word[at_slot] = low[put], high[put], width[put], word[put]
         size = self.length[word]
         stop = np.cumsum(size)
         ids = self.pool[np.arange(stop[-1]) + np.repeat(self.begin[word] - (stop - size), size)]

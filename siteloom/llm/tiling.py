@@ -9,8 +9,9 @@ cover at least ``COVERAGE`` of the item's words, in whatever order its passages
 
 Defined cases: an item of fewer than ``LEAST`` words must occur as a whole; items and documents
 without words, null or empty, match nothing; equal texts are tiled once and reported for each
-row; of equally long matches the earlier in the item, then in the document is marked first; extra
-columns stay in :func:`clean`. Empty tables give no findings.
+row; of equally long matches the earlier in the item, then in the document is marked first; an item without
+id counts and is reported with a null id; several texts under one item id are items of their own, equal rows
+are one; extra columns, whatever their names, stay in :func:`clean`. Empty tables give no findings.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, chunks, materialise, prefix_hash, shingles, small_batches, span_hash, words
+from .common import BASE, LOWER, chunks, materialise, shingles, small_batches, word_hash, words
 
 LEAST = 5
 COVERAGE = 0.5
@@ -38,7 +39,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Hash of each word and the words before each row (n + 1)."""
     raw = LOWER[raw]
     start, end, first = words(raw, at, WORD_BYTES)
-    return span_hash(prefix_hash(raw), start, end), first
+    return word_hash(raw, start, end), first
 
 
 def _runs(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def _runs(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def item_runs(items: DataFrame) -> DataFrame:
-    """Per item the hashes of its runs, which have LEAST words or all of a shorter item: item_id, size, run."""
+    """Per row of ``items(item, text)`` the hashes of its runs, which have LEAST words or all of a shorter item: item, size, run."""
 
     def run(batches):
         for batch in batches:
@@ -59,11 +60,11 @@ def item_runs(items: DataFrame) -> DataFrame:
                 h, first = word_hashes(raw, at)
                 got, row = shingles(h, first, LEAST)
                 count = np.diff(row)
-                ids = batch.column("item_id").slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), count)))
+                ids = batch.column("item").slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), count)))
                 size = np.repeat(np.minimum(np.diff(first), LEAST), count)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(got.view(np.int64))], names=["item_id", "size", "run"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(got.view(np.int64))], names=["item", "size", "run"])
 
-    return small_batches(items).mapInArrow(run, "item_id long, size long, run long").distinct()
+    return small_batches(items).mapInArrow(run, "item long, size long, run long").distinct()
 
 
 def _bit(run: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,19 +187,20 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[in
 def findings(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text: str = "text", item_text: str = "text") -> DataFrame:
     """Contaminated texts: key (MD5 of the text), item_id, n_tiles, matched_words, item_words, coverage."""
     texts = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("key"), F.col(text).alias("text"))
-    items = items.select("item_id", F.col(item_text).alias("text"))
-    runs = materialise(item_runs(items), "item_runs")
+    # Items are told apart by a number of their own, not by an id that may be null or stand on several texts.
+    items = materialise(items.select("item_id", F.col(item_text).alias("text")).distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    runs = materialise(item_runs(items.select("item", "text")), "item_runs")
     some = materialise(candidates(texts, runs), "tiling_texts").dropDuplicates(["key"])
-    pairs = some.select("key", F.inline("hits")).join(runs, ["size", "run"]).select("key", "item_id").distinct()
-    both = (pairs.join(items.withColumnRenamed("text", "item"), "item_id")
-            .join(some.select("key", "text"), "key").select("key", "item_id", "item", "text"))
+    pairs = some.select("key", F.inline("hits")).join(runs, ["size", "run"]).select("key", "item").distinct()
+    both = (pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+            .join(some.select("key", "text"), "key").select("key", "item_id", "item_text", "text"))
 
     def run(batches):
         for batch in batches:
             rows = []
             for part in range(batch.num_rows):
                 one = batch.slice(part, 1)
-                (_, _, a, a_at), = chunks(one, "item")
+                (_, _, a, a_at), = chunks(one, "item_text")
                 (_, _, b, b_at), = chunks(one, "text")
                 item, doc = word_hashes(a, a_at)[0], word_hashes(b, b_at)[0]
                 tiles = tile(doc, item)
@@ -220,5 +222,5 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
 
 def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that no item contaminates, with all their columns."""
-    bad = materialise(findings(docs, items, coverage, text).select(F.col("key").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad.hint("merge"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col("_bad"), "left_anti")
+    bad = materialise(findings(docs, items, coverage, text).select("key").distinct(), "contaminated")
+    return docs.join(bad.hint("merge"), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == bad["key"], "left_anti")

@@ -69,3 +69,19 @@ def test_decoding_skips_unknown_ids_and_mends_bytes(spark):
 def test_clashing_columns_are_refused(docs):
     with pytest.raises(ValueError):
         bpe.encode(docs.withColumn("ids", F.lit(1)), PATH)
+
+
+def swapped(steps):
+    """The word made by doubling "a" with its letters swapped, and the same word with all letters swapped."""
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_are_told_apart_by_their_bytes(library):
+    """Pairs on which sums of powers modulo 2**64 collide, words around the short limit, and one hash slot for all."""
+    texts = [t for steps in (4, 10, 12) for t in swapped(steps)] + ["a" * n for n in range(14, 19)] + ["a" * n + "b" for n in range(14, 19)]
+    encoder = bpe.Encoder(bpe.load_tables(PATH))
+    want = [e.ids for e in library.encode_batch(texts * 2, add_special_tokens=False)]
+    assert encode(encoder, texts * 2) == want and encode(encoder, texts) == want[:len(texts)]

@@ -58,4 +58,15 @@ def test_findings(spark, docs):
     assert left.columns == df.columns
     assert left.count() == df.count() - 6
     assert tiling.clean(df, items.limit(0)).count() == df.count()
+    assert tiling.clean(df.withColumnRenamed("sig", "key").withColumn("_bad", tiling.F.lit(1)), items).count() == df.count() - 6
     assert tiling.contaminated(df.limit(0), items).count() == 0
+
+
+def test_items_without_id_and_with_several_texts(spark, docs):
+    """Each text of an item counts, whatever its id."""
+    other = " ".join(f"z{i}" for i in range(12))
+    items = spark.createDataFrame([(None, ITEM), (5, other), (5, "third text of its own kind here"), (5, other)], "item_id long, text string")
+    df = docs.unionByName(spark.createDataFrame([(100, f"x {ITEM} y", "e"), (101, other, "e"), (102, "the third text of its own kind here", "e")], docs.schema))
+    found = sorted(((r.doc_id, r.item_id) for r in tiling.contaminated(df, items).collect()))
+    assert found == [(100, None), (101, 5), (102, 5)]
+    assert tiling.clean(df, items).count() == df.count() - 3

@@ -14,8 +14,8 @@ no link within a bucket is lost that could join two components.
 
 Defined cases: words are the runs outside blanks and control space after lower-casing A-Z; a text with
 fewer than ``k`` words is one run of all of them; a null, empty or wordless text has
-no set and no link. Rows of one id are one document. A row with a null id takes the class of its
-equals but links nothing. Ties go to the smaller id. Extra columns are ignored. No rows give no rows.
+no set and no link. Rows of one id are one document: if their sets differ, these are linked, and each row shows the size of its own.
+A row with a null id takes the class of its equals but links nothing. Ties go to the smaller id. Extra columns are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, chunks, lists, materialise, mix, prefix_hash, shingles, small_batches, span_hash, words
+from .common import BASE, LOWER, chunks, lists, materialise, mix, shingles, small_batches, word_hash, words
 from .graph import components
 
 BANDS, ROWS = 25, 5
@@ -75,10 +75,16 @@ def sets_of(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row."""
     raw = LOWER[raw]
     start, end, first = words(raw, at, WORD_BYTES)
-    runs, row = shingles(span_hash(prefix_hash(raw), start, end), first, k)
+    runs, row = shingles(word_hash(raw, start, end), first, k)
     return [np.unique(runs[a:b]) for a, b in zip(row[:-1], row[1:])]
 
 
+def set_marks(s: np.ndarray) -> tuple[int, int]:
+    """Two independent sums over a set, as signed longs: with its size they stand for the set."""
+    both = np.array([mix(s).sum(dtype=np.uint64), mix(s * np.uint64(BASE)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
+    return int(both[0]), int(both[1])
+
+
 def features(docs: DataFrame, k: int) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: set size, set fingerprint, packed signature, band keys."""
 
@@ -88,8 +94,8 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 sizes, one, two, sigs, bands, count = [], [], [], [], [], [0]
                 for s in sets_of(raw, at, k):
                     sizes.append(len(s))
-                    one.append(mix(s).sum(dtype=np.uint64))
-                    two.append(mix(s * np.uint64(BASE)).sum(dtype=np.uint64))
+                    for out, value in zip((one, two), set_marks(s)):
+                        out.append(value)
                     if len(s):
                         sig = signature(s)
                         sigs.append(sig.astype(np.uint8).tobytes())
@@ -98,29 +104,35 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                         sigs.append(b"")
                     count.append(count[-1] + (BANDS if len(s) else 0))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)),
-                    pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()),
+                    batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()),
+                    pa.array(two, pa.int64()), pa.array(sigs, pa.binary()),
                     lists(np.concatenate([np.zeros(0, np.int64), *bands]), np.array(count), pa.int64())],
                     names=["doc_id", "n_shingles", "fp1", "fp2", "sig", "bands"])
 
     return small_batches(docs).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
-    """The sets of the documents in ``ids(rep)``: rep, elements."""
+def full_sets(docs: DataFrame, classes: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """The sets of the classes in ``ids(rep)``, read from the text of the document that stands for each: rep, elements."""
 
     def run(batches):
         for batch in batches:
+            reps, marks = batch.column("rep"), list(zip(batch.column("fp1").to_pylist(), batch.column("fp2").to_pylist()))
             for lo, hi, raw, at in chunks(batch, "text"):
                 sets = sets_of(raw, at, k)
-                offsets = np.cumsum([0, *(len(s) for s in sets)])
+                # Another row of the same id may hold another set.
+                own = [i for i, s in enumerate(sets) if set_marks(s) == marks[lo + i]]
+                offsets = np.cumsum([0, *(len(sets[i]) for i in own)])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("rep").slice(lo, hi - lo),
-                    lists(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), offsets, pa.int64())], names=["rep", "elements"])
+                    reps.slice(lo, hi - lo).take(pa.array(own, pa.int64())),
+                    lists(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in own)]).view(np.int64), offsets, pa.int64())], names=["rep", "elements"])
 
     # Joined by shuffle at every size, so that its cost follows the input.
-    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi")
-    return small_batches(wanted).mapInArrow(run, "rep long, elements array<long>")
+    wanted = classes.select("rep", F.col("least").alias("doc_id"), "fp1", "fp2").join(ids, "rep", "left_semi")
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
+    sets = materialise(small_batches(texts.select("rep", "fp1", "fp2", "text")).mapInArrow(run, "rep long, elements array<long>"), "sets")
+    twice = sets.groupBy("rep").agg(F.count("*").alias("rows")).where("rows > 1")
+    return sets if twice.isEmpty() else materialise(sets.dropDuplicates(["rep"]), "sets")
 
 
 def close(pairs: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
@@ -139,10 +151,10 @@ def close(pairs: DataFrame, sigs: DataFrame, share: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs whose full sets have den * intersection >= num * union."""
     ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = materialise(full_sets(docs, k, ids), "sets")
+    sets = full_sets(docs, classes, k, ids)
     both = (pairs.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a")
             .join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b"))
     both = both.withColumn("common", F.size(F.array_intersect("ea", "eb")).cast("long"))
@@ -163,7 +175,7 @@ def mixed(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
-def prefix_pairs(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def prefix_pairs(rows: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Pairs of different components among ``rows(rep, component)`` that may reach the threshold: a, b.
 
     Sets are ordered by how many of these documents hold an element. Two sets that reach the threshold
@@ -176,7 +188,7 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -
     shares anything before it; pairs that this rules out there need not be made there.
     """
     ids = rows.select("rep", "component").distinct()
-    cells = materialise(full_sets(docs, k, ids.select("rep")).select("rep", F.size("elements").alias("n"), F.explode("elements").alias("element")), "cells")
+    cells = full_sets(docs, classes, k, ids.select("rep")).select("rep", F.size("elements").alias("n"), F.explode("elements").alias("element"))
     df = cells.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("rep")
     seen = cells.join(df, "element").withColumns({
@@ -206,7 +218,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     rows = materialise(with_pivots(materialise(cells.join(shared, "key", "left_semi"), "buckets")), "pivots").where("rep <> pivot")
 
     def check(pairs):
-        return materialise(confirmed(materialise(close(pairs, sigs, num / den), "close"), docs, k, num, den), "links")
+        return materialise(confirmed(materialise(close(pairs, sigs, num / den), "close"), docs, classes, k, num, den), "links")
 
     found = check(rows.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
     labels = components(found).withColumnRenamed("v", "rep")
@@ -214,7 +226,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     rest = materialise(mixed(rest).select("rep", "component").distinct(), "rest")
     if rest.isEmpty():
         return found
-    return found.unionByName(check(materialise(prefix_pairs(rest, docs, k, num, den), "pairs")))
+    return found.unionByName(check(materialise(prefix_pairs(rest, docs, classes, k, num, den), "pairs")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,12 +234,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     feats = materialise(features(docs, k), "minhash")
     equal = ["fp1", "fp2", "n_shingles"]
+    # A class is a set that documents share; the smallest of their ids finds its text and may name its component.
     classes = materialise(
         feats.where("n_shingles > 0").groupBy(*equal)
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).where("rep IS NOT NULL"), "classes")
-    labels = components(links(docs, classes, k, num, den)).withColumnRenamed("v", "rep")
-    of = classes.select(*equal, "rep").join(labels, "rep", "left").select(*equal, F.coalesce("component", "rep").alias("component"))
+        .agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).where("least IS NOT NULL")
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
+    found = links(docs, classes, k, num, den).unionByName(shared_ids(feats, classes))
+    labels = components(found).withColumnRenamed("v", "rep")
+    of = classes.select(*equal, "rep", "least").join(labels, "rep", "left").select(*equal, "least", F.coalesce("component", "rep").alias("component"))
+    names = of.groupBy("component").agg(F.min("least").alias("name"))
+    of = of.join(names, "component").select(*equal, "name")
     out = feats.select("doc_id", *equal).join(of, equal, "left")
     return out.select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(False)).alias("kept"))
+        "doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("name", "doc_id"), F.lit(False)).alias("kept"))
+
+
+def shared_ids(feats: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of one id, each to the least of them: a, b."""
+    equal = ["fp1", "fp2", "n_shingles"]
+    rows = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    twice = rows.groupBy("doc_id").agg(F.min(F.struct(*equal)).alias("lo"), F.max(F.struct(*equal)).alias("hi")).where("lo <> hi").select("doc_id")
+    twice = materialise(twice, "shared_ids")
+    held = rows.join(twice, "doc_id", "left_semi").select("doc_id", *equal).distinct().join(classes.select(*equal, "rep"), equal).select("doc_id", "rep")
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return held.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()

@@ -20,14 +20,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8), and one row of each id; rows without id stay."""
+    """One document of each group of near copies (five words, 0.8), and one row of each id; rows without id stay.
+
+    Of several rows of one id the one with the smallest text stays, then with the smallest other columns.
+    """
     found = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
     gone = materialise(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "copies")
     left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").limit(1)
     if twice.isEmpty():
         return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    others = F.to_json(F.struct(*(c for c in docs.columns if c != "text")))
+    one = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", others)).alias("row")).select("row.*")
+    return one.unionByName(left.where("doc_id IS NULL"))
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,21 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.v: r.component for r in graph.components(df).collect()}
     assert got == {i: 0 for i in range(21)} | {100 + i: 100 for i in range(30)}
     assert graph.components(df.where(F.lit(False))).count() == 0
+
+
+def test_words_of_two_letters_are_told_apart(spark):
+    """Words on which sums of powers modulo 2**64 collide are two sets."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    got = minhash.near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_one_id_with_two_texts(spark):
+    """Its texts are linked through it; rows repeated and near copies among them."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, two), (4, three), (4, three), (5, three + " end"), (6, "its own words here")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (6, 6)]
+    assert {(r.doc_id, r.kept) for r in got} == {(1, True), (2, False), (3, False), (4, True), (5, False), (6, True)}

@@ -3,6 +3,8 @@
 Comments and the bodies of scripts and styles are removed first. Opening tags
 are then listed once per page, each with its name and its attributes, which are read from
 the left, so that nothing inside a quoted value counts as an attribute. All columns look up that list.
+Character references are decoded in attribute values and texts, after tags are told from text. Addresses are made absolute against
+the page's base element, if it has one.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions import urls
 from siteloom.functions.constants import EXTRACTION_SELECTORS, LIST_DELIMITER
+from siteloom.functions.references import decoded
+from siteloom.sources.markup import jsonld, open_graph
 
 # A tag may hold '>' inside quotes; a tag with an open quote ends at its first '>'.
 _TAG_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
@@ -49,10 +53,14 @@ def attributes(tag) -> Column:
     """All attributes of an opening tag as array<struct<name, value>>, read from the left."""
     body = F.regexp_replace(_col(tag), r"^<[a-zA-Z][^\s/>]*", "")
     found = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
+    blanks = F.lit(" \t\n\r\f")
 
     def entry(a: Column) -> Column:
-        value = F.concat(*[F.regexp_extract(a, f"(?s)^{_ATTRIBUTE}$", i) for i in (2, 3, 4)])
-        return F.struct(F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)).alias("name"), value.alias("value"))
+        name = F.substring_index(a, "=", 1)
+        value = F.btrim(F.substr(a, F.length(name) + 2), blanks)
+        quoted = value.startswith('"') | value.startswith("'")
+        inner = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.struct(F.lower(F.btrim(name, blanks)).alias("name"), decoded(inner, in_attribute=True).alias("value"))
 
     return F.transform(found, entry)
 
@@ -76,7 +84,7 @@ def parsed_tags(tags: Column) -> Column:
 def element_texts(source, name: str) -> Column:
     """Text of every element of a kind that has no children of the same kind."""
     found = F.regexp_extract_all(_col(source), F.lit(rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"), F.lit(1))
-    return F.transform(found, without_tags)
+    return F.transform(found, lambda e: decoded(without_tags(e)))
 
 
 def without_tags(fragment) -> Column:
@@ -186,17 +194,24 @@ def structure_counts() -> dict[str, Column]:
 def body_text(source) -> Column:
     """Visible text of the body, one blank between pieces."""
     body = F.regexp_extract(_col(source), rf"(?is)<body\b{_TAG_REST}(.*?)(?:</body\s*>|$)", 1)
-    blank = F.regexp_replace(F.regexp_replace(body, _ANY_TAG, " "), r"(?U)\s+", " ")
+    blank = F.regexp_replace(decoded(F.regexp_replace(body, _ANY_TAG, " ")), r"(?U)\s+", " ")
     return F.trim(blank)
 
 
+def base_url(tags: Column, page_url) -> Column:
+    """Address that relative ones refer to: the first base element's among parsed ``tags``, else the page's."""
+    own = F.get(F.filter(F.transform(F.filter(tags, lambda t: t["name"] == "base"), lambda t: F.trim(value_of(t["attrs"], "href"))),
+                         lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(0))
+    return F.when(own.isNull(), _col(page_url)).otherwise(urls.resolve(page_url, own))
+
+
 def links(source, page_url) -> Column:
-    """Anchors with an address: absolute URL, text, nofollow."""
+    """Anchors with an address: absolute URL, text, nofollow. ``page_url`` is the address they are relative to."""
     anchors = F.regexp_extract_all(_col(source), F.lit(rf"(?is)<a\b{_TAG_REST}.*?</a\s*>"), F.lit(0))
 
     def item(a: Column) -> Column:
         tag = F.regexp_extract(a, rf"(?is)^<a\b{_TAG_REST}", 0)
-        return F.struct(attributes(tag).alias("attrs"), F.trim(without_tags(a)).alias("text"))
+        return F.struct(attributes(tag).alias("attrs"), F.trim(decoded(without_tags(a))).alias("text"))
 
     def link(x: Column) -> Column:
         rel = F.lower(F.coalesce(value_of(x["attrs"], "rel"), F.lit("")))
@@ -221,15 +236,6 @@ def images(page_url) -> Column:
         urls.resolve(page_url, F.trim(value_of(t["attrs"], "src"))).alias("src"), value_of(t["attrs"], "alt").alias("alt")))
 
 
-def jsonld(html) -> Column:
-    """Top-level type and context of the first JSON-LD block."""
-    block = F.regexp_extract(
-        _col(html), r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script""", 1)
-    found = F.create_map(
-        F.lit("@type"), F.get_json_object(block, "$.@type"), F.lit("@context"), F.get_json_object(block, "$.@context"))
-    return F.map_filter(found, lambda _, v: v.isNotNull())
-
-
 def _first(items: Column) -> Column:
     return F.get(items, F.lit(0))
 
@@ -254,13 +260,15 @@ def crawl_columns(pages: DataFrame, own_selectors: dict[str, str] | None = None)
         "h1": element_texts("_markup", "h1"),
         "h2": element_texts("_markup", "h2"),
         "body_text": body_text("_markup"),
-        "links": links("_markup", F.col("url")),
-        "nav_links_url": nav_links("_markup", F.col("url")),
-        "images": images(F.col("url")),
+        "links": links("_markup", F.col("_base")),
+        "nav_links_url": nav_links("_markup", F.col("_base")),
+        "images": images(F.col("_base")),
         "jsonld": jsonld("html"),
+        "og": open_graph(F.col("_tags"), value_of),
         "hreflang": hreflang,
         "size": F.octet_length("html").cast("bigint"),
     }
     columns = {**lists, **joined, **single, **structure_counts()}
-    tags = COUNTED_TAGS | {"img"} | {p.tag for p in picks.values()}
-    return prepared(pages, tags).withColumns(columns).drop(*_SHARED)
+    tags = COUNTED_TAGS | {"img", "base"} | {p.tag for p in picks.values()}
+    page = prepared(pages, tags).withColumn("_base", base_url(F.col("_tags"), "url"))
+    return page.withColumns(columns).drop(*_SHARED, "_base")

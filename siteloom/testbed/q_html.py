@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteloom.plans.report import crawl_detail
+from siteloom.schema import conform
+from siteloom.session import materialise
 from siteloom.sources import html as X
+from siteloom.sources.markup import jsonld
 from siteloom.testbed import derived as D, duck as Q
 from siteloom.testbed.registry import query
 
@@ -18,6 +22,13 @@ RICH = """'<head><meta name="robots" content="index,' || CASE WHEN page_id % 3 =
  || '<body><img src="/i/' || CAST(page_id AS STRING) || '.png" alt="x>y"><img alt="none"><a rel="nofollow" href="b/../c">Go</a></body>'"""
 
 
+def _plain(text: str) -> str:
+    """SQL for ``text`` with the references that the supplied pages hold decoded."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "' || chr(39) || '"), ("&#x27;", "' || chr(39) || '"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{sign}')"
+    return text
+
+
 def _pages(spark, sf):
     return D.read(spark, sf, "pages")
 
@@ -26,8 +37,8 @@ def _rich(spark, sf):
     return _pages(spark, sf).selectExpr("page_id", "url", f"{RICH} || html AS html")
 
 
-@query("html_core", """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-    regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang FROM pages""")
+@query("html_core", f"""SELECT page_id, {_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
+    {_plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang FROM pages""")
 def html_core(spark, sf):
     p = X.extract(_pages(spark, sf), {"t": "title::text", "h": "h1::text", "html_lang": "html::attr(lang)"})
     return p.select("page_id", F.col("t")[0].alias("title"), F.col("h")[0].alias("h1"),
@@ -52,8 +63,8 @@ def html_rich_counts(spark, sf):
 
 
 @query("html_links", f"""SELECT page_id, i AS pos, {Q.scheme('url')} || '://' || {Q.netloc('url')} || href AS link, txt AS text, false AS nofollow FROM (
-    SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
-    unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS txt,
+    SELECT page_id, url, {_plain("""unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1))""")} AS href,
+    {_plain("""unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1))""")} AS txt,
     generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS i FROM pages)""")
 def html_links(spark, sf):
     p = _pages(spark, sf).select("page_id", F.posexplode(X.links(X.markup("html"), F.col("url"))).alias("pos", "l"))
@@ -87,14 +98,17 @@ def html_custom(spark, sf):
         F.size(X.Pick("p").tags()).cast("bigint").alias("paragraphs"))
 
 
-@query("html_body_text", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-    regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<script>.*?</script>|<!--.*?-->', '', 'g'), '(?s)</body>.*$', ''),
-    '<[^>]*>', ' ', 'g'), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS body_text FROM pages""")
+# Some pages end inside a reference.
+_TEXT = _plain(r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<script>.*?</script>|<!--.*?-->', '', 'g'), '(?s)</body>.*$', ''), '<[^>]*>', ' ', 'g'), '&amp$', '&amp;')""")
+
+
+@query("html_body_text", rf"""SELECT page_id, trim(regexp_replace({_TEXT}, '[\s\x{{0b}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')) AS body_text FROM pages""")
 def html_body_text(spark, sf):
     return _pages(spark, sf).select("page_id", X.body_text(X.markup("html")).alias("body_text"))
 
 
-@query("html_crawl_columns", f"""SELECT page_id, octet_length(encode(html)) AS size, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+@query("html_crawl_columns", f"""SELECT page_id, octet_length(encode(html)) AS size, {_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
     len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_nav,
     0 AS n_images, CAST(NULL AS STRING) AS canonical FROM pages""")
 def html_crawl_columns(spark, sf):
@@ -124,3 +138,58 @@ def html_tricky(spark, sf):
     return p.select("page_id", "meta_desc", "meta_keywords", F.array_join(F.transform("hreflang", lambda h: h["lang"]), ",").alias("langs"),
                     F.array_join(F.transform("hreflang", lambda h: h["href"]), ",").alias("hrefs"), "title_in_head_count", "meta_desc_in_head_count",
                     F.col("images")[0]["src"].alias("src"))
+
+
+# Character references in texts, addresses and fields; a base address on every second page; navigation and lists.
+REFS = """'<head>' || CASE WHEN page_id % 2 = 0 THEN '<base href="/base/d&#105;r/">' ELSE '' END || '<title>Caf&eacute; &amp; T' || CAST(page_id AS STRING)
+ || ' &#8211; &#x41;&copy 1</title><meta name="description" content="a &quot;b&quot; &amp;amp; c"><meta property="og:title" content="O&#39;' || CAST(page_id AS STRING)
+ || '"><meta property="og:image" content="/1.png"><meta property="og:image" content="/2.png"><meta http-equiv="refresh" content="5;url=/r' || CAST(page_id AS STRING)
+ || '"><link rel="prev" href="?p=1&amp;q=2"><link rel="amphtml" href="/amp/' || CAST(page_id AS STRING) || '"><link rel="stylesheet" href="/h.css?a=1&amp;b=2"><link rel="preload" href="/f.woff2">'
+ || '<link rel="canonical" href="/c?x=' || CAST(page_id AS STRING) || '&amp;y=2"></head><body><h2>A&nbsp;B</h2><nav><a href="p?a=1&amp;b=' || CAST(page_id AS STRING)
+ || '&copy=2&#38;d=3">L&amp;M</a></nav><img src="i.png?x=1&amp;y=' || CAST(page_id AS STRING) || '" alt="&lt;b&gt;"></body>'"""
+_DIR = "CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/base/dir/' ELSE regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) END"
+_ID = "CAST(page_id AS STRING)"
+
+
+@query("html_references", f"""SELECT page_id, 'Café & T' || {_ID} || ' – A© 1' AS title, 'a "b" &amp; c' AS meta_desc, 'O' || chr(39) || {_ID} AS og_title,
+    '/1.png@@/2.png' AS og_image, '5;url=/r' || {_ID} AS meta_refresh, '?p=1&q=2' AS rel_prev, '/amp/' || {_ID} AS amphtml,
+    '/h.css?a=1&b=2' AS head_css, '/f.woff2' AS preload, '/c?x=' || {_ID} || '&y=2' AS canonical, 'A' || chr(160) || 'B' AS h2,
+    {_DIR} || 'p?a=1&b=' || {_ID} || '&copy=2&d=3' AS link, 'L&M' AS link_text, {_DIR} || 'p?a=1&b=' || {_ID} || '&copy=2&d=3' AS nav,
+    {_DIR} || 'i.png?x=1&y=' || {_ID} AS src, '<b>' AS alt, 1 + len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links FROM pages""")
+def html_references(spark, sf):
+    """References are decoded once, an unclosed one in an address only where it is no parameter name."""
+    p = X.crawl_columns(_pages(spark, sf).selectExpr("page_id", "url", f"{REFS} || html AS html"))
+    return p.select(
+        "page_id", "title", "meta_desc", F.col("og")["og:title"].alias("og_title"), F.col("og")["og:image"].alias("og_image"), "meta_refresh", "rel_prev", "amphtml",
+        F.array_join("head_stylesheet_href", "@@").alias("head_css"), F.array_join("preload_href", "@@").alias("preload"), "canonical", F.col("h2")[0].alias("h2"),
+        F.col("links")[0]["url"].alias("link"), F.col("links")[0]["text"].alias("link_text"), F.col("nav_links_url")[0].alias("nav"),
+        F.col("images")[0]["src"].alias("src"), F.col("images")[0]["alt"].alias("alt"), F.size("links").cast("bigint").alias("n_links"))
+
+
+# Two blocks, one of them a list of nodes; every fifth page has a broken third one; a commented block and a script that is no markup.
+JSONLD = """'<!-- <script type="application/ld+json">{"@type":"Hidden"}</script> --><script>var t = "<!-- type=application/ld+json";</script>'
+ || '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Article","headline":"H]}' || CAST(page_id AS STRING)
+ || '","author":{"@type":"Person","address":{"zip":"' || CAST(page_id % 7 AS STRING) || '"}},"tags":["x","y' || CAST(page_id AS STRING) || '"]}</script>'
+ || '<script id=graph type="application/ld+json">{"@graph":[{"@type":["Product","Offer"],"price":1.5},{"@type":"Organization","id":' || CAST(page_id AS STRING) || '}]}</script>'
+ || CASE WHEN page_id % 5 = 0 THEN '<script type="application/ld+json">{"@type": </script>' ELSE '' END"""
+
+
+@query("html_jsonld", f"""SELECT page_id, e.k AS path, e.v AS value FROM (SELECT page_id, unnest([
+    {{'k': '@context', 'v': 'https://schema.org'}}, {{'k': '@type', 'v': 'Article'}}, {{'k': 'headline', 'v': 'H]}}' || {_ID}}},
+    {{'k': 'author.@type', 'v': 'Person'}}, {{'k': 'author.address.zip', 'v': CAST(page_id % 7 AS STRING)}}, {{'k': 'tags', 'v': 'x@@y' || {_ID}}},
+    {{'k': '1_@graph.@type', 'v': 'Product@@Offer@@Organization'}}, {{'k': '1_@graph.price', 'v': '1.5'}}, {{'k': '1_@graph.id', 'v': {_ID}}},
+    {{'k': CASE WHEN page_id % 5 = 0 THEN '2_errors' END, 'v': 'not JSON'}}]) AS e FROM pages) WHERE e.k IS NOT NULL""")
+def html_jsonld(spark, sf):
+    """Every block, nested objects and lists flattened to key paths."""
+    p = _pages(spark, sf).selectExpr("page_id", f"{JSONLD} || html AS html")
+    return p.select("page_id", F.explode(jsonld("html")).alias("path", "value"))
+
+
+@query("html_structured_types", """SELECT page_id, ['Product', 'Offer', 'Organization', 'Article', 'Person'][1 + CAST(i AS INTEGER)] AS type, CAST(i AS BIGINT) AS pos
+    FROM pages, range(5) r(i)""")
+def html_structured_types(spark, sf):
+    """The detail report's types of a crawl built from such pages."""
+    pages = _pages(spark, sf).selectExpr("page_id AS seq", "url", "200L AS status", f"{JSONLD} || html AS html")
+    detail = crawl_detail(materialise(conform(X.crawl_columns(pages).drop("html"), "s"), "typed_crawl"))
+    types = F.posexplode(F.split("Structured Data Types", r"\|")).alias("pos", "type")
+    return detail.select(F.col("seq").alias("page_id"), types).withColumn("pos", F.col("pos").cast("bigint"))

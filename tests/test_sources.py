@@ -49,7 +49,7 @@ HTML = """<!DOCTYPE html><html LANG='en'><head><title>One &gt; two</title><!-- <
 def test_html_columns(spark):
     page = spark.createDataFrame([("https://w.example/a/b", HTML)], "url string, html string")
     r = X.crawl_columns(page).first()
-    assert (r.title, r.meta_desc, r.canonical, r.html_lang, r.h1) == ("One &gt; two", "d1", "/c", "en", ["Head line"])
+    assert (r.title, r.meta_desc, r.canonical, r.html_lang, r.h1) == ("One > two", "d1", "/c", "en", ["Head line"])
     assert (r.head_count, r.title_count, r.title_in_head_count) == (1, 2, 1)
     assert (r.canonical_total_count, r.canonical_in_head_count, r.meta_desc_total_count) == (2, 1, 1)
     assert [(k.url, k.text, k.nofollow) for k in r.links] == [("https://w.example/n", "N x", False), ("https://w.example/up", "Up", True)]

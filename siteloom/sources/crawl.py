@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from siteloom import schema
 from siteloom.operators.scope import image_scope
@@ -14,11 +14,37 @@ def read_crawl_json(spark: SparkSession, path: str, crawl_id: str, columns: T.St
     """Crawler output, one JSON object per line, under the crawl schema.
 
     Header and structured-data columns differ from crawl to crawl; pass the
-    flat ``columns`` to skip the pass that finds them.
+    flat ``columns`` to skip the pass that finds them. Lines that are no JSON object, such as the cut last line of a
+    crawl that was stopped, give no row; :func:`rejected_lines` lists them.
     """
-    reader = spark.read.option("primitivesAsString", True)
-    raw = reader.schema(columns).json(path) if columns else reader.json(path)
-    return schema.conform(raw if "seq" in raw.columns else numbered(raw, "seq"), crawl_id)
+    raw = _json_lines(spark, path, columns)
+    # Numbered before the filter: a place counts the lines of the file.
+    raw = raw if "seq" in raw.columns else numbered(raw, "seq")
+    return schema.conform(raw.where(_rejected().isNull()).drop(REJECT), crawl_id)
+
+
+#: Column that holds a line which is no JSON object.
+REJECT = "_rejected_line"
+
+
+def _json_lines(spark: SparkSession, path: str, columns: T.StructType | None) -> DataFrame:
+    reader = spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", REJECT)
+    found = reader.json(path).schema if columns is None else columns
+    others = [f for f in found if f.name not in (REJECT, "url")]
+    return reader.schema(T.StructType([*others, T.StructField("url", T.StringType()), T.StructField(REJECT, T.StringType())])).json(path)
+
+
+def _rejected() -> Column:
+    """The rejected line, null for a sound one. It names the address too, since Spark reads no rejected lines for their own sake alone."""
+    return F.coalesce(F.col(REJECT), F.when(F.length("url") < 0, F.col("url")))
+
+
+def rejected_lines(spark: SparkSession, path: str, crawl_id: str) -> DataFrame:
+    """The lines of crawler output that give no row: crawl_id, file, place (from 0, over all files), raw, reason."""
+    raw = _json_lines(spark, path, T.StructType([])).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata"))
+    cut = F.trim(REJECT).startswith("{") & ~F.trim(REJECT).endswith("}")
+    return numbered(raw, "place").where(_rejected().isNotNull()).select(
+        F.lit(crawl_id).alias("crawl_id"), "file", "place", F.col(REJECT).alias("raw"), F.when(cut, "cut line").otherwise("not a JSON object").alias("reason"))
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -47,19 +73,30 @@ def read_image_shards(spark: SparkSession, folder: str, min_width: int = 0, min_
 
 
 def write_crawl(crawl: DataFrame, path: str, partitioned: bool = True) -> bool:
-    """Write a crawl; nothing is written for an empty one. Returns whether files were written."""
+    """Write the crawls of a table to a store; nothing is written for an empty one. Returns whether files were written.
+
+    A store holds many crawls, one folder each. Those that occur in ``crawl`` are replaced as a whole, all others stay as they are;
+    crawls may have columns of their own. An unpartitioned file is written once.
+    """
     if crawl.isEmpty():
         return False
-    writer = crawl.write.partitionBy("crawl_id") if partitioned else crawl.write
-    writer.parquet(path)
+    if partitioned:
+        crawl.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id").parquet(path)
+    else:
+        crawl.write.parquet(path)
     return True
 
 
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """A stored crawl with all its columns; ``crawl_id`` filters prune whole folders."""
-    stored = spark.read.parquet(path).schema
+    """A stored crawl with all its columns; ``crawl_id`` filters prune whole folders.
+
+    Columns of several crawls are brought together: one that a crawl lacks is null in its rows. A column of two
+    kinds is an error that Spark reports.
+    """
+    stored = spark.read.option("mergeSchema", True).parquet(path).schema
     others = [f for f in stored if f.name not in schema.CRAWL.names]
-    return spark.read.schema(T.StructType([*schema.CRAWL.fields, *others])).parquet(path)
+    kinds = T.StructType([*schema.CRAWL.fields, *others])
+    return spark.read.schema(kinds).parquet(path).select(*(f"`{name}`" for name in kinds.names))
 
 
 def write_side_table(df: DataFrame, path: str) -> str | None:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siteloom.functions import urls
 from siteloom.functions.constants import EXTRACTION_SELECTORS, LIST_DELIMITER
 from siteloom.functions.references import decoded
+from siteloom.sources.elements import Selector, tree, values
 from siteloom.sources.markup import jsonld, open_graph
 
 # A tag may hold '>' inside quotes; a tag with an open quote ends at its first '>'.
@@ -159,11 +160,22 @@ def prepared(pages: DataFrame, tags: set[str], html: str = "html") -> DataFrame:
 _SHARED = ("_markup", "_head", "_tags", "_head_tags")
 
 
-def extract(pages: DataFrame, selectors: dict[str, str], html: str = "html") -> DataFrame:
-    """Adds one list column per selector. Only the columns named are computed."""
-    picks = {n: Pick.of(s) for n, s in selectors.items()}
-    return prepared(pages, {p.tag for p in picks.values()}, html).withColumns(
-        {n: p.values() for n, p in picks.items()}).drop(*_SHARED)
+def extract(pages: DataFrame, selectors: dict[str, str], html: str = "html", xpaths: dict[str, str] | None = None) -> DataFrame:
+    """Adds one list column per selector (a number for a count). Only the columns named are computed.
+
+    Selectors of one element are looked up in the list of tags; others, and XPath, are matched on the element tree.
+    """
+    picks, trees = {}, {n: Selector.xpath(s) for n, s in (xpaths or {}).items()}
+    for name, text in selectors.items():
+        try:
+            picks[name] = Pick.of(text)
+        except ValueError:
+            trees[name] = Selector.css(text)
+    page = prepared(pages, {p.tag for p in picks.values()} or {"html"}, html)
+    if trees:
+        page = page.withColumn("_tree", tree("_markup", attributes))
+    columns = {n: p.values() for n, p in picks.items()} | {n: values(s, F.col("_tree")) for n, s in trees.items()}
+    return page.withColumns(columns).drop(*_SHARED, "_tree")
 
 
 def merged_selectors(own: dict[str, str] | None = None) -> dict[str, str]:

@@ -193,3 +193,22 @@ def html_structured_types(spark, sf):
     detail = crawl_detail(materialise(conform(X.crawl_columns(pages).drop("html"), "s"), "typed_crawl"))
     types = F.posexplode(F.split("Structured Data Types", r"\|")).alias("pos", "type")
     return detail.select(F.col("seq").alias("page_id"), types).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+# A list with items left open and one list inside another, a table without row ends, neighbours, classes, a form in words with references.
+NESTED = """'<div id="m' || CAST(page_id AS STRING) || '" class="box wide"><p>one' || CAST(page_id AS STRING) || '<p class="note x">two &amp; <b>bold</b> end</div><ul class=menu><li>1<li>2<ul><li>in'
+ || CAST(page_id % 9 AS STRING) || '</ul><li>3</ul><table><tr><td>a<td data-k="v' || CAST(page_id % 3 AS STRING) || '">b<tr><td>c</table><section><h3>T</h3><em>e' || CAST(page_id AS STRING)
+ || '</em><span>s</span></section></p><br>'"""
+OWN_CSS = {
+    "direct": "div.box > p::text", "plain": "div.wide p:not(.note)::text", "deep": "ul.menu li li::text", "second": "ul.menu > li:nth-child(2)::text",
+    "cell": "tr > td[data-k^=v]::text", "beside": "h3 + em::text", "after": "h3 ~ span::text, #nothing b::text", "kinds": "td:first-child::text"}
+OWN_XPATH = {"items": "count(//ul[contains(@class, 'menu')]//li)", "whole": "//p[contains(@class, 'note')]//text()", "last": "//tr/td[last()]/text()", "keys": "//td[@data-k]/@data-k"}
+
+
+@query("html_selectors", f"""SELECT page_id, 'one' || {_ID} || '@@two & @@ end' AS direct, 'one' || {_ID} AS plain, 'in' || CAST(page_id % 9 AS STRING) AS deep, '2' AS second,
+    'b' AS cell, 'e' || {_ID} AS beside, 's' AS after, 'a@@c' AS kinds, 4 AS items, 'two & @@bold@@ end' AS whole, 'b@@c' AS last,
+    'v' || CAST(page_id % 3 AS STRING) AS keys FROM pages""")
+def html_selectors(spark, sf):
+    """A caller's selectors that need the element tree, in front of every whole page."""
+    p = X.extract(_pages(spark, sf).selectExpr("page_id", f"{NESTED} || html AS html"), OWN_CSS, xpaths=OWN_XPATH)
+    return p.select("page_id", "items", *(F.array_join(n, "@@").alias(n) for n in (*OWN_CSS, *OWN_XPATH) if n != "items"))

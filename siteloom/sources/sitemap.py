@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siteloom.functions.references import decoded
 from siteloom.session import materialise
 from siteloom.sources.robots import sitemap_lines
 
@@ -13,18 +14,12 @@ _FIELDS = {
     "news_title": "news:title", "news_publication_date": "news:publication_date",
     "video_title": "video:title", "video_content_loc": "video:content_loc", "image_loc": "image:loc",
 }
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
-
-
-def _decoded(text: Column) -> Column:
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
 
 
 def _child(entry: Column, name: str) -> Column:
     pattern = rf"(?is)<{name}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}\s*>"
-    return F.when(entry.rlike(pattern), _decoded(F.regexp_extract(entry, pattern, 1)))
+    # An unclosed name in an address is a parameter.
+    return F.when(entry.rlike(pattern), decoded(F.regexp_extract(entry, pattern, 1), in_attribute=True))
 
 
 def _entries(name: str) -> Column:

@@ -158,3 +158,15 @@ def test_deep_indexes_and_agents(spark):
     pages = spark.createDataFrame([("h", "https://h/jpg/1")], "host string, url string")
     agents = ["Mozilla/5.0 (compatible; Bot/2.1)", "Bot-Images/1.0", "reader"]
     assert {r.agent: r.can_fetch for r in R.can_fetch(pages, files, agents, ["host"]).collect()} == dict(zip(agents, [False, True, True]))
+
+
+def test_numeric_references_in_sitemaps(spark):
+    body = "<urlset><url><loc>https://w/?a=1&#38;b=2&#x26;c=&eacute;&copy=3</loc></url></urlset>"
+    r = S.sitemap_urls(spark.createDataFrame([("s", body)], "url string, body string")).first()
+    assert r.loc == "https://w/?a=1&b=2&c=é&copy=3"
+
+
+def test_render_metrics(spark, tmp_path):
+    (tmp_path / "r.jl").write_text('{"crawl_id": "k", "url": "u", "ok": true, "rendered_text_len": 12, "rendered_links": ["a"]}\n{"crawl_id": "k", "url": "v", "error": "timeout"}\n')
+    rows = lab.read_render_metrics(spark, str(tmp_path)).orderBy("url").collect()
+    assert [(r.url, r.ok, r.error, r.rendered_text_len, r.rendered_links, r.overlay) for r in rows] == [("u", True, None, 12, ["a"], None), ("v", False, "timeout", None, None, None)]

@@ -28,7 +28,7 @@ def _by_letter() -> str:
 
 
 _TABLE, _C1 = _by_letter(), json.dumps({str(c): t for c, t in _WINDOWS_1252.items()})
-_OPEN_NAME = "^(?:" + "|".join(_OPEN) + ")"
+_OPEN_TABLE, _OPEN_NAME = json.dumps({n: html.entities.html5[n] for n in _OPEN}), "^(?:" + "|".join(_OPEN) + ")"
 
 
 def _named(name: Column) -> Column:
@@ -46,25 +46,34 @@ def _numbered(digits: Column, base: int) -> Column:
         F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
-def _piece(p: Column, in_attribute: bool) -> Column:
-    """What stands for ``&`` and the text ``p`` up to the next one."""
-    decimal, hexadecimal, closed = r"^#([0-9]+);?", r"^#[xX]([0-9a-fA-F]+);?", r"^([A-Za-z][A-Za-z0-9]*);"
-    name = F.regexp_extract(p, closed, 1)
-    opened = F.regexp_extract(p, _OPEN_NAME, 0)
+def _number(p: Column) -> Column:
+    decimal, hexadecimal = r"^#([0-9]+);?", r"^#[xX]([0-9a-fA-F]+);?"
+    return (F.when(p.rlike(decimal), F.concat(_numbered(F.regexp_extract(p, decimal, 1), 10), F.regexp_replace(p, decimal, "")))
+            .when(p.rlike(hexadecimal), F.concat(_numbered(F.regexp_extract(p, hexadecimal, 1), 16), F.regexp_replace(p, hexadecimal, ""))))
+
+
+def _word(p: Column, in_attribute: bool) -> Column:
+    """A closed name of the table, else the longest name that may stand open; null if neither."""
+    name, opened = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(p, _OPEN_NAME, 0)
     rest = F.substr(p, F.length(opened) + 1)
+    found = F.concat(F.try_element_at(F.from_json(F.lit(_OPEN_TABLE), "map<string,string>"), opened), rest)
     # Inside an attribute "&copy=2" is a parameter, no sign.
-    usable = (opened != "") & ~rest.rlike("^[=A-Za-z0-9]") if in_attribute else opened != ""
-    return (
-        F.when(p.rlike(decimal), F.concat(_numbered(F.regexp_extract(p, decimal, 1), 10), F.regexp_replace(p, decimal, "")))
-        .when(p.rlike(hexadecimal), F.concat(_numbered(F.regexp_extract(p, hexadecimal, 1), 16), F.regexp_replace(p, hexadecimal, "")))
-        .when((name != "") & _named(name).isNotNull(), F.concat(_named(name), F.substr(p, F.length(name) + 2)))
-        .when(usable, F.concat(_named(opened), rest))
-        .otherwise(F.concat(F.lit("&"), p)))
+    if in_attribute:
+        found = F.when(~rest.rlike("^[=A-Za-z0-9]"), found)
+    return F.coalesce(F.when(name != "", F.concat(_named(name), F.substr(p, F.length(name) + 2))), found)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def decoded(text, in_attribute: bool = False) -> Column:
     """``text`` with its character references replaced; null stays null."""
-    text = F.col(text) if isinstance(text, str) else text
-    pieces = F.split(text, "&", -1)
-    rest = F.transform(F.slice(pieces, 2, F.size(pieces) - 1), lambda p: _piece(p, in_attribute))
-    return F.when(~text.contains("&"), text).otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, "")))
+    def piece(p: Column) -> Column:
+        return F.coalesce(F.when(p.startswith("#"), _number(p)).otherwise(_word(p, in_attribute)), F.concat(F.lit("&"), p))
+
+    def joined(pieces: Column) -> Column:
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces) - 1), piece), ""))
+
+    return _bound(F.col(text) if isinstance(text, str) else text, lambda t: F.when(~t.contains("&"), t).otherwise(_bound(F.split(t, "&", -1), joined)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from siteloom import schema
@@ -72,16 +75,36 @@ def read_image_shards(spark: SparkSession, folder: str, min_width: int = 0, min_
     return image_scope(spark.read.option("pathGlobFilter", "*.{jl,json,jsonl}").json(folder), min_width, min_height, include_img_regex)
 
 
+#: Folder of a store that notes the columns of each write; readers of the data pass over names of this form.
+COLUMNS = "_columns"
+
+
+def _stored_columns(spark: SparkSession, path: str) -> list[T.StructField]:
+    """Columns of all writes to a store, of all files where they are not noted."""
+    try:
+        noted = [r.value for r in spark.read.schema("value string").text(f"{path}/{COLUMNS}").distinct().collect()]  # one row per kind of write
+    except AnalysisException:
+        return spark.read.option("mergeSchema", True).parquet(path).schema.fields
+    found: dict[str, T.StructField] = {}
+    for field in (f for text in sorted(noted) for f in T.StructType.fromJson(json.loads(text))):
+        if found.setdefault(field.name, field).dataType != field.dataType:
+            raise ValueError(f"column {field.name} is of two kinds in {path}")
+    return list(found.values())
+
+
 def write_crawl(crawl: DataFrame, path: str, partitioned: bool = True) -> bool:
     """Write the crawls of a table to a store; nothing is written for an empty one. Returns whether files were written.
 
     A store holds many crawls, one folder each. Those that occur in ``crawl`` are replaced as a whole, all others stay as they are;
-    crawls may have columns of their own. An unpartitioned file is written once.
+    crawls may have columns of their own. An unpartitioned file is written once. What columns were written is noted beside the
+    data, so that reading need not open every file; a column stays known when the crawl that had it is replaced.
     """
     if crawl.isEmpty():
         return False
     if partitioned:
         crawl.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crawl_id").parquet(path)
+        spark = crawl.sparkSession
+        spark.createDataFrame([(crawl.schema.json(),)], "value string").coalesce(1).write.mode("append").text(f"{path}/{COLUMNS}")
     else:
         crawl.write.parquet(path)
     return True
@@ -91,10 +114,9 @@ def read_crawl(spark: SparkSession, path: str) -> DataFrame:
     """A stored crawl with all its columns; ``crawl_id`` filters prune whole folders.
 
     Columns of several crawls are brought together: one that a crawl lacks is null in its rows. A column of two
-    kinds is an error that Spark reports.
+    kinds is an error.
     """
-    stored = spark.read.option("mergeSchema", True).parquet(path).schema
-    others = [f for f in stored if f.name not in schema.CRAWL.names]
+    others = [f for f in _stored_columns(spark, path) if f.name not in schema.CRAWL.names]
     kinds = T.StructType([*schema.CRAWL.fields, *others])
     return spark.read.schema(kinds).parquet(path).select(*(f"`{name}`" for name in kinds.names))
 

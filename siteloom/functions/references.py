@@ -31,9 +31,16 @@ _TABLE, _C1 = _by_letter(), json.dumps({str(c): t for c, t in _WINDOWS_1252.item
 _OPEN_TABLE, _OPEN_NAME = json.dumps({n: html.entities.html5[n] for n in _OPEN}), "^(?:" + "|".join(_OPEN) + ")"
 
 
+#: Names that make up nearly all references; they are compared before the table is looked up.
+COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "ndash", "mdash", "hellip", "rsquo")
+
+
 def _named(name: Column) -> Column:
+    common = F.when(name == COMMON[0], _CLOSED[COMMON[0]])
+    for word in COMMON[1:]:
+        common = common.when(name == word, _CLOSED[word])
     table = F.from_json(F.lit(_TABLE), "map<string,map<string,string>>")
-    return F.try_element_at(F.try_element_at(table, F.left(name, F.lit(1))), name)
+    return F.coalesce(common, F.try_element_at(F.try_element_at(table, F.left(name, F.lit(1))), name))
 
 
 def _numbered(digits: Column, base: int) -> Column:

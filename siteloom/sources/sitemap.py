@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siteloom.functions.references import decoded
+from siteloom.functions.references import decoded_all
 from siteloom.session import materialise
 from siteloom.sources.robots import sitemap_lines
 
@@ -17,9 +17,14 @@ _FIELDS = {
 
 
 def _child(entry: Column, name: str) -> Column:
+    """Content of a child element with its character references as they stand."""
     pattern = rf"(?is)<{name}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}\s*>"
-    # An unclosed name in an address is a parameter.
-    return F.when(entry.rlike(pattern), decoded(F.regexp_extract(entry, pattern, 1), in_attribute=True))
+    return F.when(entry.rlike(pattern), F.regexp_extract(entry, pattern, 1))
+
+
+def _children(entry: Column, names) -> Column:
+    """Contents of several child elements. An unclosed name in an address is a parameter."""
+    return decoded_all(F.array(*[_child(entry, n) for n in names]), in_attribute=True)
 
 
 def _entries(name: str) -> Column:
@@ -36,8 +41,8 @@ def sitemap_urls(docs: DataFrame) -> DataFrame:
     keys = [c for c in docs.columns if c not in ("url", "body")]
     known = F.col("body").rlike(r"(?i)<(urlset|sitemapindex)\b")
     rows = docs.select(*keys, F.col("url").alias("sitemap"), F.posexplode(_entries("url")).alias("pos", "entry"))
-    parsed = rows.select(
-        *keys, "sitemap", "pos", *[_child(F.col("entry"), t).alias(n) for n, t in _FIELDS.items()],
+    parsed = rows.withColumn("_found", _children(F.col("entry"), _FIELDS.values())).select(
+        *keys, "sitemap", "pos", *[F.get("_found", F.lit(i)).alias(n) for i, n in enumerate(_FIELDS)],
         F.lit(None).cast("string").alias("errors"))
     broken = docs.where(~F.coalesce(known, F.lit(False))).select(
         *keys, F.col("url").alias("sitemap"), F.lit(0).alias("pos"),
@@ -48,7 +53,7 @@ def sitemap_urls(docs: DataFrame) -> DataFrame:
 def index_children(docs: DataFrame) -> DataFrame:
     """(sitemap, child): addresses listed by index documents."""
     rows = docs.select(F.col("url").alias("sitemap"), F.explode(_entries("sitemap")).alias("entry"))
-    return rows.select("sitemap", _child(F.col("entry"), "loc").alias("child")).where("child IS NOT NULL")
+    return rows.select("sitemap", F.get(_children(F.col("entry"), ["loc"]), F.lit(0)).alias("child")).where("child IS NOT NULL")
 
 
 def expand(start: DataFrame, docs: DataFrame, recursive: bool = True) -> DataFrame:

@@ -99,26 +99,31 @@ class Notice:
 
 def scan_text(text: bytes, notices: list[Notice]) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int]], float]:
     """Base places (label, start word), notice spans (label, first and last word, edits), score."""
-    def word_at(p):
-        return text.count(b" ", 0, p + 1) - 1
-
-    base, spans, score = [], [], 0.0
-    if not text:
-        return base, spans, score
+    found, spans, score = [], [], 0.0
     for phrase, label in PHRASES.items():
         needle = b" " + phrase.encode() + b" "
         at = text.find(needle)
         while at >= 0:
-            base.append((label, word_at(at)))
+            found.append((label, at))
             score = 1.0
             at = text.find(needle, at + 1)
     for notice in notices:
         for a, b, edits in notice.find(text):
             body = text[a:b].strip()
             a += len(text[a:b]) - len(text[a:b].lstrip())
-            spans.append((notice.label, word_at(a), word_at(a + max(0, len(body) - 1)), edits))
+            spans.append((notice.label, a, a + max(0, len(body) - 1), edits))
             score = max(score, 1 - edits / len(notice.text))
-    return base, spans, score
+    if not found and not spans:
+        return [], [], score
+    # The number of a word is that of the blanks up to it, less one: one sorted array serves all places.
+    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+
+    def words_at(places: list[int]) -> list[int]:
+        return (np.searchsorted(blanks, places, "right") - 1).tolist()
+
+    base = list(zip([label for label, _ in found], words_at([at for _, at in found])))
+    first, last = words_at([s[1] for s in spans]), words_at([s[2] for s in spans])
+    return base, [(s[0], a, b, s[3]) for s, a, b in zip(spans, first, last)], score
 
 
 RESULT = T.StructType([

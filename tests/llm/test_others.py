@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -136,10 +137,41 @@ def test_lookup_reads_only_what_it_needs(spark, monkeypatch):
     assert directory.agg(F.sum("lines")).first()[0] == 60 and directory.count() >= 8
     entries = warc.lookup(spark, index, ["http://h3.example/3", "http://h3.example/10", "http://no.example/"])
     assert sorted(r.page_id for r in entries.collect()) == [3, 10]
-    pages = {r.page_id: r for r in warc.read_ranges(spark, archives, entries).collect()}
+    pages = {r.page_id: r for r in warc.read_ranges(spark, entries).collect()}
     assert bytes(pages[3].payload) == b"<p>3</p>" and pages[10].record_type == "revisit" and pages[10].refers_to == 0
 
 
+def test_directory_and_files_keep_their_bounds(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    monkeypatch.setattr(warc, "DIRECTORY_LINES", 8)
+    monkeypatch.setattr(warc, "DIRECTORY_KEY", 5)
+    monkeypatch.setattr(warc, "FILE_BYTES", 700)
+    monkeypatch.setattr(warc, "RUN_BYTES", 500)
+    # One hot URL over several blocks, keys that differ behind the cut only, odd addresses, a page over the file bound.
+    urls = ["http://hot.example/"] * 30 + [f"http://hot.example/{i}" for i in range(20)] + [None, "", "a\tb\nc", "http://[x", " http://hot.example/7 "]
+    rows = [(i, u, "".join(chr(33 + (i * j) % 90) for j in range(40 if i else 5000))) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    archives, index = new_path(spark, "warc"), new_path(spark, "index")
+    warc.write_archives(df, archives)
+    entries = warc.scan(spark, archives)
+    per_file = {r.file: (r.bytes, r.top) for r in entries.groupBy("file").agg(F.sum("size").alias("bytes"), F.max("size").alias("top")).collect()}
+    assert len(per_file) > 5 and all(n <= 700 + top for n, top in per_file.values())
+    warc.write_index(entries, index)
+    assert 4 <= spark.read.parquet(f"{index}/directory").count() <= 8 + 8
+    got = {r.page_id: r for r in warc.read_ranges(spark, warc.lookup(spark, index, df.select("url"))).collect()}
+    assert sorted(got) == list(range(len(urls)))
+    assert all(got[r.refers_to if r.refers_to is not None else i].payload.decode() == rows[i][2] for i, r in got.items())
+    assert sorted(r.page_id for r in warc.lookup(spark, index, ["http://hot.example/"]).collect()) == list(range(30))
+
+
+def test_directory_search_and_runs():
+    first = ["a", "b", "b", "b", "d"]
+    assert [list(warc.blocks_of(first, k, 5)) for k in ("A", "a", "b", "c", "e")] == [[], [0], [0, 1, 2, 3], [3], [4]]
+    assert list(warc.blocks_of([], "a", 5)) == []
+    ranges = [(120, 30), (0, 100), (500, 10)]
+    assert list(warc.runs(ranges)) == [(0, 150, [(0, 100), (120, 30)]), (500, 510, [(500, 10)])]
+
+
 # ---- licences ------------------------------------------------------------------------
 def test_license_scan(spark, docs):
     texts = {200: "See the MIT\nLicense. MIT license!", 201: "Licensed undr the Apache Licence, version 2.0", 202: "mitlicense apache  LICENSE", 203: None,
@@ -159,6 +191,40 @@ def test_license_scan(spark, docs):
             assert rows[r.doc_id].n_words == len(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
 
 
+def _distance(a: bytes, b: bytes) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_license_spans_against_edit_distance():
+    rng = np.random.default_rng(5)
+    notices = [license_scan.Notice(label, text) for label, text in license_scan.NOTICES.items()]
+    for notice in notices:
+        for edits in range(notice.edits + 1):
+            own = bytearray(notice.text)
+            for at in rng.choice(np.arange(2, len(own) - 2), edits, replace=False):
+                own[at] = ord("q")
+            text = b" some words before " + bytes(own) + b" and behind "
+            found = notice.find(text)
+            assert len(found) == 1 and found[0][2] <= edits
+            a, b, n = found[0]
+            assert _distance(notice.text, text[a:b]) == n
+            first = text.count(b" ", 0, a + 1) - (0 if text[a:a + 1] == b" " else 1)
+            assert license_scan.scan_text(text, [notice])[1][0][1] == first
+
+
+def test_license_scan_is_linear_in_the_places():
+    text = b" " + b"mit license " * 100_000
+    start = time.process_time()
+    base, _, score = license_scan.scan_text(text, [])
+    assert time.process_time() - start < 2 and score == 1.0
+    assert [w for _, w in base] == list(range(0, 200_000, 2))
+
+
 # ---- neighbours ----------------------------------------------------------------------
 @pytest.mark.parametrize("norms", [False, True])
 def test_neighbours(spark, norms):

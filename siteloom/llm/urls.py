@@ -87,7 +87,7 @@ def log_ratio(grams: DataFrame, wanted: DataFrame) -> DataFrame:
     ends = wanted.select("gram", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.length("gram")), lambda k: F.substr(F.col("gram"), F.length("gram") - k + 1, k))).alias("k", "run"))
     # A single character has the empty context, which is never looked up: longer than any context, its key scatters these rows.
-    ends = ends.withColumn("context", F.when(F.col("k") == 0, F.repeat("gram", F.lit(ORDER))).otherwise(F.expr("substring(run, 1, length(run) - 1)")))
+    ends = ends.withColumn("context", F.when(F.col("k") == 0, F.rpad("gram", ORDER, "^")).otherwise(F.expr("substring(run, 1, length(run) - 1)")))
     lone = context.select("context", *[F.struct(
         F.lit(0.0).alias("n"), F.col(f"{c}_all").cast("double").alias("all"), F.col(f"{c}_kinds").cast("double").alias("kinds")).alias(f"{c}_lone")
         for c in ("good", "bad")])
@@ -120,7 +120,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
              .groupBy("gram").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
     # Scored: what no rule decides, and the held-back part of the rest.
     # Few bytes become many runs: the number of partitions is set before, or short URLs would meet in one task.
-    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Were it the session's own, the planner would take the step for a repetition of the one below distinct() and drop it.
+    spread = 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = rows.where("given IS NULL OR fold = 0").select("url").distinct().repartition(spread, "url")
     parts = materialise(
         asked.select("url", F.explode(windows(F.col("url"))).alias("gram")).groupBy("url", "gram").count(), "url_runs")

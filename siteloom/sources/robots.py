@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siteloom.functions import urls
 from siteloom.functions import constants as K
+from siteloom.functions.prefixes import longest_prefix, prefix_lists
 
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -55,27 +56,31 @@ def disallowed(robots: DataFrame) -> DataFrame:
     return agent_rules(robots).where("agent = '*' AND directive = 'disallow' AND rule <> ''")
 
 
-def _escaped(rule) -> Column:
-    return F.regexp_replace(rule, r"([^A-Za-z0-9_*])", r"\\$1")
+def _pattern(rule: Column, end: Column) -> Column:
+    """A rule with '*': what stands before the first '*', and the regular expression."""
+    escaped = F.regexp_replace(rule, r"([^A-Za-z0-9_*])", r"\\$1")
+    return F.struct(F.substring_index(rule, "*", 1).alias("head"),
+                    F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit(".*")), end).alias("pattern"))
+
+
+def _matches(target: Column, rule: Column) -> Column:
+    """Most addresses fail at the head; the expression is not run for them."""
+    return F.startswith(target, rule["head"]) & F.rlike(target, rule["pattern"])
 
 
 def rule_arrays(robots: DataFrame) -> DataFrame:
-    """(crawl_id, rules): the disallow rules of a crawl in line order."""
+    """(crawl_id, rules): the disallow rules of a crawl, the plain ones as a sorted list, those with '*' as patterns."""
+    wild = F.col("rule").contains("*")
     rules = disallowed(robots).select(
-        "crawl_id",
-        F.struct(
-            "line_no", "rule",
-            F.when(F.col("rule").contains("*"), F.concat(
-                F.lit("^"), F.replace(_escaped("rule"), F.lit("*"), F.lit(".*")))).alias("pattern"),
-        ).alias("r"))
-    return rules.groupBy("crawl_id").agg(F.array_sort(F.collect_list("r")).alias("rules"))
+        "crawl_id", F.when(~wild, F.col("rule")).alias("plain"), F.lit(False).alias("allow"),
+        F.when(wild, _pattern(F.col("rule"), F.lit(""))).alias("patterns"))
+    return prefix_lists(rules, ["crawl_id"], "plain", "allow", ["patterns"]).select("crawl_id", F.struct("prefixes", "patterns").alias("rules"))
 
 
 def blocked_by(rules, path) -> Column:
     """Any rule that matches the start of ``path``; only rules with '*' need a pattern."""
     p = F.col(path) if isinstance(path, str) else path
-    return F.exists(rules, lambda r: F.when(r["pattern"].isNull(), p.startswith(r["rule"])).otherwise(
-        F.rlike(p, r["pattern"])))
+    return longest_prefix(rules["prefixes"], p).isNotNull() | F.exists(rules["patterns"], lambda r: _matches(p, r))
 
 
 def sitemap_lines(robots: DataFrame) -> DataFrame:
@@ -97,12 +102,7 @@ def agent_groups(robots: DataFrame) -> DataFrame:
     is_agent = F.col("directive") == "user-agent"
     starts = is_agent & ~F.coalesce(F.lag("directive").over(order) == "user-agent", F.lit(False))
     grouped = relevant.withColumn("starts", starts.cast("int")).withColumn("g", F.sum("starts").over(order))
-    rule = F.struct(
-        F.length("content").alias("len"), (F.col("directive") == "allow").alias("allow"),
-        F.concat(
-            F.lit("^"), F.replace(_escaped(F.regexp_replace("content", r"\$$", "")), F.lit("*"), F.lit(".*")),
-            F.when(F.col("content").endswith("$"), F.lit("$")).otherwise("")).alias("pattern"),
-    )
+    rule = F.struct(F.col("content").alias("rule"), (F.col("directive") == "allow").alias("allow"))
     blocks = grouped.groupBy(*keys, "g").agg(
         F.collect_set(F.when(is_agent, F.lower("content"))).alias("agents"),
         F.collect_list(F.when(~is_agent & (F.col("content") != ""), rule)).alias("rules"))
@@ -112,15 +112,29 @@ def agent_groups(robots: DataFrame) -> DataFrame:
     )
 
 
+def group_lists(robots: DataFrame) -> DataFrame:
+    """(keys, agent, prefixes, patterns): the rules of every agent, plain ones sorted for search, the others as patterns with length and verdict."""
+    keys = [c for c in robots.columns if c != "body"]
+    rules = agent_groups(robots).select(*keys, "agent", F.explode_outer("rules").alias("r")).select(*keys, "agent", "r.*")
+    rule = F.col("rule")
+    odd = rule.contains("*") | rule.endswith("$")
+    bare = F.regexp_replace(rule, r"\$$", "")
+    pattern = F.struct(F.length("rule").alias("len"), F.col("allow").alias("value"),
+                       _pattern(bare, F.when(rule.endswith("$"), "$").otherwise("")).alias("p"))
+    kinds = rules.select(*keys, "agent", "allow", F.when(~odd, rule).alias("plain"), F.when(odd, pattern).alias("patterns"))
+    return prefix_lists(kinds, [*keys, "agent"], "plain", "allow", ["patterns"])
+
+
 def can_fetch(pages: DataFrame, robots: DataFrame, agents: list[str], on: list[str]) -> DataFrame:
     """Every page for every agent: may it be fetched?
 
     ``pages`` carry ``url`` and the columns ``on`` that name their robots file.
     The group with the longest product token that stands in the agent string wins, in any case
     of letters, else '*'; in it the longest matching rule, Allow on equal length. No file and no match mean yes.
+    Plain rules are searched for, so their number hardly matters; rules with '*' or a last '$' are tried in turn.
     """
-    per_file = agent_groups(robots).groupBy(*on).agg(
-        F.map_from_entries(F.collect_list(F.struct("agent", "rules"))).alias("groups"))
+    per_file = group_lists(robots).groupBy(*on).agg(
+        F.map_from_entries(F.collect_list(F.struct("agent", F.struct("prefixes", "patterns")))).alias("groups"))
     target = F.concat(
         F.when(urls.full_path("url") == "", "/").otherwise(urls.full_path("url")),
         F.when(urls.query("url") != "", F.concat(F.lit("?"), urls.query("url"))).otherwise(""))
@@ -129,6 +143,8 @@ def can_fetch(pages: DataFrame, robots: DataFrame, agents: list[str], on: list[s
     tokens = F.filter(F.map_keys("groups"), lambda t: (t != "*") & (t != "") & F.contains(F.lower("agent"), t))
     best_token = F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     rules = F.coalesce(F.try_element_at("groups", best_token), F.try_element_at(F.col("groups"), F.lit("*")))
-    matching = F.filter(rules, lambda r: F.rlike(F.col("target"), r["pattern"]))
-    best = F.array_max(F.transform(matching, lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))
-    return asked.withColumn("can_fetch", F.coalesce(best["allow"], F.lit(True))).drop("groups", "target")
+    tried = F.filter(F.col("_rules")["patterns"], lambda r: _matches(F.col("target"), r["p"]))
+    odd = F.array_max(F.transform(tried, lambda r: F.struct(r["len"].alias("len"), r["value"].alias("value"))))
+    plain = longest_prefix(F.col("_rules")["prefixes"], F.col("target"))
+    best = F.array_max(F.array(odd, plain))
+    return asked.withColumn("_rules", rules).withColumn("can_fetch", F.coalesce(best["value"], F.lit(True))).drop("groups", "target", "_rules")

@@ -8,6 +8,9 @@ from siteloom.functions import urls
 from siteloom.functions import constants as K
 from siteloom.functions.prefixes import longest_prefix, prefix_lists
 
+# Directives that make a text a robots file.
+_KNOWN = ("user-agent", "allow", "disallow", "sitemap", "crawl-delay", "host", "clean-param", "request-rate", "visit-time")
+
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -27,6 +30,22 @@ def robots_lines(robots: DataFrame) -> DataFrame:
     })
 
 
+def rejected_files(robots: DataFrame) -> DataFrame:
+    """Robots files that give no rule, one row each: the columns of ``robots`` but for its body, ``raw``, ``reason``.
+
+    A file without a body was not fetched; markup is a page that was served in place of the file. A
+    blank body is sound: it allows everything. ``raw`` is the whole body.
+    """
+    keys = [c for c in robots.columns if c != "body"]
+    named = F.rlike("body", F.lit(rf"(?i)(?:^|{_LINE_BREAK})[ \t]*(?:{'|'.join(_KNOWN)})[ \t]*:"))
+    reason = (
+        F.when(F.col("body").isNull(), "no body")
+        .when(F.rlike("body", F.lit(r"(?is)^[\s\ufeff]*<(?:!doctype|html|head|body|\?xml|!--)")), "markup")
+        .when(F.contains("body", F.lit("\0")), "binary content")
+        .when(F.rlike("body", F.lit(r"(?m)^[ \t]*[^#\s]")) & ~named, "no known directive"))
+    return robots.withColumn("_reason", reason).where("_reason IS NOT NULL").select(*keys, F.col("body").alias("raw"), F.col("_reason").alias("reason"))
+
+
 def directive_table(robots: DataFrame) -> DataFrame:
     """Non-blank directive rows, as parsed."""
     return robots_lines(robots).where("directive IS NOT NULL")

@@ -50,6 +50,27 @@ def sitemap_urls(docs: DataFrame) -> DataFrame:
     return parsed.unionByName(broken)
 
 
+def rejected_documents(docs: DataFrame) -> DataFrame:
+    """What docs(url, body, …) hold that gives no address: the other columns, sitemap, place, raw, reason.
+
+    A document that is no sitemap, or whose end was cut off, is one row with the place null. An entry without an
+    address is one row with its place (from 0) and text. A cut document still gives the addresses of its whole entries.
+    """
+    keys = [c for c in docs.columns if c not in ("url", "body")]
+    body = F.regexp_replace("body", r"(?s)<!--.*?-->", "")
+    opened = F.lower(F.regexp_extract(body, r"(?i)<(urlset|sitemapindex)\b", 1))
+    reason = (
+        F.when(F.col("body").isNull(), "no body").when(opened == "", "not a sitemap document")
+        .when(~F.contains(F.lower(body), F.concat(F.lit("</"), opened)) & ~F.rlike(body, F.lit(r"(?i)<(?:urlset|sitemapindex)\b[^>]*/>")), "cut document"))
+    whole = F.when(reason.isNotNull(), F.array(F.struct(F.lit(None).cast("int").alias("place"), F.col("body").alias("raw"), reason.alias("reason"))))
+    entries = F.concat(_entries("url"), _entries("sitemap"))
+    bare = F.filter(F.transform(entries, lambda e, i: F.struct(i.alias("place"), e.alias("raw"), F.lit("entry without an address").alias("reason"))),
+                    lambda x: F.coalesce(F.trim(_child(x["raw"], "loc")) == "", F.lit(True)))
+    none = F.array().cast("array<struct<place:int,raw:string,reason:string>>")
+    found = F.concat(F.coalesce(whole, none), F.when(opened != "", bare).otherwise(none))
+    return docs.select(*keys, F.col("url").alias("sitemap"), F.inline(found))
+
+
 def index_children(docs: DataFrame) -> DataFrame:
     """(sitemap, child): addresses listed by index documents."""
     rows = docs.select(F.col("url").alias("sitemap"), F.explode(_entries("sitemap")).alias("entry"))

@@ -144,6 +144,18 @@ def robots_sitemaps(spark, sf):
     return R.sitemap_lines(_robot_files(spark, sf).withColumnRenamed("host", "crawl_id")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+_POOR_BODY = f"""CASE length(host) % 6 WHEN 0 THEN NULL WHEN 1 THEN chr(10) || ' <!DOCTYPE html><p>User-agent: no' WHEN 2 THEN 'moved: elsewhere' || chr(10) || '# disallow: x'
+ WHEN 3 THEN '# nothing here' || chr(10) WHEN 4 THEN '' ELSE {_ROBOTS_BODY} END"""
+
+
+@query("robots_rejects", f"""SELECT host, raw, CASE length(host) % 6 WHEN 0 THEN 'no body' WHEN 1 THEN 'markup' ELSE 'no known directive' END AS reason
+    FROM (SELECT host, {_POOR_BODY} AS raw FROM robot_hosts) WHERE length(host) % 6 < 3""", {"robot_hosts": _HOSTS})
+def robots_rejects(spark, sf):
+    """Files that are missing, pages in their place, texts without a rule."""
+    hosts = D.read(spark, sf, "pages").select(urls.host("url").alias("host")).distinct()
+    return R.rejected_files(hosts.selectExpr("host", f"{_POOR_BODY} AS body"))
+
+
 # ---- sitemaps -------------------------------------------------------------------
 # One sitemap document per page, listed by an index per host, indexes by one root.
 _DOC_URL = "'https://maps.example.com/' || CAST(page_id AS STRING) || '.xml'"
@@ -171,6 +183,20 @@ def sitemap_urls(spark, sf):
     return S.sitemap_urls(_docs(spark, sf)).select("sitemap", "loc", "lastmod", "news_title", "errors")
 
 
+_POOR_DOC = """CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN html WHEN 2 THEN '<urlset><url><loc>' || replace(url, '&', '&amp;') || '</loc></url><url><loc>ht'
+ WHEN 3 THEN '<urlset><url><loc>a</loc></url><url><lastmod>' || CAST(page_id AS STRING) || '</lastmod></url><url><loc> </loc></url></urlset>'
+ ELSE '<urlset><url><loc>a</loc></url></urlset>' END"""
+
+
+@query("sitemap_rejects", f"""SELECT page_id, NULL AS place, {_POOR_DOC} AS raw, CASE page_id % 5 WHEN 0 THEN 'no body' WHEN 1 THEN 'not a sitemap document' ELSE 'cut document' END AS reason
+    FROM pages WHERE page_id % 5 < 3
+    UNION ALL SELECT page_id, unnest([1, 2]), unnest(['<lastmod>' || CAST(page_id AS STRING) || '</lastmod>', '<loc> </loc>']), 'entry without an address' FROM pages WHERE page_id % 5 = 3""")
+def sitemap_rejects(spark, sf):
+    """Documents that are missing, no sitemaps or cut, and entries without an address."""
+    docs = D.read(spark, sf, "pages").selectExpr("page_id", f"{_DOC_URL} AS url", f"{_POOR_DOC} AS body")
+    return S.rejected_documents(docs).select("page_id", F.col("place").cast("bigint").alias("place"), "raw", "reason")
+
+
 @query("sitemap_expand", f"""SELECT sitemap, loc FROM ({_SITEMAP_ROWS})""")
 def sitemap_expand(spark, sf):
     """From the index documents down to the URL rows."""

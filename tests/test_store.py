@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom import schema
 from siteloom.operators import slicing
-from siteloom.sources import crawl as C
+from siteloom.sources import crawl as C, robots, sitemap
 
 
 def lines(path, *rows, tail=""):
@@ -64,3 +64,28 @@ def test_side_tables(spark, tmp_path):
     df = spark.range(3)
     assert C.write_side_table(df, str(tmp_path / "s")) and spark.read.parquet(str(tmp_path / "s")).count() == 3
     assert C.write_side_table(df.limit(0), str(tmp_path / "e")) is None
+
+
+def test_files_that_are_no_robots_file(spark):
+    bodies = {"gone": None, "page": "﻿\n<html><p>Disallow: /x</p>", "bin": "User-agent: *\0", "odd": "hello: there\n#disallow: x", "words": "not here",
+              "blank": " \n\n", "notes": "# only\n  # notes", "ok": "x: y\r\n  DISALLOW : /x", "map": "Sitemap: https://w/s.xml"}
+    files = spark.createDataFrame([("c", k, b) for k, b in bodies.items()], "crawl_id string, robots_url string, body string")
+    bad = robots.rejected_files(files)
+    assert bad.columns == ["crawl_id", "robots_url", "raw", "reason"]
+    assert {r.robots_url: (r.raw, r.reason) for r in bad.collect()} == {
+        k: (bodies[k], why) for k, why in {"gone": "no body", "page": "markup", "bin": "binary content", "odd": "no known directive", "words": "no known directive"}.items()}
+    assert robots.rejected_files(files.limit(0)).count() == 0
+
+
+def test_documents_that_are_no_sitemap(spark):
+    bodies = {"gone": None, "page": "<html>", "cut": "<urlset><url><loc>a</loc></url><url><loc>b", "empty": "<urlset/>", "ok": "<URLSET><url><loc>a</loc></url></URLSET>",
+              "bare": "<urlset><url><loc>a</loc></url><url><lastmod>1</lastmod></url></urlset>", "index": "<sitemapindex><sitemap><loc></loc></sitemap></sitemapindex>",
+              "hidden": "<!-- <urlset> -->"}
+    docs = spark.createDataFrame([(k, b) for k, b in bodies.items()], "url string, body string")
+    got = sorted((r.sitemap, r.place, r.raw, r.reason) for r in sitemap.rejected_documents(docs).collect())
+    assert got == [
+        ("bare", 1, "<lastmod>1</lastmod>", "entry without an address"), ("cut", None, bodies["cut"], "cut document"), ("gone", None, None, "no body"),
+        ("hidden", None, bodies["hidden"], "not a sitemap document"), ("index", 0, "<loc></loc>", "entry without an address"),
+        ("page", None, "<html>", "not a sitemap document")]
+    # The whole entries of a cut document count.
+    assert [r.loc for r in sitemap.sitemap_urls(docs.where("url = 'cut'")).collect()] == ["a"]

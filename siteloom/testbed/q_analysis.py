@@ -150,7 +150,7 @@ DETAIL = {
     **EXTRA,
 }
 
-_DETAIL_SQL = f"""SELECT c.crawl_id, c.seq, c.url AS "Address", c.status AS "Status Code", CASE c.status {_PHRASES} ELSE '' END AS "Status",
+DETAIL_SQL = f"""SELECT c.crawl_id, c.seq, c.url AS "Address", c.status AS "Status Code", CASE c.status {_PHRASES} ELSE '' END AS "Status",
     CASE WHEN why = '' THEN 'Indexable' ELSE 'Non-Indexable' END AS "Indexability", why AS "Indexability Reason",
     coalesce(content_type, '') AS "Content-Type", coalesce(content_encoding, '') AS "Content-Encoding",
     round(download_latency, 4) AS "Response Time", size AS "Size (bytes)", depth AS "Crawl Depth", crawl_time AS "Crawl Timestamp",
@@ -174,7 +174,7 @@ _DETAIL_SQL = f"""SELECT c.crawl_id, c.seq, c.url AS "Address", c.status AS "Sta
     LEFT JOIN imgs USING (seq) LEFT JOIN reds USING (seq) LEFT JOIN langs USING (seq)"""
 
 
-@query("crawl_detail", _DETAIL_SQL, DETAIL)
+@query("crawl_detail", DETAIL_SQL, DETAIL)
 def crawl_detail(spark, sf):
     return R.crawl_detail(D.stored(spark, sf))
 

@@ -11,6 +11,7 @@ from siteloom.plans.report import crawl_detail
 from siteloom.session import new_path
 from siteloom.sources import crawl as C, lab, robots as R, sitemap as S, spider_export as E
 from siteloom.testbed import derived as D, duck as Q
+from siteloom.testbed.q_analysis import DETAIL, DETAIL_SQL
 from siteloom.testbed.registry import query
 
 
@@ -59,13 +60,20 @@ def image_shards(spark, sf):
     return image_scope(C.read_image_shards(spark, path), 50, 20).select("page_id", "img_src", "width", "height")
 
 
-@query("detail_csv", """SELECT url AS "Address", title AS "Title 1", coalesce(meta_desc, '') AS "Meta Description 1" FROM crawl""")
+# A file does not tell an empty cell from a missing one.
+_FILED = ", ".join(f"""coalesce("{c}", '') AS "{c}\"""" for c in ("Language", "Crawl Timestamp", "IP Address", "Title 1", "Redirect Type"))
+
+
+@query("detail_csv", f"""SELECT * EXCLUDE (crawl_id, seq) REPLACE ({_FILED}) FROM ({DETAIL_SQL})""", DETAIL)
 def detail_csv(spark, sf):
-    """The detail report written as CSV and read back."""
+    """The detail report written as CSV and read back, every column in its own kind."""
     path = new_path(spark, "crawl-detail-csv")
-    C.write_detail_csv(crawl_detail(D.stored(spark, sf)), path)
+    report = crawl_detail(D.stored(spark, sf))
+    C.write_detail_csv(report, path)
+    kinds = [f for f in report.schema if f.name not in ("crawl_id", "seq")]
     back = E.read_export(spark, path)
-    return back.select("Address", "Title 1", "Meta Description 1")
+    return back.select(*[
+        (F.coalesce(f"`{f.name}`", F.lit("")) if f.dataType.typeName() == "string" else F.nullif(F.col(f"`{f.name}`"), F.lit("")).cast(f.dataType)).alias(f.name) for f in kinds])
 
 
 # ---- robots ------------------------------------------------------------------

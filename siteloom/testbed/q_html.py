@@ -124,6 +124,20 @@ def html_images(spark, sf):
     return p.select("page_id", "i.src", "i.alt")
 
 
+_HEAD = """'<html><head><META http-equiv="Refresh" content="' || CAST(page_id AS STRING) || '; url=/r"><link rel="amphtml" href="/amp?a=1&amp;p=' || CAST(page_id AS STRING)
+ || '"><link href=/p/' || CAST(page_id AS STRING) || ' rel=prev><link rel="preload" href="/f.woff"><link rel="x preload" href="/g.woff"><link rel="stylesheet" href="/a.css"></head><body>'
+ || '<link rel="stylesheet" href="/b' || CAST(page_id AS STRING) || '.css">' || html || '</body></html>'"""
+
+
+@query("html_head_links", """SELECT page_id, CAST(page_id AS STRING) || '; url=/r' AS meta_refresh, '/amp?a=1&p=' || CAST(page_id AS STRING) AS amphtml, '/p/' || CAST(page_id AS STRING) AS rel_prev,
+    '/f.woff|/g.woff' AS preload_href, '/a.css' AS head_stylesheet_href, '/a.css|/b' || CAST(page_id AS STRING) || '.css' AS stylesheet_href FROM pages""")
+def html_head_links(spark, sf):
+    """Refresh, mobile and neighbour links, preloads, and style sheets inside and outside the head."""
+    p = X.crawl_columns(_pages(spark, sf).selectExpr("page_id", "url", f"{_HEAD} AS html"))
+    joined = lambda c: F.array_join(c, "|") if dict(p.dtypes)[c].startswith("array") else F.col(c)
+    return p.select("page_id", *[joined(c).alias(c) for c in ("meta_refresh", "amphtml", "rel_prev", "preload_href", "head_stylesheet_href", "stylesheet_href")])
+
+
 # Heads without an end tag, names inside quoted values, an alternate without language.
 TRICKY = """'<html><head><meta content="say name=description now" name="keywords"><link rel="alternate" href="/feed' || CAST(page_id AS STRING) || '">'
  || '<link href="/de" rel="alternate" hreflang="de"><title>T' || CAST(page_id AS STRING) || '</title><meta name="description" content="own">'

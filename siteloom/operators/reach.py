@@ -21,7 +21,9 @@ class Buckets:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # With fewer buckets than a shuffle begins with, Spark would deal the tables anew.
+        first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        self.count = int(first or spark.conf.get("spark.sql.shuffle.partitions"))
         self.names: list[str] = []
 
     def write(self, df: DataFrame, label: str) -> tuple[DataFrame, str, int]:

@@ -12,6 +12,7 @@ from siteloom.operators import hosts as H
 from siteloom.operators.groups import top_n
 from siteloom.plans import asset_checks as A, graph_checks as G, lab_checks as L, page_checks as P, site_checks as S
 from siteloom.plans.catalogue import CHECKS, Check, LIVE_TIERS, as_array, of_kind
+from siteloom.schema import conform, with_lists
 from siteloom.session import materialise
 from siteloom.sources.robots import rule_arrays
 
@@ -38,6 +39,9 @@ class Audit:
     ``crawls`` has one row per crawl: crawl_id, is_discovery (null = unknown),
     available_signals (null = all), robots_url (null = not attempted),
     has_lighthouse, has_render, source. The other tables hold fetched data.
+
+    ``lists`` (crawl_id, url, some of links, script_src, stylesheet_href, images) stands for these columns of all rows of
+    an address, as imports supply it: checks of lists are then made once per address, however many rows it has.
     """
 
     crawl: DataFrame
@@ -49,6 +53,7 @@ class Audit:
     psi: DataFrame | None = None
     render: DataFrame | None = None
     html: DataFrame | None = None
+    lists: DataFrame | None = None
     checks: dict[int, Check] = field(default_factory=lambda: CHECKS)
 
     def __post_init__(self) -> None:
@@ -80,6 +85,30 @@ class Audit:
         """The narrow page table, written once: hosts, index map and all checks that compare pages read it."""
         return self._shared("pages", lambda: G.narrow(self.crawl))
 
+    @property
+    def whole(self) -> DataFrame:
+        """The crawl with the lists of its addresses in every row."""
+        return self.crawl if self.lists is None else with_lists(self.crawl, self.lists)
+
+    @property
+    def addresses(self) -> DataFrame:
+        """The crawl; if its rows share lists, one row per address with its lists and the place of its first row."""
+        if self.lists is None:
+            return self.crawl
+        first = self.crawl.groupBy("crawl_id", "url").agg(F.min("seq").alias("seq"))
+        return self._shared("addresses", lambda: with_lists(conform(first), self.lists))
+
+    @property
+    def linked(self) -> DataFrame:
+        """The narrow page table with links: of pages, or of addresses that share them."""
+        return self.pages if self.lists is None else self._shared("linked", lambda: G.narrow(self.addresses))
+
+    def _of_rows(self, found: DataFrame) -> DataFrame:
+        """Findings on :attr:`addresses` as findings on their rows."""
+        if self.lists is None:
+            return found
+        return found.drop("seq").join(self.crawl.select("crawl_id", "seq", "url"), ["crawl_id", "url"]).select(*FINDING_COLUMNS)
+
     @property
     def hosts(self) -> DataFrame:
         return self._shared("hosts", lambda: H.crawl_hosts(self.pages))
@@ -94,7 +123,7 @@ class Audit:
 
     @property
     def asset_uses(self) -> DataFrame:
-        return self._shared("asset_uses", lambda: A.check_assets(A.page_assets(self.crawl)))
+        return self._shared("asset_uses", lambda: A.check_assets(A.page_assets(self.addresses)))
 
     @property
     def known_assets(self) -> DataFrame:
@@ -129,7 +158,15 @@ class Audit:
     def page_findings(self, *kinds: str) -> DataFrame:
         nums = [n for n in of_kind(*kinds, checks=self.checks) if n not in self.failed]
         keys = self._shared("markup_keys", lambda: P.markup_keys(self.crawl))
-        return P.page_findings(self.crawl, nums, self.checks, keys)
+        if self.lists is None:
+            return P.page_findings(self.crawl, nums, self.checks, keys)
+        own = [n for n in nums if self.checks[n].predicate]
+        listed = [n for n in nums if n in P.OF_LISTS and n not in own]
+        rest = [n for n in nums if n not in own and n not in listed]
+        parts = [P.page_findings(table, chosen, self.checks, keys) for table, chosen in ((self.whole, own), (self.crawl, rest)) if chosen]
+        if listed:
+            parts.append(self._of_rows(P.page_findings(self.addresses, listed, self.checks, keys)))
+        return G.union_all(parts)
 
     @property
     def failed(self) -> dict[int, str]:
@@ -139,7 +176,7 @@ class Audit:
             for num, check in self.checks.items():
                 if check.predicate:
                     try:
-                        P.page_columns(self.crawl).agg(F.count_if(check.predicate())).collect()
+                        P.page_columns(self.whole).agg(F.count_if(check.predicate())).collect()
                     except Exception as e:  # noqa: BLE001  whatever a caller's expression raises
                         self._failed[num] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
         return self._failed
@@ -148,10 +185,10 @@ class Audit:
         return G.union_all([
             G.canonical_to_non_indexable(self.pages, self.index),
             G.canonical_to_other_site(self.pages, self.hosts, self.primaries),
-            G.nofollow_to_indexable(self.pages, self.hosts, self.index),
+            self._of_rows(G.nofollow_to_indexable(self.linked, self.hosts, self.index)),
             G.indexable_url_patterns(self.pages, self.index),
             G.thin_sitemap_pages(self.pages, self.sitemap),
-            G.sitemap_orphans(self.pages, self.sitemap, self.crawls),
+            G.sitemap_orphans(self.linked, self.sitemap, self.crawls),
         ])
 
     def window_findings(self) -> DataFrame:
@@ -291,7 +328,7 @@ class Audit:
         places = self.crawl.select("crawl_id", "seq")
         kept = top_n(places, ["crawl_id"], [F.col("seq")], n)
         totals = places.groupBy("crawl_id").agg(F.count("*").alias("rows_in_all"))
-        return build(self.crawl).join(kept, ["crawl_id", "seq"], "left_semi").join(totals, "crawl_id")
+        return build(self.whole).join(kept, ["crawl_id", "seq"], "left_semi").join(totals, "crawl_id")
 
     def configuration(self, detail_rows: int = K.DETAIL_ROWS_EMBEDDED) -> DataFrame:
         """(crawl_id, setting, value): what was active for each crawl; settings that do not apply have no row."""

@@ -100,6 +100,10 @@ def _compressed() -> Column:
     return F.coalesce(F.lower(cells.header("resp_headers", "content-encoding")).rlike(K.COMPRESSED), F.lit(False))
 
 
+#: Checks that read nothing of a page but its address and its links, scripts, styles and images.
+OF_LISTS = frozenset({18, 20, 29, 47, 49, 53, 64, 65, 85, 89})
+
+
 def predicates() -> dict[int, Column]:
     """Check number to the predicate an offending page satisfies."""
     status = F.col("status")

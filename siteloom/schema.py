@@ -128,3 +128,12 @@ def conform(df: DataFrame, crawl_id: str | None = None) -> DataFrame:
     prefixes = tuple(prefix for prefix, _ in _MAPS.values())
     others = [c for c in df.columns if c not in CRAWL.names and c not in folded and not c.lower().startswith(prefixes)]
     return df.select(*out, *[F.col(f"`{c}`") for c in others])
+
+
+def with_lists(crawl: DataFrame, lists: DataFrame) -> DataFrame:
+    """``crawl`` with the list columns of ``lists(crawl_id, url, ...)`` in place of its own, empty where an address has none."""
+    names = [n for n in lists.columns if n not in ("crawl_id", "url")]
+    renamed = lists.select("crawl_id", "url", *[F.col(n).alias(f"_{n}") for n in names])
+    return crawl.join(renamed, ["crawl_id", "url"], "left").withColumns({
+        n: F.coalesce(F.col(f"_{n}"), F.array().cast(CRAWL[n].dataType)) for n in names
+    }).select(*[F.col(f"`{c}`") for c in crawl.columns])

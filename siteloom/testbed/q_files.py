@@ -273,7 +273,7 @@ def _export_folder(spark, sf) -> str:
     canonical, meta_robots, depth, size, download_latency, content_type FROM crawl""")
 def import_internal(spark, sf):
     d = E.import_folder(spark, _export_folder(spark, sf))
-    return d.crawl.select(
+    return d.rows.select(
         "url", "status", "title", "title_count", "meta_desc", F.size("h1").cast("bigint").alias("h1_items"), "canonical", "meta_robots", "depth",
         "size", "download_latency", F.try_element_at("resp_headers", F.lit("content-type")).alias("content_type"))
 
@@ -287,10 +287,13 @@ def import_internal(spark, sf):
     FROM crawl c GROUP BY c.url""")
 def import_edges(spark, sf):
     d = E.import_folder(spark, _export_folder(spark, sf))
-    size = lambda c: F.max(F.size(c)).cast("bigint")
-    return d.crawl.groupBy("url").agg(
-        F.count("*").alias("pages"), size("links").alias("n_links"), size(F.filter("links", lambda k: k["nofollow"])).alias("n_nofollow"),
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    sizes = d.lists.select(
+        "url", size("links").alias("n_links"), size(F.filter("links", lambda k: k["nofollow"])).alias("n_nofollow"),
         size("script_src").alias("n_scripts"), size("stylesheet_href").alias("n_styles"), size("images").alias("n_images"))
+    counts = ("n_links", "n_nofollow", "n_scripts", "n_styles", "n_images")
+    return d.rows.groupBy("url").agg(F.count("*").alias("pages")).join(sizes, "url", "left").select(
+        "url", "pages", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts])
 
 
 @query("import_signals", """SELECT 'import' AS crawl_id, 'spider-export' AS source, count(*) AS rows, 'internal_all.csv, all_outlinks.csv, images_all.csv' AS files_used,
@@ -306,7 +309,7 @@ def import_signals(spark, sf):
 def import_audit(spark, sf):
     """Verdicts over an imported dataset; checks without their signal stay unassessed."""
     d = E.import_folder(spark, _export_folder(spark, sf))
-    run = Audit(d.crawl, d.crawls)
+    run = Audit(d.rows, d.crawls, lists=d.lists)
     return run.checklist().where("num IN (7, 18, 30, 48, 52, 76)").select("num", "status", "affected_count")
 
 

@@ -170,3 +170,29 @@ def test_render_metrics(spark, tmp_path):
     (tmp_path / "r.jl").write_text('{"crawl_id": "k", "url": "u", "ok": true, "rendered_text_len": 12, "rendered_links": ["a"]}\n{"crawl_id": "k", "url": "v", "error": "timeout"}\n')
     rows = lab.read_render_metrics(spark, str(tmp_path)).orderBy("url").collect()
     assert [(r.url, r.ok, r.error, r.rendered_text_len, r.rendered_links, r.overlay) for r in rows] == [("u", True, None, 12, ["a"], None), ("v", False, "timeout", None, None, None)]
+
+
+def _busy_address(n):
+    """An export whose first address stands in n rows, each with links, scripts and pictures of its own."""
+    rows = "".join(f"{SITE}/{'busy' if i % 2 else i},200,text/html,T{i}\n" for i in range(2 * n))
+    refs = "".join(
+        f"Hyperlink,{SITE}/{p},{SITE}/{i}{'?utm_source=x&color=red' if i % 3 == 0 else ''},a,{'true' if i % 2 else 'no'}\nJavaScript,{SITE}/{p},{SITE}/s{i % 3}.js,,true\n"
+        for i in range(2 * n) for p in ("busy", i))
+    pictures = "".join(f"{SITE}/{'busy' if i % 2 else i},{SITE}/{i}.gif,\n" for i in range(2 * n))
+    return {"pages": "Address,Status Code,Content Type,Title 1\n" + rows, "links": "Type,Source,Destination,Anchor,Follow\n" + refs,
+            "images": "Address,Image Address,Alt Text\n" + pictures}
+
+
+def test_rows_of_one_address_share_its_lists(spark, tmp_path):
+    data = E.import_folder(spark, _folder(tmp_path, **_busy_address(6)))
+    held = data.lists.agg(F.sum(F.size("links")), F.sum(F.size("script_src")), F.sum(F.size("images"))).first()
+    # Each reference is stored once, not once for every row of its address.
+    assert tuple(held) == (24, 24, 12) and data.rows.agg(F.sum(F.size("links"))).first()[0] == 0
+    busy = data.crawl.where(F.col("url").endswith("/busy")).select("links", "script_src", "images").collect()
+    assert [(len(r.links), len(r.script_src), len(r.images)) for r in busy] == [(12, 12, 6)] * 6
+    # Every row of the address has its findings.
+    every, shared = Audit(data.crawl, data.crawls), Audit(data.rows, data.crawls, lists=data.lists)
+    found = [sorted(tuple(r) for r in a.findings().collect()) for a in (every, shared)]
+    assert found[0] == found[1] and {18, 53, 64, 66, 85, 89} <= {r[1] for r in found[1]}
+    assert sum(r[1] == 18 and r[6].endswith("/busy") for r in found[1]) == 6
+    assert sorted(map(str, every.checklist().collect())) == sorted(map(str, shared.checklist().collect()))

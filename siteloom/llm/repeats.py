@@ -38,6 +38,8 @@ LEAST = 100
 GRAM = 24
 #: Windows of one piece.
 WIDE = 256
+#: Bytes of text that are cut into pieces at a time: some twenty tables of eight times their size stand beside them.
+CUT_BYTES = 1 << 17
 #: Pieces gathered before those equal within a task are settled.
 FLUSH = 300_000
 #: Bytes of pieces sorted at a time, and pieces of a group sorted in one task.
@@ -150,7 +152,7 @@ def pieces(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             docs_ = batch.column("doc").to_numpy(zero_copy_only=False)
-            for lo, _, raw, at in chunks(batch, "text", 1 << 19):
+            for lo, _, raw, at in chunks(batch, "text", CUT_BYTES):
                 anchor, key, row, start, size = anchors(raw, at)
                 held.append((anchor, key, docs_[lo:][row].astype(np.int64), start, size))
                 count += len(row)
@@ -231,11 +233,9 @@ def suffix_arrays(raw: np.ndarray, at: np.ndarray, least: int = LEAST):
     place, bucket = place[twin], bucket[twin]
     if not len(place):
         return
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(_U)
-    word = np.zeros(len(raw) + 1, _U)
-    for j in range(8):
-        word = (word << _U(8)) | padded[j:j + len(word)]
-    del padded, order
+    # The eight bytes from each place as one number, a view.
+    word = np.ndarray((len(raw) + 1,), ">u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    del order
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     lo = 0
     while lo < len(place):
@@ -252,7 +252,7 @@ def _sorted(place, bucket, at, word, least) -> tuple[np.ndarray, np.ndarray]:
     for j in range(0, int(left.max()), 8):
         inside = np.clip(left - j, 0, 8)
         mask = np.where(inside > 0, (~_U(0)) << (_U(8) * (8 - np.maximum(inside, 1)).astype(_U)), _U(0))
-        tails.append(word[np.minimum(place + least + j, len(word) - 1)] & mask)
+        tails.append(word[np.minimum(place + least + j, len(word) - 1)].astype(_U) & mask)
     order = np.lexsort((left, *reversed(tails), bucket))
     place, left, bucket = place[order], left[order], bucket[order]
     lcp, going = np.zeros(len(place), np.int64), np.zeros(len(place), bool)

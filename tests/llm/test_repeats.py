@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,21 @@ def test_empty_table_and_columns(docs):
     empty = docs.where(F.lit(False))
     assert repeats.digests(empty).count() == 0
     assert repeats.drop_repeats(docs).columns == docs.columns
+
+
+def test_memory_of_a_worker_follows_its_chunks(monkeypatch):
+    import tracemalloc
+
+    from siteloom.llm import common
+
+    monkeypatch.setattr(common, "_POW", {})
+    up, down = common.powers(1000)
+    assert 1000 <= len(up) == len(down) <= 2048
+    assert len(common.powers(5000)[0]) >= 5000 and len(common.powers(common.CHUNK_BYTES)[0]) == common.CHUNK_BYTES + 1
+    batch = pa.RecordBatch.from_pydict({"text": ["".join(chr(97 + (i * j * j) % 23) for j in range(1000)) for i in range(1500)]})
+    tracemalloc.start()
+    for _, _, raw, at in common.chunks(batch, "text", repeats.CUT_BYTES):
+        repeats.anchors(raw, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20

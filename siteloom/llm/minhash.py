@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, LOWER, chunks, lists, materialise, mix, shingles, small_batches, word_hash, words
+from .common import BASE, LOWER, chunks, few_files, lists, materialise, mix, shingles, small_batches, word_hash, words
 from .graph import components
 
 BANDS, ROWS = 25, 5
@@ -218,12 +218,12 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     rows = materialise(with_pivots(materialise(cells.join(shared, "key", "left_semi"), "buckets")), "pivots").where("rep <> pivot")
 
     def check(pairs):
-        return materialise(confirmed(materialise(close(pairs, sigs, num / den), "close"), docs, classes, k, num, den), "links")
+        return few_files(confirmed(few_files(close(pairs, sigs, num / den), "close"), docs, classes, k, num, den), "links")
 
     found = check(rows.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
     labels = components(found).withColumnRenamed("v", "rep")
     rest = rows.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    rest = materialise(mixed(rest).select("rep", "component").distinct(), "rest")
+    rest = few_files(mixed(rest).select("rep", "component").distinct(), "rest")
     if rest.isEmpty():
         return found
     return found.unionByName(check(materialise(prefix_pairs(rest, docs, classes, k, num, den), "pairs")))
@@ -255,7 +255,7 @@ def shared_ids(feats: DataFrame, classes: DataFrame) -> DataFrame:
     equal = ["fp1", "fp2", "n_shingles"]
     rows = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
     twice = rows.groupBy("doc_id").agg(F.min(F.struct(*equal)).alias("lo"), F.max(F.struct(*equal)).alias("hi")).where("lo <> hi").select("doc_id")
-    twice = materialise(twice, "shared_ids")
+    twice = few_files(twice, "shared_ids")
     held = rows.join(twice, "doc_id", "left_semi").select("doc_id", *equal).distinct().join(classes.select(*equal, "rep"), equal).select("doc_id", "rep")
     least = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
     return held.join(least, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()

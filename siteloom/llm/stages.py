@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import minhash, quality, repeats, tiling
-from .common import materialise
+from .common import few_files
 from .q_bpe import round_trip
 from .registry import table
 
@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of several rows of one id the one with the smallest text stays, then with the smallest other columns.
     """
     found = minhash.near_duplicates(docs.select("doc_id", "text"), k=5, num=80, den=100)
-    gone = materialise(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "copies")
+    gone = few_files(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "copies")
     left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").limit(1)
     if twice.isEmpty():

@@ -94,3 +94,19 @@ def test_one_id_with_two_texts(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (6, 6)]
     assert {(r.doc_id, r.kept) for r in got} == {(1, True), (2, False), (3, False), (4, True), (5, False), (6, True)}
+
+
+def test_rounds_of_components_write_few_files(spark, tmp_path, monkeypatch):
+    """A file for each shuffle partition and round made executors start thousands of processes."""
+    monkeypatch.setattr("siteloom.session.scratch_dir", lambda _: str(tmp_path))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = graph.components(spark.createDataFrame([(i, i + 1) for i in range(0, 900, 3)], "a long, b long"))
+        assert {(r.v, r.component) for r in found.collect()} == {(v, v - v % 3) for i in range(0, 900, 3) for v in (i, i + 1)}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    tables = {p.parent for p in tmp_path.rglob("part-*.parquet")}
+    assert tables and all(len(list(t.glob("part-*.parquet"))) <= spark.sparkContext.defaultParallelism for t in tables)

@@ -152,7 +152,7 @@ class Audit:
 
     @property
     def onclick(self) -> DataFrame:
-        return A.onclick_pages(self.html)
+        return self._shared("onclick", lambda: A.onclick_pages(self.html))
 
     # ---- findings by class -----------------------------------------------
     def page_findings(self, *kinds: str) -> DataFrame:

@@ -13,7 +13,7 @@ def _col(c) -> Column:
 
 def _plain(url) -> Column:
     """Tabs and line breaks removed, leading blanks and controls dropped."""
-    return F.regexp_replace(F.translate(_col(url), "\t\r\n", ""), r"^[\x00-\x20]+", "")
+    return F.regexp_replace(_col(url), r"^[\x00-\x20]+|[\t\r\n]+", "")
 
 
 def scheme(url) -> Column:
@@ -85,8 +85,18 @@ def loose_form(url) -> Column:
     return _trim_slashes(_col(url))
 
 
+# A URL that is its own strict form: lower-case scheme and host, a path that is '/' or ends in no slash, a query that is
+# not empty, no fragment, printable ASCII only. One look spares nearly all URLs the search for their parts.
+_STRICT = r"^[a-z][a-z0-9+.-]*://[!-~&&[^/?#A-Z]]++/(?:[!-~&&[^?#]]*[!-~&&[^/?#]])?(?:\?[!-~&&[^#]]+)?\z"
+
+
 def strict_form(url) -> Column:
     """Scheme and host lower-cased, root path '/', no trailing slash, no fragment; '' for null."""
+    return F.when(_col(url).rlike(_STRICT), _col(url)).otherwise(_strict_parts(url))
+
+
+def _strict_parts(url) -> Column:
+    """:func:`strict_form` of any URL, put together from its parts."""
     u = F.trim(_col(url))
     rooted = F.regexp_replace(full_path(u), "^$", "/")
     trimmed = F.regexp_replace(rooted, r"(?<=.)/+$|^//+$", "")

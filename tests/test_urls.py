@@ -1,5 +1,6 @@
 """URL expressions against the Python standard library."""
 
+import random
 from urllib.parse import parse_qs, quote, urljoin, urlsplit, urlparse
 
 import pytest
@@ -73,3 +74,17 @@ def test_suffix_and_families(spark):
     one = spark.createDataFrame([("https://h/?COLOR=red",)], "u string")
     assert one.select(urls.has_param("u", ("color",))).first()[0]
     assert not one.select(urls.has_param("u", ("size",))).first()[0]
+
+
+def test_strict_form_at_a_look(spark):
+    """URLs that are returned as they stand are those whose parts put together give the same."""
+    rnd = random.Random(7)
+    pieces = ["https:", "HTTP:", "//", "/", "h.example.com", "H.example", "a", "?", "#", ";", " ", "\t", "\n", "\x00", "ü", "%20", "?q=1", ":8080", "@", "&&"]
+    rows = URLS + ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    rows += ["https://h.example.com/" + "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 5))) for _ in range(3000)]
+    df = spark.createDataFrame([(u,) for u in rows] + [(None,)], "u string")
+    plain = F.regexp_replace(F.translate("u", "\t\r\n", ""), r"^[\x00-\x20]+", "")
+    got = df.select("u", urls.strict_form("u").alias("a"), urls._strict_parts("u").alias("b"), urls._plain("u").alias("p"), plain.alias("q"),
+                    F.col("u").rlike(urls._STRICT).alias("seen")).collect()
+    assert [(r.u, r.a, r.b) for r in got if r.a != r.b] == [] and [(r.u, r.p, r.q) for r in got if r.p != r.q] == []
+    assert sum(bool(r.seen) for r in got) > 200

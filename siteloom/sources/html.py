@@ -225,13 +225,17 @@ def links(source, page_url) -> Column:
         tag = F.regexp_extract(a, rf"(?is)^<a\b{_TAG_REST}", 0)
         return F.struct(attributes(tag).alias("attrs"), F.trim(decoded(without_tags(a))).alias("text"))
 
+    def read(x: Column) -> Column:
+        # Looked up here once: the link names its address in each of its parts.
+        return F.struct(F.trim(value_of(x["attrs"], "href")).alias("href"), x["text"].alias("text"), value_of(x["attrs"], "rel").alias("rel"))
+
     def link(x: Column) -> Column:
-        rel = F.lower(F.coalesce(value_of(x["attrs"], "rel"), F.lit("")))
+        rel = F.lower(F.coalesce(x["rel"], F.lit("")))
         return F.struct(
-            urls.resolve(page_url, F.trim(value_of(x["attrs"], "href"))).alias("url"), x["text"].alias("text"),
+            urls.resolve(page_url, x["href"]).alias("url"), x["text"].alias("text"),
             F.array_contains(F.split(rel, r"\s+"), "nofollow").alias("nofollow"))
 
-    named = F.filter(F.transform(anchors, item), lambda x: value_of(x["attrs"], "href").isNotNull())
+    named = F.filter(F.transform(F.transform(anchors, item), read), lambda x: x["href"].isNotNull())
     return F.transform(named, link)
 
 

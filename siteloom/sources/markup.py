@@ -55,18 +55,29 @@ def flattened(text: Column) -> Column:
 
     Members of nested objects are joined by dots; items of a list share the path of the list.
     """
-    parsed = F.try_parse_json(text)
-    first = F.array(F.struct(F.lit("").alias("path"), parsed.alias("value"))).cast(_ENTRY)
-    leaves = F.aggregate(F.sequence(F.lit(0), nesting(text)), first, lambda acc, _: F.flatten(F.transform(acc, _opened)).cast(_ENTRY))
-    plain = F.transform(leaves, lambda e: F.struct(e["path"].alias("path"), F.try_variant_get(e["value"], "$", "string").alias("value")))
-    return F.when(parsed.isNotNull(), F.filter(plain, lambda e: e["value"].isNotNull() & (e["path"] != "")))
+    def leaves_of(parsed: Column) -> Column:
+        first = F.array(F.struct(F.lit("").alias("path"), parsed.alias("value"))).cast(_ENTRY)
+        leaves = F.aggregate(F.sequence(F.lit(0), nesting(text)), first, lambda acc, _: F.flatten(F.transform(acc, _opened)).cast(_ENTRY))
+        plain = F.transform(leaves, lambda e: F.struct(e["path"].alias("path"), F.try_variant_get(e["value"], "$", "string").alias("value")))
+        return F.when(parsed.isNotNull(), F.filter(plain, lambda e: e["value"].isNotNull() & (e["path"] != "")))
+
+    return _let(F.try_parse_json(text), leaves_of)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _by_path(entries: Column) -> Column:
-    """Entries as a map; values of one path are joined in order."""
-    paths = F.array_distinct(F.transform(entries, lambda e: e["path"]))
-    return F.map_from_arrays(paths, F.transform(paths, lambda p: F.array_join(
-        F.transform(F.filter(entries, lambda e: e["path"] == p), lambda e: e["value"]), LIST_DELIMITER)))
+    """Entries as a map; values of one path are joined in order. Entries are computed once, not once per path."""
+    def mapped(found: Column) -> Column:
+        def joined(p: Column) -> Column:
+            return F.array_join(F.transform(F.filter(found, lambda e: e["path"] == p), lambda e: e["value"]), LIST_DELIMITER)
+
+        return _let(F.array_distinct(F.transform(found, lambda e: e["path"])), lambda paths: F.map_from_arrays(paths, F.transform(paths, joined)))
+
+    return _let(entries, mapped)
 
 
 def jsonld(html) -> Column:

@@ -71,3 +71,12 @@ def test_open_graph(spark):
     page = '<meta property="og:title" content="a &amp; b"><meta property=OG:image content=1><meta property=og:image content=2><meta name="twitter:card" content=s><meta name=other content=x>'
     r = X.crawl_columns(spark.createDataFrame([("https://w.test/", page)], "url string, html string")).first()
     assert r.og == {"og:title": "a & b", "og:image": "1@@2", "twitter:card": "s"}
+
+
+def test_blocks_are_parsed_once(spark):
+    """However many paths they hold: the parser stood in the lambda that is called for each path."""
+    df = spark.createDataFrame([('<script type="application/ld+json">{"@type":"A","b":["1","2"],"c":{"d":3}}</script>',)], "html string")
+    out = df.select(M.jsonld("html").alias("m"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("parse_json") == 1 and plan.count("regexp_extract_all(coalesce") == 1
+    assert out.first().m == {"@type": "A", "b": "1@@2", "c.d": "3"}

@@ -14,6 +14,7 @@ texts are valid UTF-8; decoded bytes that are not become U+FFFD. An empty table
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from .common import block, chunks, lists, mix, octets, small_batches
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded words kept by a worker; the table is dropped and refilled beyond it.
 CACHE_WORDS = 400_000
+#: Bytes of text that are encoded and decoded at a time: some thirty tables of up to eight times their size stand beside them.
+TEXT_BYTES = 1 << 19
 #: Cells of the tree matrix worked on at a time.
-CELLS = 1 << 20
+CELLS = 1 << 18
 _NONE = np.int64(1) << 62
 
 
@@ -279,42 +282,56 @@ def _spread(df: DataFrame, out: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(out, kind)])
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], tables: dict, text: str, out: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the token ids of ``text``, cut in runs of about TEXT_BYTES."""
+    encoder = Encoder(tables)
+    for batch in batches:
+        for lo, hi, raw, at in chunks(batch, text, TEXT_BYTES):
+            ids, row_at = encoder.encode(raw, at)
+            yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, lists(ids, row_at, pa.int32())], names=[*batch.schema.names, out])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], tables: dict, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the text of the token ids."""
+    tokens = tables["tokens"]
+    length = np.array([len(t) for t in tokens], np.int64)
+    begin = np.concatenate([[0], np.cumsum(length)])[:-1]
+    pool = np.frombuffer(b"".join(tokens), np.uint8)
+    for batch in batches:
+        column = batch.column(ids)
+        at = np.concatenate([[0], np.cumsum(np.array([0 if v is None else v for v in column.value_lengths().to_pylist()], np.int64))])
+        got = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        good = (got >= 0) & (got < len(tokens))
+        got = np.where(good, got, 0)
+        size = np.where(good, length[got], 0)
+        end = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(end[-1]) + np.repeat(begin[got] - end[:-1], size)
+        joined = pool[place].tobytes()
+        cut = end[at]
+        texts = [joined[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+
+
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the token ids of ``text`` as array<int>; all other columns stay."""
     tables = df.sparkSession.sparkContext.broadcast(load_tables(tokenizer_path))
-
-    def run(batches):
-        encoder = Encoder(tables.value)
-        for batch in batches:
-            parts = [encoder.encode(raw, at) for _, _, raw, at in chunks(batch, text)]
-            sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(at) for _, at in parts)])
-            ids = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in parts)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists(ids, np.cumsum(sizes), pa.int32())], names=[*batch.schema.names, out])
-
-    return small_batches(df).mapInArrow(run, _spread(df, out, T.ArrayType(T.IntegerType())))
+    return small_batches(df).mapInArrow(lambda batches: _encoded(batches, tables.value, text, out), _spread(df, out, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of the token ids; a null list gives the empty text."""
     tables = df.sparkSession.sparkContext.broadcast(load_tables(tokenizer_path))
+    return small_batches(df).mapInArrow(lambda batches: _decoded(batches, tables.value, ids, out), _spread(df, out, T.StringType()))
+
+
+def encode_decode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass, without ``text``: a task then holds one Python worker, not two."""
+    tables = df.sparkSession.sparkContext.broadcast(load_tables(tokenizer_path))
+    rest = df.drop(text)
 
     def run(batches):
-        tokens = tables.value["tokens"]
-        length = np.array([len(t) for t in tokens], np.int64)
-        begin = np.concatenate([[0], np.cumsum(length)])[:-1]
-        pool = np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in batches:
-            column = batch.column(ids)
-            at = np.concatenate([[0], np.cumsum(np.array([0 if v is None else v for v in column.value_lengths().to_pylist()], np.int64))])
-            got = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            good = (got >= 0) & (got < len(tokens))
-            got = np.where(good, got, 0)
-            size = np.where(good, length[got], 0)
-            end = np.concatenate([[0], np.cumsum(size)])
-            place = np.arange(end[-1]) + np.repeat(begin[got] - end[:-1], size)
-            joined = pool[place].tobytes()
-            cut = end[at]
-            texts = [joined[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
-
-    return small_batches(df).mapInArrow(run, _spread(df, out, T.StringType()))
+        for batch in _decoded(_encoded(batches, tables.value, text, ids), tables.value, ids, out):
+            yield batch.drop_columns([text])
+
+    kinds = [*rest.schema.fields, *_spread(rest, ids, T.ArrayType(T.IntegerType())).fields[-1:], *_spread(rest, out, T.StringType()).fields[-1:]]
+    return small_batches(df).mapInArrow(run, T.StructType(kinds))

@@ -199,7 +199,7 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, classes: DataFrame, k: int, n
     most = F.least(F.when(F.col("df") > RARE, F.col("common")).otherwise(F.col("shared")), F.col("n") - F.col("place") + 1)
     first = (seen.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1)
              .select("rep", "n", most.alias("most"), "element").join(ids, "rep"))
-    first = materialise(first, "prefixes")
+    first = few_files(first, "prefixes")
     sizes = first.groupBy("element", "component").agg(F.count("*").alias("members"))
     major = sizes.groupBy("element").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     held = first.join(major.select("element", F.col("top.component").alias("major")), "element")
@@ -215,7 +215,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     sigs = classes.select("rep", "sig")
     cells = classes.select("rep", F.explode("bands").alias("key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    rows = materialise(with_pivots(materialise(cells.join(shared, "key", "left_semi"), "buckets")), "pivots").where("rep <> pivot")
+    rows = few_files(with_pivots(few_files(cells.join(shared, "key", "left_semi"), "buckets")), "pivots").where("rep <> pivot")
 
     def check(pairs):
         return few_files(confirmed(few_files(close(pairs, sigs, num / den), "close"), docs, classes, k, num, den), "links")
@@ -226,7 +226,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     rest = few_files(mixed(rest).select("rep", "component").distinct(), "rest")
     if rest.isEmpty():
         return found
-    return found.unionByName(check(materialise(prefix_pairs(rest, docs, classes, k, num, den), "pairs")))
+    return found.unionByName(check(few_files(prefix_pairs(rest, docs, classes, k, num, den), "pairs")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,8 +8,7 @@ from .registry import query, table
 
 
 def round_trip(docs, path):
-    coded = bpe.encode(docs.select("doc_id", "text"), path).drop("text")
-    return bpe.decode(coded, path).select(
+    return bpe.encode_decode(docs.select("doc_id", "text"), path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

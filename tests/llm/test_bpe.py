@@ -85,3 +85,23 @@ def test_words_are_told_apart_by_their_bytes(library):
     encoder = bpe.Encoder(bpe.load_tables(PATH))
     want = [e.ids for e in library.encode_batch(texts * 2, add_special_tokens=False)]
     assert encode(encoder, texts * 2) == want and encode(encoder, texts) == want[:len(texts)]
+
+
+def test_round_trip_is_one_python_pass(spark, capsys):
+    """Two passes of one stage hold two Python workers for each task, and those stay while later steps run."""
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    round_trip(docs, PATH).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_long_batches_are_cut(spark, monkeypatch):
+    """Runs of TEXT_BYTES at most, a longer text alone; rows and their other columns stay in order."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "TEXT_BYTES", 40)
+    texts = ["some words of a text", None, "", "x" * 100, "last one", "naïve 🙂"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    tables = bpe.load_tables(PATH)
+    got = list(bpe._decoded(bpe._encoded([batch], tables, "text", "ids"), tables, "ids", "decoded"))
+    assert len(got) > 2
+    assert [r for b in got for r in zip(b.column("doc_id").to_pylist(), b.column("decoded").to_pylist())] == [(i, t or "") for i, t in enumerate(texts)]

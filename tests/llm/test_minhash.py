@@ -110,3 +110,22 @@ def test_rounds_of_components_write_few_files(spark, tmp_path, monkeypatch):
             spark.conf.set(k, v)
     tables = {p.parent for p in tmp_path.rglob("part-*.parquet")}
     assert tables and all(len(list(t.glob("part-*.parquet"))) <= spark.sparkContext.defaultParallelism for t in tables)
+
+
+def test_tables_of_links_are_few_files(spark, tmp_path, monkeypatch):
+    """Buckets, pivots, prefixes and pairs too, with the same links."""
+    monkeypatch.setattr("siteloom.session.scratch_dir", lambda _: str(tmp_path))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    base = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join([*base[:n], f"own{n}", f"more{n}", *base[n:]])) for n in range(0, 60, 2)] + [(100 + n, f"alone {n} " * 4) for n in range(9)]
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == {i: c for i, (_, c) in brute(rows, 3, 85, 100).items()}
+    files = {t: len(list(t.glob("part-*.parquet"))) for t in {p.parent for p in tmp_path.rglob("part-*.parquet")} if t.name in ("buckets", "pivots", "prefixes", "pairs")}
+    assert {"buckets", "pivots"} <= {t.name for t in files}
+    assert all(n <= spark.sparkContext.defaultParallelism for n in files.values())
